@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from matchlane import lexicons as lx
+from matchlane.functions.binding import rows_of
 from matchlane.functions.text import normalise
 from matchlane.operators.profile import (
     experience_band,
@@ -48,8 +49,7 @@ def profile_facts(spark, sf_dir):
 def skill_claims(spark, sf_dir):
     """Coerced skills, one row each (the assessment comes from the map by name)."""
     return (
-        candidates(spark, sf_dir)
-        .select("candidate_id", F.explode("skills").alias("s"))
+        rows_of(candidates(spark, sf_dir), ["candidate_id"], F.col("skills"), "s")
         .select("candidate_id", "s.*")
         .withColumn("assessment_score", F.round("assessment_score", 6))
     )
@@ -97,8 +97,7 @@ def behavioural(spark, sf_dir):
 
 def claim_trust(spark, sf_dir):
     return (
-        with_claims(candidates(spark, sf_dir))
-        .select("candidate_id", F.explode("claims").alias("c"))
+        rows_of(with_claims(candidates(spark, sf_dir)), ["candidate_id"], F.col("claims"), "c")
         .select(
             "candidate_id", "c.name", "c.norm", F.round("c.trust", 6).alias("trust"), "c.cluster", "c.surface",
             "c.padded", "c.vision", "c.speech",
@@ -108,11 +107,11 @@ def claim_trust(spark, sf_dir):
 
 def skill_dictionary(spark, sf_dir):
     """First matching cluster member for every distinct skill or part name."""
-    claimed = raw_profiles(spark, sf_dir).select(F.explode("skills.name").alias("skill"))
+    claimed = rows_of(raw_profiles(spark, sf_dir), [], F.col("skills.name"), "skill")
     parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("skill"))
     names = claimed.union(parts).distinct()
     match = first_match(normalise(F.col("skill")), lx.SCORED_CLUSTERS)
-    return names.withColumn("m", match).select("skill", "m.cluster", "m.member").where("member IS NOT NULL")
+    return rows_of(names, ["skill"], F.array(match), "m").select("skill", "m.cluster", "m.member")
 
 
 def skill_evidence(spark, sf_dir):
@@ -123,7 +122,7 @@ def skill_evidence(spark, sf_dir):
         F.round("cv_or_speech_dominance", 6).alias("dominance"),
         F.round("keyword_stuff_ratio", 6).alias("stuff_ratio"),
         F.round(evidence_overall(), 6).alias("overall"),
-        F.round("skill_evidence", 6).alias("skill_evidence"),
+        F.round("skill_evidence", 9).alias("skill_evidence"),
     )
 
 
@@ -447,7 +446,7 @@ FROM raw JOIN hits ON hits.n = {S.norm('skill')} WHERE cluster <> 'ai_keyword_su
     "skill_evidence": f"""
 WITH RECURSIVE {_BASE},{EVIDENCE}
 SELECT candidate_id, {_CLUSTER_COLUMNS}, round(dominance, 6) AS dominance, round(stuff_ratio, 6) AS stuff_ratio,
-  round(({' + '.join(lx.SCORED_CLUSTERS)}) / 7, 6) AS overall, round(skill_evidence, 6) AS skill_evidence
+  round(({' + '.join(lx.SCORED_CLUSTERS)}) / 7, 6) AS overall, round(skill_evidence, 9) AS skill_evidence
 FROM evidence JOIN cand USING (k)""",
     "need_coverage": f"""
 WITH RECURSIVE {_BASE}, names AS (SELECT DISTINCT {S.norm('name')} AS n FROM claims),

@@ -100,19 +100,3 @@ def indel_ratio(a: Column, b: Column) -> Column:
     """``100 * 2 * LCS / (|a| + |b|)`` — an insert/delete similarity, not Levenshtein."""
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * lcs_length(a, b) / total)
-
-
-def indel_at_least(a: Column, b: Column, threshold: int) -> Column:
-    """``indel_ratio(a, b) >= threshold`` with cheap exact pre-checks.
-
-    A ratio of ``threshold`` allows at most ``(1 - threshold/100) * (|a|+|b|)``
-    inserts and deletes.  The length gap and the Levenshtein distance are both
-    lower bounds of that count, so the table is filled for near misses only.
-    """
-    total = F.length(a) + F.length(b)
-    budget = F.floor(total * (100 - threshold) / 100).cast("int")
-    return (
-        (F.abs(F.length(a) - F.length(b)) <= budget)
-        & (F.levenshtein(a, b) <= budget)
-        & (lcs_length(a, b) * 200 >= total * threshold)
-    )

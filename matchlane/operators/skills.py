@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from matchlane.functions.binding import let
 from matchlane.functions.numeric import saturate
-from matchlane.functions.text import indel_at_least, normalise, normalise_literal
+from matchlane.functions.text import indel_ratio, normalise, normalise_literal
 from matchlane.lexicons import (
     CLUSTER_TARGET,
     CLUSTER_WEIGHT,
@@ -31,27 +31,45 @@ from matchlane.lexicons import (
 TRUST_FLOOR = 1e-9
 
 
-def names_match(claim: Column, member: Column, min_len: int = 0) -> Column:
+def _lexicon_entry(name: str, **labels: str) -> Column:
+    """A member with what the fuzzy test needs of it.
+
+    At the threshold a partner's length lies in ``[low, high]`` and its
+    Levenshtein distance is at most ``budget``; both are exact bounds.
+    """
+    norm = normalise_literal(name)
+    t = FUZZY_THRESHOLD
+    low = -(-len(norm) * t // (200 - t))
+    high = len(norm) * (200 - t) // t
+    budget = (len(norm) + high) * (100 - t) // 100
+    values = {"norm": norm, "low": low, "high": high, "budget": budget, **labels}
+    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def names_match(claim: Column, length: Column, entry: Column, min_len: int = 0) -> Column:
     """Either name contains the other, or they are nearly the same string.
 
-    Both sides are normalised.  ``min_len`` > 0 keeps shorter claims from
-    matching inside longer names (the default keeps the published behaviour).
+    ``claim`` is normalised.  ``min_len`` > 0 keeps shorter claims from matching
+    inside longer names (the default keeps the published behaviour).
     """
+    member = entry["norm"]
+    inside = F.contains(member, claim)
     return (
         F.contains(claim, member)
-        | (F.contains(member, claim) & (F.length(claim) >= min_len))
-        | indel_at_least(claim, member, FUZZY_THRESHOLD)
+        | (inside if min_len == 0 else inside & (length >= min_len))
+        | (
+            (length >= entry["low"])
+            & (length <= entry["high"])
+            & (F.levenshtein(claim, member) <= entry["budget"])
+            & (indel_ratio(claim, member) >= FUZZY_THRESHOLD)
+        )
     )
 
 
 def _members(clusters: list[str]) -> Column:
     return F.array(
         *[
-            F.struct(
-                F.lit(cluster).alias("cluster"),
-                F.lit(name).alias("member"),
-                F.lit(normalise_literal(name)).alias("norm"),
-            )
+            _lexicon_entry(name, cluster=cluster, member=name)
             for cluster, names in SKILL_CLUSTERS
             if cluster in clusters
             for name in names
@@ -60,13 +78,18 @@ def _members(clusters: list[str]) -> Column:
 
 
 def first_match(claim: Column, clusters: list[str], min_len: int = 0) -> Column:
-    """``struct<cluster, member, norm>`` of the first matching member in lexicon order."""
-    hits = F.filter(_members(clusters), lambda m: names_match(claim, m["norm"], min_len))
+    """The first matching member in lexicon order, with ``cluster`` and ``member``."""
+    hits = let(
+        F.length(claim), lambda n: F.filter(_members(clusters), lambda m: names_match(claim, n, m, min_len))
+    )
     return F.when(claim != "", F.get(hits, 0))
 
 
 def match_any(claim: Column, clusters: list[str], min_len: int = 0) -> Column:
-    return (claim != "") & F.exists(_members(clusters), lambda m: names_match(claim, m["norm"], min_len))
+    found = let(
+        F.length(claim), lambda n: F.exists(_members(clusters), lambda m: names_match(claim, n, m, min_len))
+    )
+    return (claim != "") & found
 
 
 def skill_trust(s: Column) -> Column:
@@ -173,12 +196,13 @@ def matched_needs() -> Column:
     are then array operations against a job's list.
     """
     needs = list(dict.fromkeys(MUST_HAVE + NICE_TO_HAVE + DISQUALIFIERS))
-    vocabulary = F.array(
-        *[F.struct(F.lit(n).alias("need"), F.lit(normalise_literal(n)).alias("norm")) for n in needs]
-    )
+    vocabulary = F.array(*[_lexicon_entry(n, need=n) for n in needs])
     claimed = F.filter(F.transform("skills", lambda s: normalise(s["name"])), lambda n: n != "")
     covered = let(
-        claimed, lambda names: F.filter(vocabulary, lambda v: F.exists(names, lambda n: names_match(n, v["norm"])))
+        claimed,
+        lambda names: F.filter(
+            vocabulary, lambda v: F.exists(names, lambda n: names_match(n, F.length(n), v))
+        ),
     )
     return F.transform(covered, lambda v: v["need"])
 
