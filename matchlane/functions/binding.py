@@ -1,5 +1,6 @@
 """Evaluating a computed value once."""
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,3 +19,8 @@ def rows_of(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFra
     adds a "not empty" filter below it and so evaluates a computed array twice.
     """
     return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
+def literal_table(value: object, ddl: str) -> Column:
+    """A nested constant; the optimizer folds the parse into a literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)

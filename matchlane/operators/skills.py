@@ -9,9 +9,9 @@ candidates list is no hot key.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlane.functions.binding import let
+from matchlane.functions.binding import let, literal_table
 from matchlane.functions.numeric import saturate
-from matchlane.functions.text import indel_ratio, normalise, normalise_literal
+from matchlane.functions.text import contains_any, indel_ratio, normalise, normalise_literal
 from matchlane.lexicons import (
     CLUSTER_TARGET,
     CLUSTER_WEIGHT,
@@ -30,20 +30,28 @@ from matchlane.lexicons import (
 
 TRUST_FLOOR = 1e-9
 
+_ENTRY = "array<struct<norm:string,low:int,high:int,edits:int,pieces:array<string>,cluster:string,member:string>>"
 
-def _lexicon_entry(name: str, **labels: str) -> Column:
+
+def _pieces(name: str, edits: int) -> list[str]:
+    """``edits + 1`` consecutive pieces: one of them survives ``edits`` inserts and deletes unchanged."""
+    cuts = [len(name) * i // (edits + 1) for i in range(edits + 2)]
+    return [name[i:j] for i, j in zip(cuts, cuts[1:]) if j > i]
+
+
+def _entry(name: str, cluster: str = "") -> dict:
     """A member with what the fuzzy test needs of it.
 
-    At the threshold a partner's length lies in ``[low, high]`` and its
-    Levenshtein distance is at most ``budget``; both are exact bounds.
+    At the threshold a partner's length lies in ``[low, high]``; of the pieces
+    for the largest edit count that allows, one must occur in the partner.
     """
     norm = normalise_literal(name)
     t = FUZZY_THRESHOLD
     low = -(-len(norm) * t // (200 - t))
     high = len(norm) * (200 - t) // t
-    budget = (len(norm) + high) * (100 - t) // 100
-    values = {"norm": norm, "low": low, "high": high, "budget": budget, **labels}
-    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+    edits = (len(norm) + high) * (100 - t) // 100
+    pieces = _pieces(norm, edits)
+    return {"norm": norm, "low": low, "high": high, "edits": edits, "pieces": pieces, "cluster": cluster, "member": name}
 
 
 def names_match(claim: Column, length: Column, entry: Column, min_len: int = 0) -> Column:
@@ -60,21 +68,15 @@ def names_match(claim: Column, length: Column, entry: Column, min_len: int = 0)
         | (
             (length >= entry["low"])
             & (length <= entry["high"])
-            & (F.levenshtein(claim, member) <= entry["budget"])
+            & F.exists(entry["pieces"], lambda p: F.contains(claim, p))
+            & (F.levenshtein(claim, member) <= entry["edits"])
             & (indel_ratio(claim, member) >= FUZZY_THRESHOLD)
         )
     )
 
 
 def _members(clusters: list[str]) -> Column:
-    return F.array(
-        *[
-            _lexicon_entry(name, cluster=cluster, member=name)
-            for cluster, names in SKILL_CLUSTERS
-            if cluster in clusters
-            for name in names
-        ]
-    )
+    return literal_table([_entry(n, c) for c, names in SKILL_CLUSTERS if c in clusters for n in names], _ENTRY)
 
 
 def first_match(claim: Column, clusters: list[str], min_len: int = 0) -> Column:
@@ -85,11 +87,72 @@ def first_match(claim: Column, clusters: list[str], min_len: int = 0) -> Column:
     return F.when(claim != "", F.get(hits, 0))
 
 
-def match_any(claim: Column, clusters: list[str], min_len: int = 0) -> Column:
-    found = let(
-        F.length(claim), lambda n: F.exists(_members(clusters), lambda m: names_match(claim, n, m, min_len))
+def _contains_either(claim: Column, cluster: str, min_len: int) -> Column:
+    """Some member contains the claim or lies inside it.
+
+    The first half is one search in the joined members: ``|`` occurs in no
+    normalised text, so a hit never spans two of them.
+    """
+    norms = [normalise_literal(n) for n in dict(SKILL_CLUSTERS)[cluster]]
+    inside = F.contains(F.lit("|".join(norms)), claim)
+    if min_len:
+        inside = inside & (F.length(claim) >= min_len)
+    return (claim != "") & (inside | contains_any(claim, norms))
+
+
+def _place_by_containment(claim: Column, min_len: int) -> Column:
+    """Position of the first scored cluster decided by containment (or past the end); surface flag."""
+    branch = F
+    for position, cluster in enumerate(SCORED_CLUSTERS):
+        branch = branch.when(_contains_either(claim, cluster, min_len), F.lit(position))
+    return F.struct(
+        branch.otherwise(F.lit(len(SCORED_CLUSTERS))).alias("position"),
+        _contains_either(claim, SURFACE_CLUSTER, min_len).alias("surface"),
     )
-    return (claim != "") & found
+
+
+def _place_by_similarity(claim: Column, placed: Column) -> Column:
+    """Positions of clusters with a nearly equal member that containment has not decided.
+
+    Members are looked up by the claim's length.  Inserts and deletes have the
+    parity of the length gap, so an equal length needs two of them, which only
+    names of nine characters or more can afford at the threshold.  Their number
+    lies between the Levenshtein distance and twice it, so the table is filled
+    only when those two fall on different sides of the limit.
+    """
+    t = FUZZY_THRESHOLD
+    entries = [
+        (position, normalise_literal(n))
+        for position, cluster in enumerate([*SCORED_CLUSTERS, SURFACE_CLUSTER])
+        for n in dict(SKILL_CLUSTERS)[cluster]
+    ]
+    longest = max(len(n) for _, n in entries) * (200 - t) // t
+
+    def near(size: int) -> list[dict]:
+        limits = [(position, n, (len(n) + size) * (100 - t) // 100) for position, n in entries]
+        return [
+            {"position": position, "norm": n, "edits": edits, "pieces": _pieces(n, edits)}
+            for position, n, edits in limits
+            if edits >= (abs(len(n) - size) or 2)
+        ]
+
+    by_length = literal_table(
+        [near(size) for size in range(longest + 1)],
+        "array<array<struct<position:int,norm:string,edits:int,pieces:array<string>>>>",
+    )
+    undecided = F.filter(
+        F.get(by_length, F.length(claim)),
+        lambda m: (
+            (m["position"] < placed["position"]) | ((m["position"] == len(SCORED_CLUSTERS)) & ~placed["surface"])
+        )
+        & F.exists(m["pieces"], lambda p: F.contains(claim, p)),
+    )
+    hits = F.filter(
+        F.transform(undecided, lambda m: m.withField("distance", F.levenshtein(claim, m["norm"]))),
+        lambda m: (m["distance"] * 2 <= m["edits"])
+        | ((m["distance"] <= m["edits"]) & (indel_ratio(claim, m["norm"]) >= t)),
+    )
+    return F.transform(hits, lambda m: m["position"])
 
 
 def skill_trust(s: Column) -> Column:
@@ -117,28 +180,35 @@ def looks_padded(s: Column, trust: Column) -> Column:
 
 def with_claims(candidates: DataFrame, min_len: int = 0) -> DataFrame:
     """Adds ``claims``: one struct per skill with trust, cluster and flags."""
-    named = candidates.withColumn(
-        "_claims",
-        F.transform(
-            "skills", lambda s: s.withField("norm", normalise(s["name"])).withField("trust", skill_trust(s))
-        ),
+    named = F.transform(
+        "skills", lambda s: s.withField("norm", normalise(s["name"])).withField("trust", skill_trust(s))
     )
-    return named.withColumn(
-        "claims",
-        F.transform(
-            "_claims",
-            lambda s: F.struct(
-                s["name"].alias("name"),
-                s["norm"].alias("norm"),
-                s["trust"].alias("trust"),
-                first_match(s["norm"], SCORED_CLUSTERS, min_len)["cluster"].alias("cluster"),
-                match_any(s["norm"], [SURFACE_CLUSTER], min_len).alias("surface"),
-                looks_padded(s, s["trust"]).alias("padded"),
-                s["norm"].isin(VISION_SKILLS).alias("vision"),
-                s["norm"].isin(SPEECH_SKILLS).alias("speech"),
+    clusters = F.array(*[F.lit(c) for c in SCORED_CLUSTERS])
+
+    def claim(s: Column, i: Column) -> Column:
+        placed, similar = F.get("_placed", i), F.get("_similar", i)
+        return F.struct(
+            s["name"].alias("name"),
+            s["norm"].alias("norm"),
+            s["trust"].alias("trust"),
+            F.get(clusters, F.least(placed["position"], F.array_min(similar))).alias("cluster"),
+            (placed["surface"] | F.coalesce(F.array_contains(similar, len(SCORED_CLUSTERS)), F.lit(False))).alias(
+                "surface"
             ),
-        ),
-    ).drop("_claims")
+            looks_padded(s, s["trust"]).alias("padded"),
+            s["norm"].isin(VISION_SKILLS).alias("vision"),
+            s["norm"].isin(SPEECH_SKILLS).alias("speech"),
+        )
+
+    return (
+        candidates.withColumn("_named", named)
+        .withColumn("_placed", F.transform("_named", lambda s: _place_by_containment(s["norm"], min_len)))
+        .withColumn(
+            "_similar", F.transform("_named", lambda s, i: _place_by_similarity(s["norm"], F.get("_placed", i)))
+        )
+        .withColumn("claims", F.transform("_named", claim))
+        .drop("_named", "_placed", "_similar")
+    )
 
 
 def _trust_where(condition) -> Column:
@@ -196,7 +266,7 @@ def matched_needs() -> Column:
     are then array operations against a job's list.
     """
     needs = list(dict.fromkeys(MUST_HAVE + NICE_TO_HAVE + DISQUALIFIERS))
-    vocabulary = F.array(*[_lexicon_entry(n, need=n) for n in needs])
+    vocabulary = literal_table([_entry(n) for n in needs], _ENTRY)
     claimed = F.filter(F.transform("skills", lambda s: normalise(s["name"])), lambda n: n != "")
     covered = let(
         claimed,
@@ -204,7 +274,7 @@ def matched_needs() -> Column:
             vocabulary, lambda v: F.exists(names, lambda n: names_match(n, F.length(n), v))
         ),
     )
-    return F.transform(covered, lambda v: v["need"])
+    return F.transform(covered, lambda v: v["member"])
 
 
 def need_hits(required: Column, matched: Column) -> Column:
