@@ -1,7 +1,5 @@
 """Text normalisation, tokenising, n-grams and string similarity."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,7 +70,8 @@ def characters(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    """Whether some word occurs anywhere in the text (one compiled alternation)."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

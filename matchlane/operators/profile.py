@@ -66,8 +66,8 @@ def blob_tokens() -> Column:
     )
 
 
-def role_of(title: Column) -> Column:
-    """``struct<family, score>`` of a normalised title; the longest keyword wins.
+def role_of(title: str) -> str:
+    """SQL for the ``struct<family, score>`` of a normalised title; the longest keyword wins.
 
     The branches are sorted longest keyword first (lexicon order on ties), so
     the first hit is the answer and the rest is skipped.
@@ -75,13 +75,11 @@ def role_of(title: Column) -> Column:
     keywords = [(kw, fam, score) for fam, score, kws in ROLE_FAMILIES for kw in kws]
     keywords.sort(key=lambda k: -len(k[0]))
 
-    def role(family: str, score: float) -> Column:
-        return F.struct(F.lit(family).alias("family"), F.lit(score).alias("score"))
+    def role(family: str, score: float) -> str:
+        return f"named_struct('family', '{family}', 'score', {score}D)"
 
-    branch = F
-    for keyword, family, score in keywords:
-        branch = branch.when(F.contains(title, F.lit(keyword)), role(family, score))
-    return branch.otherwise(role("unknown", 0.0))
+    branches = " ".join(f"WHEN contains({title}, '{kw}') THEN {role(fam, score)}" for kw, fam, score in keywords)
+    return f"CASE {branches} ELSE {role('unknown', 0.0)} END"
 
 
 def with_role_signals(candidates: DataFrame) -> DataFrame:
@@ -99,12 +97,12 @@ def with_role_signals(candidates: DataFrame) -> DataFrame:
     )
     matched = prepared.withColumns(
         {
-            "_role": role_of(F.col("_title")),
-            "_recent": F.transform("_recent_titles", lambda t: role_of(t)["score"]),
+            "_role": F.expr(role_of("_title")),
+            "_recent": F.expr(f"transform(_recent_titles, t -> {role_of('t')})"),
             "_all_consulting": F.forall("_employers", lambda e: contains_any(e, CONSULTING_FIRMS)),
         }
     )
-    total = F.aggregate("_recent", F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("_recent", F.lit(0.0), lambda a, r: a + r["score"])
     return matched.withColumns(
         {
             "current_family": F.col("_role.family"),
