@@ -8,6 +8,7 @@ result has the raw profile schema and goes through the normal readers.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlane.functions.binding import literal_table
 from matchlane.operators.joins import join_lookup, top_k
 
 # Dimensions, picked by position.
@@ -46,7 +47,7 @@ REFERENCE_DATE = "2024-02-01"
 
 
 def pick(values: list[str], position: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), position.cast("int") + 1)
+    return F.element_at(literal_table(values, "array<string>"), position.cast("int") + 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -243,3 +244,99 @@ def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             seeded,
         ).alias("text"),
     )
+
+
+def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row_index, value``: raw profiles as JSON lines, most with one defect chosen by key.
+
+    Every tenth key (2) omits null fields, the others write them as JSON null.
+    """
+    raw = raw_profiles(spark, sf_dir)
+    k = F.substring("candidate_id", 6, 7).cast("bigint")
+    kind = k % 10
+    p, s, i = F.col("profile"), F.col("signals"), F.col("candidate_id")
+
+    def spoil(column: Column, digit: int, other: Column) -> Column:
+        return F.when(kind == digit, other).otherwise(column)
+
+    def first(column: str, fix) -> Column:
+        return F.transform(column, lambda x, at: F.when(at == 0, fix(x)).otherwise(x))
+
+    spoiled = raw.select(
+        spoil(i, 1, F.concat(F.lit("ID_"), k.cast("string"))).alias("candidate_id"),
+        spoil(
+            spoil(p, 3, p.withField("current_company_size", F.lit("weird"))),
+            4,
+            p.withField("years_of_experience", F.lit(75.5)),
+        ).alias("profile"),
+        spoil(
+            spoil(
+                F.col("career_history"),
+                6,
+                first("career_history", lambda r: r.withField("start_date", F.lit("2020/01/01"))),
+            ),
+            8,
+            F.slice("career_history", 1, 0),
+        ).alias("career_history"),
+        spoil(F.col("education"), 7, F.flatten(F.array_repeat("education", 6))).alias("education"),
+        spoil(
+            F.col("skills"), 5, first("skills", lambda x: x.withField("endorsements", F.lit(-1).cast("bigint")))
+        ).alias("skills"),
+        spoil(
+            s,
+            9,
+            s.withField("skill_assessment_scores", F.create_map(F.lit("Python"), F.lit(150.0))),
+        ).alias("signals"),
+    )
+    record = F.struct(*[F.col(c) for c in spoiled.columns])
+    key = F.regexp_extract("candidate_id", "([0-9]+)$", 1).cast("bigint")
+    with_nulls = F.to_json(record, {"ignoreNullFields": "false"})
+    return spoiled.select(
+        key.alias("row_index"), F.when(key % 10 == 2, F.to_json(record)).otherwise(with_nulls).alias("value")
+    )
+
+
+def prompt_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sample_id, decision, score, context``: one sample per candidate."""
+    from matchlane.operators.dataset import candidate_context
+
+    raw = raw_profiles(spark, sf_dir)
+    k = F.substring("candidate_id", 6, 7).cast("bigint")
+    return raw.select(
+        F.col("candidate_id").alias("sample_id"),
+        F.when(k % 2 == 0, "shortlist").otherwise("reject").alias("decision"),
+        F.bround(F.col("profile.years_of_experience") / 20, 4).alias("score"),
+        candidate_context().alias("context"),
+    )
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sample_id, model, completion``: built answers (tuned) and conversation turns (base)."""
+    customers = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    title, city = pick(TITLES, (k * 7) % 16), pick(CITIES, F.col("c_nationkey") % 9)
+    years = F.floor(F.abs("c_acctbal") / 50).cast("string")
+    fact = F.concat(F.lit('"Works as '), title, F.lit(" in "), city, F.lit('"'))
+    full = F.concat(
+        F.lit('Answer: {"decision":"reject","score":0.'), F.lpad(years, 3, "0"), F.lit(',"reasons":['), fact,
+        F.lit(',"Has '), years, F.lit(' tickets at Contoso Labs","Knows Kubernetes and Airflow well"]} done'),
+    )
+    quoted = F.lit("{'decision': 'reject', 'score': 0.4, 'reasons': ['Only one short reason given']}")
+    thinking = F.concat(
+        F.lit('<think>maybe {no}</think>{"decision":" Shortlist ","score":0.9,"reasons":['), fact, F.lit(","), fact,
+        F.lit(',7,"ok"]}'),
+    )
+    empty = F.lit('{"decision":"shortlist","score":"0.35","reasons":[]}')
+    tuned = customers.select(
+        candidate_id(k).alias("sample_id"),
+        F.lit("tuned").alias("model"),
+        F.when(k % 4 == 0, full).when(k % 4 == 1, quoted).when(k % 4 == 2, thinking).otherwise(empty).alias(
+            "completion"
+        ),
+    )
+    turns = table(spark, sf_dir, "conversations").select(
+        candidate_id(F.col("conv_id") % customers.agg(F.count("*")).scalar()).alias("sample_id"),
+        F.lit("base").alias("model"),
+        F.col("text").alias("completion"),
+    )
+    return tuned.unionByName(turns)
