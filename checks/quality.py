@@ -37,7 +37,7 @@ def validation_report(spark, sf_dir):
 
 
 def quarantine(spark, sf_dir):
-    good, bad = V.gate(validated(spark, sf_dir))
+    good, bad = V.gate(validated(spark, sf_dir), ["row_index"])
     return good.select("row_index", F.lit("valid").alias("gate")).unionByName(
         bad.select("row_index", F.lit("quarantine").alias("gate"))
     )
