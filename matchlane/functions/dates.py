@@ -20,4 +20,4 @@ def year_of(text: Column) -> Column:
 
 def month_start_before(reference: Column, months: int) -> Column:
     """ISO string of the first day of the month ``months`` before ``reference``."""
-    return F.date_format(F.trunc(F.add_months(reference, -months), "month"), "yyyy-M-d")
+    return F.date_format(F.trunc(F.add_months(reference, -months), "month"), "yyyy-MM-dd")

@@ -340,3 +340,73 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("completion"),
     )
     return tuned.unionByName(turns)
+
+
+# Names and headings of the derived résumés.
+NAMES = ["Asha Rao", "Ravi Kumar", "Lena Maria Vogt", "tom small", "JOHN STONE", "Mei Lin"]
+SUMMARY_HEADINGS = ["Summary", "PROFESSIONAL SUMMARY:", "About -"]
+JOINERS = [" at ", ", ", " | "]
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text``: one plain-text résumé per customer."""
+    texts = table(spark, sf_dir, "benchmark")
+    customers = table(spark, sf_dir, "customer").withColumn(
+        "item_id", F.col("c_custkey") % texts.agg(F.count("*")).scalar()
+    )
+    joined = (
+        join_lookup(customers, texts, ["item_id"], F.col("c_custkey"), "left")
+        .join(_roles(spark, sf_dir).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+        .join(_claims(spark, sf_dir).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    )
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+
+    def role_lines(r: Column) -> Column:
+        start = F.substring(r["start_date"], 1, 4).cast("int")
+        until = F.when(r["is_current"], F.lit("Present")).otherwise(
+            (start + F.floor(r["duration_months"] / 12)).cast("string")
+        )
+        return F.concat(
+            r["title"], pick(JOINERS, r["pos"] % 3), r["company"], F.lit(", "), start.cast("string"),
+            F.when(r["pos"] % 2 == 0, F.lit(" - ")).otherwise(F.lit(" to ")), until, F.lit("\n"), r["description"],
+        )
+
+    end = F.lit(1985) + k % 30
+    study = F.when(
+        nation % 2 == 0,
+        F.concat(
+            F.lit("University "), nation.cast("string"), F.lit(", "), pick(DEGREES, k % 4), F.lit(", Physics, "),
+            (end - 4).cast("string"), F.lit(" - "), end.cast("string"),
+        ),
+    ).otherwise(F.concat(F.lit("College | "), pick(DEGREES, k % 4), F.lit(" "), end.cast("string")))
+    return joined.select(
+        F.concat(F.lit("resume_"), F.lpad(k.cast("string"), 7, "0"), F.lit(".txt")).alias("path"),
+        F.concat_ws(
+            "\n",
+            pick(NAMES, k % 6),
+            F.concat(F.lit("person"), k.cast("string"), F.lit("@example.com")),
+            F.concat(pick(TITLES, (k * 7) % 16), F.lit(" for hire")),
+            F.lit(""),
+            pick(SUMMARY_HEADINGS, k % 3),
+            "text",
+            F.when(k % 7 != 3, F.concat(F.lit("Work  Experience\n"), F.array_join(F.transform("roles", role_lines), "\n"))),
+            F.concat(F.lit("\nEducation\n"), study),
+            F.when(
+                k % 5 != 2,
+                F.concat(
+                    F.lit("Skills:\n"),
+                    F.array_join(F.transform("claims", lambda c: c["name"]), ", "),
+                    F.lit("; Go; sql • go"),
+                ),
+            ),
+        ).alias("text"),
+    )
+
+
+def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content``: the résumés as files, some empty or with an unknown suffix."""
+    k = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    return resumes(spark, sf_dir).select(
+        F.when(k % 10 == 7, F.replace("path", F.lit(".txt"), F.lit(".xyz"))).otherwise(F.col("path")).alias("path"),
+        F.when(k % 10 == 8, F.lit("")).otherwise(F.col("text")).cast("binary").alias("content"),
+    )
