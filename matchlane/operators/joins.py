@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlane.session import fits
+from matchlane.session import fits, materialise
 
 BROADCAST_ROWS = 500_000
 SALTS = 64
@@ -54,3 +54,24 @@ def top_k(
         .withColumn(rank, F.row_number().over(final))
         .where(F.col(rank) <= k)
     )
+
+
+def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """Adds the row's position (from 0) in the given total order, without a single-task sort.
+
+    Rows are range-partitioned and sorted inside partitions; one small table of
+    partition sizes gives each partition its offset.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(
+        ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")),
+        "ordinal",
+    )
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first"))
+        .drop("_part", "_at", "_first", "_offset")
+    )
