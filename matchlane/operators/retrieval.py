@@ -143,7 +143,8 @@ def document_norms(index: RetrievalIndex, head_terms: int = HEAD_TERMS) -> DataF
     cut = max(MIN_DF, -(-index.n_postings // head_terms))
     vocabulary = index.tfidf_vocabulary()
     rows = postings(index.docs, ["doc_key"])
-    squared = F.pow((1.0 + F.log("tf")) * F.col("idf"), F.lit(2.0)).alias("w2")
+    weight = (1.0 + F.log("tf")) * F.col("idf")
+    squared = (weight * weight).alias("w2")
 
     head = F.broadcast(vocabulary.where(F.col("df") >= cut).select("term", "idf"))
     parts = rows.join(head, "term").select("doc_key", squared)
