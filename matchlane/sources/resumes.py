@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Accepted suffixes, paragraph and text tags of a .docx document.
@@ -54,5 +54,18 @@ def resume_texts(files: DataFrame) -> DataFrame:
     return decoded.unionByName(archives.mapInPandas(_read_docx, "path string, text string, error string"))
 
 
+def _plain_path(path: Column) -> Column:
+    """``scheme:/path`` whatever the number of slashes."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
 def read_resumes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return resume_texts(spark.read.format("binaryFile").load(paths).select("path", "content"))
+    """Every file of the folder.  Spark's file scan skips empty files, so they are
+    added from the listing the scan already holds."""
+    files = spark.read.format("binaryFile").load(paths)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "listed string").select(
+        _plain_path(F.url_decode(F.replace("listed", F.lit("+"), F.lit("%2B")))).alias("path")
+    )
+    read = files.select(_plain_path(F.col("path")).alias("path"), "content")
+    empty = listed.join(read.select("path"), "path", "left_anti").withColumn("content", F.lit("").cast("binary"))
+    return resume_texts(read.unionByName(empty))
