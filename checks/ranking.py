@@ -41,8 +41,7 @@ def single_job(spark, sf_dir):
 
 def breakdowns(spark, sf_dir):
     return scored(spark, sf_dir).select(
-        "jd_id", "candidate_id", *[F.round(c, 6).alias(c) for c in COMPONENTS if c != "final"],
-        F.round("final", 6).alias("final"),
+        "jd_id", "candidate_id", *[F.bround(F.round(c, 12), 6).alias(c) for c in COMPONENTS],
     )
 
 
@@ -163,7 +162,7 @@ def _shown(name: str, low: float, high: float) -> str:
 SQL = {
     "score_breakdown": f"""
 WITH {_FINAL} SELECT jd_id, candidate_id,
-  {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in COMPONENTS)} FROM final""",
+  {', '.join(f'{S.half_even(c, 6)}::DOUBLE AS {c}' for c in COMPONENTS)} FROM final""",
     "rank_candidates": f"""
 WITH {_FINAL},{_RANKED} SELECT jd_id, candidate_id, rank::INT AS rank, score, reasoning FROM listed""",
     "rank_single_job": f"""

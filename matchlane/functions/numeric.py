@@ -29,3 +29,8 @@ def fixed(x: Column, digits: int) -> Column:
 
 def safe_float(text: Column) -> Column:
     return text.try_cast("double")
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded half to even on the decimal value; noise beyond nine decimals makes no tie go astray."""
+    return F.bround(F.round(x, 9), digits)

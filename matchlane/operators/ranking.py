@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlane.functions.numeric import clip, rescale
+from matchlane.functions.numeric import clip, half_even, rescale
 from matchlane.lexicons import DISPLAY_RANGE, SCORE_RANGE, SCORE_WEIGHT
 
 COMPONENTS = [
@@ -40,7 +40,7 @@ def final_score(
 
 def breakdown() -> Column:
     """The eight components as a struct, rounded half-even to four decimals."""
-    return F.struct(*[F.bround(F.col(c), 4).alias(c) for c in COMPONENTS])
+    return F.struct(*[half_even(F.col(c), 4).alias(c) for c in COMPONENTS])
 
 
 def display_components(breakdown_column: str = "breakdown") -> list[Column]:
@@ -57,5 +57,5 @@ def canonical_order(shortlist: DataFrame, group: list[str]) -> DataFrame:
 
     Runs on shortlists only, so a group is at most k rows.
     """
-    by = Window.partitionBy(*group).orderBy(F.desc(F.bround("score", 4)), F.asc("candidate_id"))
+    by = Window.partitionBy(*group).orderBy(F.desc(half_even(F.col("score"), 4)), F.asc("candidate_id"))
     return shortlist.withColumn("rank", F.row_number().over(by))

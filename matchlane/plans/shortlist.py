@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlane.functions.numeric import half_even
 from matchlane.operators.joins import BROADCAST_ROWS, join_lookup, top_k
 from matchlane.operators.profile import (
     blob_tokens,
@@ -101,7 +102,7 @@ def shortlist(
             "jd_id",
             "candidate_id",
             "rank",
-            F.bround("final", 4).alias("score"),
+            half_even(F.col("final"), 4).alias("score"),
             sentence(F.col("final")).alias("reasoning"),
             "breakdown",
         )
