@@ -1,10 +1,11 @@
 """Registered queries of this package, and the SQL that states their results where SQL can."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, url_filter
-from matchlane.llm.support import table
+from matchlane.llm import chat, packing, token_counts, url_filter
+from matchlane.llm.support import small_batches, table
 from matchlane.session import materialise
 
 RULES = [
@@ -87,9 +88,27 @@ SELECT page_id, host, path, rule, CASE
 FROM fits
 """
 
+def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the compiled word-level BPE."""
+    docs = table(small_batches(spark), sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def op9_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack_documents(table(small_batches(spark), sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op4_reply_trees": op4_reply_trees,
     "op6_bloom_cascade": op6_bloom_cascade,
+    "op7_transducer_counts": op7_transducer_counts,
+    "op9_cost_balanced": op9_cost_balanced,
 }
 SQL = {
     "op4_reply_trees": OP4_SQL,
