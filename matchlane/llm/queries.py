@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, packing, token_counts, url_filter
-from matchlane.llm.support import small_batches, table
+from matchlane.llm import chat, packing, ppm, token_counts, url_filter
+from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
 RULES = [
@@ -104,11 +104,18 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by models of those whose remainder is not 2."""
+    docs = table(small_batches(spark), sf_dir, "documents")
+    return ppm.score(docs, F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)))
+
+
 QUERIES = {
     "op4_reply_trees": op4_reply_trees,
     "op6_bloom_cascade": op6_bloom_cascade,
     "op7_transducer_counts": op7_transducer_counts,
     "op9_cost_balanced": op9_cost_balanced,
+    "op10_partial_matching": op10_partial_matching,
 }
 SQL = {
     "op4_reply_trees": OP4_SQL,
