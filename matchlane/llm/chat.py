@@ -30,31 +30,32 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("~l"), F.lit("<|")), F.lit("~t"), F.lit("~"))
 
 
-def ancestor_tables(messages: DataFrame) -> list[DataFrame]:
-    """Stored tables i = 0, 1, ...: each node's 2**i-th ancestor ``up`` (null: above the root).
+def ancestor_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Stored tables i = 0, 1, ... of each node's 2**i-th ancestor ``up``, where it has one; and all roots' paths.
 
-    ``far`` counts and ``total`` adds up the nodes from the node up to, without, ``up``; where ``up``
-    is null these are the length and the score of the whole path.
+    ``far`` counts and ``total`` adds up the nodes from the node up to, without, ``up``; in the second
+    result, up to the root. A node leaves the doubling once its path has reached the root.
     """
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
     nodes = messages.where(F.col("node").isNotNull()).select("tree", "node", "parent", score)
     known = nodes.selectExpr("tree AS _tree", "node AS up")
     linked = nodes.join(known, F.expr("tree <=> _tree and parent = up"), "left")
-    first = linked.selectExpr("tree", "node", "up", "1L AS far", "score AS total")
-    tables = [materialise(first, "chat-links")]
-    n = tables[0].count()
-    while 2 ** len(tables) <= 2 * n and not tables[-1].where("up is not null").isEmpty():
-        a, b = tables[-1].alias("a"), tables[-1].alias("b")
-        pairs = a.join(b, F.expr("a.tree <=> b.tree and a.up = b.node"), "left")
-        doubled = pairs.selectExpr(
-            "a.tree",
-            "a.node",
-            "b.up",
-            "a.far + coalesce(b.far, 0L) AS far",
-            "a.total + coalesce(b.total, 0D) AS total",
+    links = materialise(linked.selectExpr("tree", "node", "up", "1L AS far", "score AS total"), "chat-links")
+    n = links.count()
+    steps, whole = [links.where("up is not null")], links.where("up is null")
+    while 2 ** (len(steps) - 1) <= n and not steps[-1].isEmpty():
+        above = steps[-1].unionByName(whole).selectExpr(
+            "tree AS _tree", "node AS _node", "up AS _up", "far AS _far", "total AS _total"
         )
-        tables.append(materialise(doubled, "chat-links"))
-    return tables
+        doubled = materialise(
+            steps[-1]
+            .join(above, F.expr("tree <=> _tree and up = _node"))
+            .selectExpr("tree", "node", "_up AS up", "far + _far AS far", "total + _total AS total"),
+            "chat-links",
+        )
+        steps.append(doubled.where("up is not null"))
+        whole = whole.unionByName(doubled.where("up is null"))
+    return steps, whole
 
 
 def root_paths(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -63,17 +64,15 @@ def root_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     Takes (tree, node, parent, score). Joins are on (tree, node) and the ranking keeps ``best`` leaves
     of a tree before its shuffle, so a tree with many messages meets in no task.
     """
-    *steps, whole = ancestor_tables(messages)
+    steps, whole = ancestor_tables(messages)
     answered = messages.select(F.col("tree").alias("_tree"), F.col("parent").alias("_parent"))
-    leaves = whole.where("up is null").join(
-        answered, F.expr("tree <=> _tree and node = _parent"), "left_anti"
-    )
+    leaves = whole.join(answered, F.expr("tree <=> _tree and node = _parent"), "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("far")).desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= best)
     paths = chosen.selectExpr("tree", "node AS leaf", "branch", "node", "far - 1 AS depth")
     for i in range(len(steps) - 1, -1, -1):
         paths = materialise(paths, "chat-paths")
-        above = steps[i].where("up is not null").selectExpr("tree AS _tree", "node AS _node", "up")
+        above = steps[i].selectExpr("tree AS _tree", "node AS _node", "up")
         higher = paths.join(above, F.expr("tree <=> _tree and node = _node")).selectExpr(
             "tree", "leaf", "branch", "up AS node", f"depth - {2**i}L AS depth"
         )
