@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, packing, ppm, token_counts, url_filter
+from matchlane.llm import chat, packing, pii, ppm, token_counts, url_filter
 from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
@@ -61,6 +61,20 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_spans(docs, pii.learn(docs))
+    base = F.filter("pii", lambda s: s["base"])
+    counts = [pii.count_of(base, kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        pii.span_list(F.col("pii")).alias("spans"),
+    )
+
+
 def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by rules, then by an exact cascade over all hosts."""
     listed = F.col("key").rlike(LISTED_HOST)
@@ -112,6 +126,7 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_reply_trees": op4_reply_trees,
+    "op5_weak_supervision": op5_weak_supervision,
     "op6_bloom_cascade": op6_bloom_cascade,
     "op7_transducer_counts": op7_transducer_counts,
     "op9_cost_balanced": op9_cost_balanced,
