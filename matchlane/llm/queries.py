@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, packing, pii, ppm, token_counts, url_filter
+from matchlane.llm import chat, decontaminate, langid, packing, pii, ppm, token_counts, url_filter
 from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
@@ -19,6 +19,13 @@ LISTED_HOST = "(^|[.-])(ads|casino|spam|adult|pills|bets|cheap|free)([.-]|$)"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    docs = table(small_batches(spark), sf_dir, "documents").withColumn("held_out", held_out)
+    return langid.predict(docs, langid.learn(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one whose texts are control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -108,6 +115,12 @@ def op7_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_seeds_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    docs = table(small_batches(spark), sf_dir, "documents")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op9_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(table(small_batches(spark), sf_dir, "documents"))
@@ -125,10 +138,12 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_family_svm": op3_family_svm,
     "op4_reply_trees": op4_reply_trees,
     "op5_weak_supervision": op5_weak_supervision,
     "op6_bloom_cascade": op6_bloom_cascade,
     "op7_transducer_counts": op7_transducer_counts,
+    "op8_seeds_alignment": op8_seeds_alignment,
     "op9_cost_balanced": op9_cost_balanced,
     "op10_partial_matching": op10_partial_matching,
 }

@@ -74,15 +74,21 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+# Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR
+) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and each row's range in them.
 
-    Words are runs of bytes outside 9-13 and 32; a row's end also ends a word.
+    Words are runs of bytes outside ``separator`` (9-13 and 32); a row's end also ends a word.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     edges = offsets[offsets < n]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -100,6 +106,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(start, offsets)
 
 
+def row_grams(words: np.ndarray, ranges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all ``k``-word sequences that lie within one row."""
+    grams = shingle_hashes(words, k) if len(words) >= k else words[:0]
+    ends = np.repeat(ranges[1:], np.diff(ranges))[: len(grams)]
+    at = np.flatnonzero(np.arange(len(grams)) + k <= ends)
+    return at, grams[at]
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k``-word shingles of one row; all its words as one where it has fewer."""
     n = min(k, len(words))
