@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, decontaminate, langid, packing, pii, ppm, token_counts, url_filter
+from matchlane.llm import chat, decontaminate, langid, neighbours, packing, pii, ppm, token_counts, url_filter
 from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
@@ -19,6 +19,11 @@ LISTED_HOST = "(^|[.-])(ads|casino|spam|adult|pills|bets|cheap|free)([.-]|$)"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(small_batches(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
@@ -138,6 +143,7 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_collision_counting": op1_collision_counting,
     "op3_family_svm": op3_family_svm,
     "op4_reply_trees": op4_reply_trees,
     "op5_weak_supervision": op5_weak_supervision,
