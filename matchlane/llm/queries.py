@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, decontaminate, langid, neighbours, packing, pii, ppm, token_counts, url_filter
+from matchlane.llm import chat, decontaminate, jaccard, langid, neighbours, packing, pii, ppm, token_counts, url_filter
 from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
@@ -24,6 +24,36 @@ def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(small_batches(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op2_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    docs = table(small_batches(spark), sf_dir, "documents")
+    return jaccard.near_duplicates(docs, 3, 90, 100).drop("row")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.t = b.t AND a.doc_id < b.doc_id
+  WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY x, y
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * common >= 90 * (na + nb - common)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, CASE WHEN l.x = r.other THEN l.y ELSE l.x END FROM reach r JOIN links l ON r.other IN (l.x, l.y)
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
 def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
@@ -144,6 +174,7 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_collision_counting": op1_collision_counting,
+    "op2_token_groups": op2_token_groups,
     "op3_family_svm": op3_family_svm,
     "op4_reply_trees": op4_reply_trees,
     "op5_weak_supervision": op5_weak_supervision,
@@ -154,6 +185,7 @@ QUERIES = {
     "op10_partial_matching": op10_partial_matching,
 }
 SQL = {
+    "op2_token_groups": OP2_SQL,
     "op4_reply_trees": OP4_SQL,
     "op6_bloom_cascade": OP6_SQL,
 }
