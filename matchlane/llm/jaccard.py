@@ -252,13 +252,13 @@ def _opened(pairs: DataFrame, families: DataFrame, sets: DataFrame, num: int, de
     return _verified(opened, sets, num, den)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row: Column | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component_id: the smallest id that links lead to, itself included.
 
-    Links have a Jaccard similarity of at least ``num / den``. ``row`` is ``docs.row``, if it has one.
+    Links have a Jaccard similarity of at least ``num / den``. ``row`` names a row for the caller.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", (F.col("row") if "row" in docs.columns else F.lit(None)).cast("long").alias("row"), "text")
+    texts = docs.select("doc_id", (F.lit(None) if row is None else row).cast("long").alias("row"), "text")
     stored = _features(texts, k)
     features = stored.where("tokens is null").drop("tokens", "counts")
     grouped = features.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
@@ -285,3 +285,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     named = features.join(component, ["n", "d1", "d2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return named.select("doc_id", "row", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: each component keeps its smallest id.
+
+    Of rows that repeat that id one stays. Rows without an id are kept. ``docs`` is a stored table:
+    its rows are told apart by their place in it.
+    """
+    row = F.monotonically_increasing_id()
+    found = materialise(near_duplicates(docs, k, num, den, row), "jaccard-components")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select("kept.row")
+    dropped = found.where("component_id is not null").join(kept, "row", "left_anti").select("row")
+    return docs.select(F.struct("*").alias("doc"), row.alias("row")).join(dropped, "row", "left_anti").select("doc.*")

@@ -244,3 +244,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     kept = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(batches, f"{schema}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+    model = learn(docs, F.lit(True))
+    named = predict(docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"])
+    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")

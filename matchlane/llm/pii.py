@@ -325,3 +325,10 @@ def _mask_kind(text, kind, pattern, hint, loose, classifier, threshold) -> Colum
         return F.when(t.rlike(hint), let(both, rebuild)).otherwise(t)
 
     return let(text, whole)
+
+
+def without_personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with personal data masked in ``text``, and ``n_chars``, where present, counted anew."""
+    clean = masked(F.coalesce("text", F.lit("")), learn(docs), threshold)
+    changed = docs.withColumn("text", F.when(F.col("text").isNotNull(), clean))
+    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž‘’“”–—…]")
 CHUNK = 256
-MAX_STATES = 400_000
+MAX_STATES = 250_000
 MAX_WORDS = 400_000
 
 
