@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks import answers, profiles, quality, ranking, resumes, text
-from matchlane.plans.sample_profiles import candidate_id, raw_profiles
+from matchlane.plans.sample_profiles import candidate_id, candidate_key, raw_profiles
 from matchlane.plans.shortlist import rank_candidates
 from matchlane.session import materialise, tune
 from matchlane.sources.candidates import to_candidates
@@ -42,7 +42,7 @@ def pool(spark: SparkSession, sf_dir: str):
     raw = materialise(raw_profiles(spark, sf_dir), "bench-profiles")
     n = raw.count()
     copies = -(-POOL // n)
-    key = F.substring("candidate_id", 6, 7).cast("bigint")
+    key = candidate_key(F.col("candidate_id"))
     repeated = raw.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return (
         repeated.withColumn("candidate_id", candidate_id(key + F.col("_copy") * n))

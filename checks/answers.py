@@ -10,8 +10,9 @@ from matchlane.operators import dataset as D
 from matchlane.operators import rewards as W
 from matchlane.plans import sample_profiles as sp
 from matchlane.plans.sample_profiles import completions, prompt_pool, raw_profiles
+from matchlane.plans.shortlist import index_candidates, score_candidates
 
-TOP, CAP = 20, 30
+TOP, CAP = 20, 30  # the report's limits
 JD = lx.DEFAULT_JD_TEXT
 
 
@@ -19,15 +20,21 @@ def contexts(spark, sf_dir):
     return raw_profiles(spark, sf_dir).select("candidate_id", D.candidate_context().alias("context"))
 
 
+def records(spark, sf_dir):
+    """Raw profiles with the whole record as one line and their place in the input."""
+    raw = raw_profiles(spark, sf_dir)
+    return raw.withColumn("line", D.record_line(raw.columns)).withColumn("ordinal", sp.candidate_key(F.col("candidate_id")))
+
+
 def overlap_scores(spark, sf_dir):
-    """Word overlap of every context with the default job."""
-    scored = D.overlap_scores(contexts(spark, sf_dir), JD, "context")
+    """Word overlap of every whole record with the default job."""
+    scored = D.overlap_scores(records(spark, sf_dir), JD, "line")
     return scored.select("candidate_id", F.round("base", 9).alias("base"))
 
 
 def labelled(spark, sf_dir):
-    raw = raw_profiles(spark, sf_dir).withColumn("line", D.candidate_context())
-    return D.label(D.overlap_scores(raw, JD, "line"), TOP, [F.asc("candidate_id")])
+    """Gold labels; records of equal overlap stay in input order."""
+    return D.label(D.overlap_scores(records(spark, sf_dir), JD, "line"), TOP, [F.asc("ordinal")])
 
 
 def gold_labels(spark, sf_dir):
@@ -35,12 +42,16 @@ def gold_labels(spark, sf_dir):
 
 
 def gold_labels_by_ranking(spark, sf_dir):
-    raw = raw_profiles(spark, sf_dir)
-    ranked = R.rank_candidates(P.to_candidates(raw), R.default_job(spark), P.today(), max(TOP * 4, 50))
-    out = D.label_by_ranking(raw.select("candidate_id"), ranked, TOP)
+    """Labels from the ranking's score of every candidate."""
+    index = index_candidates(P.to_candidates(raw_profiles(spark, sf_dir)), P.today())
+    out = D.label_by_ranking(score_candidates(index, R.default_job(spark)), TOP)
     return out.select("candidate_id", "decision", "score", "is_top")
 
 
+def class_counts(spark, sf_dir):
+    return D.class_counts(labelled(spark, sf_dir))
+
+
 def balanced(spark, sf_dir):
     return D.balance(labelled(spark, sf_dir)).select("candidate_id", "decision")
 
@@ -109,6 +120,7 @@ QUERIES = {
     "word_overlap": overlap_scores,
     "gold_labels": gold_labels,
     "gold_labels_by_ranking": gold_labels_by_ranking,
+    "class_counts": class_counts,
     "balanced_samples": balanced,
     "prompt_samples": prompt_samples,
     "chat_messages": chat_messages,
@@ -135,17 +147,49 @@ ctx AS (
       SELECT substr(description, 1, 400) FROM roles WHERE roles.k = cand.k AND pos = 1), '') AS context
   FROM cand)"""
 
+# The words of a whole record: its keys as far as they are there, and every text as JSON in plain ASCII.
+_KEYS = {
+    "record": "candidate_id profile anonymized_name headline summary location country years_of_experience current_title "
+    "current_company current_company_size current_industry career_history education skills signals "
+    "profile_completeness_score signup_date last_active_date open_to_work_flag profile_views_received_30d "
+    "applications_submitted_30d recruiter_response_rate avg_response_time_hours skill_assessment_scores connection_count "
+    "endorsements_received notice_period_days expected_salary_range_inr_lpa min max preferred_work_mode "
+    "willing_to_relocate github_activity_score search_appearance_30d saved_by_recruiters_30d interview_completion_rate "
+    "offer_acceptance_rate verified_email verified_phone linkedin_connected",
+    "role": "company title start_date end_date duration_months is_current industry company_size description",
+    "degree": "institution degree field_of_study start_year end_year grade tier University Computer Science tier_2",
+    "skill": "name proficiency endorsements duration_months",
+}
+
+
+def _ascii(text: str) -> str:
+    """The text as a JSON string, characters beyond ASCII as code points."""
+    escaped = "CASE WHEN unicode(c) > 127 THEN '\\u' || printf('%04x', unicode(c)) ELSE c END"
+    return f"array_to_string(list_transform(string_split(to_json({text})::VARCHAR, ''), lambda c: {escaped}), '')"
+
+
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z]{{3,}}'))"
 LABELS = f"""
+career AS (
+  SELECT k, {S.q(_KEYS['role'])} || ' ' || string_agg(concat_ws(' ', company, title, industry,
+    {S.pick(sp.SIZES, 'o_size')}, {_ascii('description')}), ' ') AS words FROM roles GROUP BY k),
+claimed_words AS (
+  SELECT k, {S.q(_KEYS['skill'])} || ' ' || string_agg(name || ' ' || proficiency, ' ') AS words FROM claims GROUP BY k),
+lines AS (
+  SELECT ctx.k, ctx.candidate_id, context, concat_ws(' ', {S.q(_KEYS['record'])}, name, title || ' in ' || industry,
+    {_ascii('summary')}, location, country, title, company, {S.pick(sp.SIZES, 'ctx.k % 8')}, industry,
+    {S.pick(sp.MODES, 'ctx.k % 4')}, CASE WHEN nation % 4 <> 0 THEN {S.q(_KEYS['degree'])} || ' '
+      || {S.pick(sp.DEGREES, 'ctx.k % 4')} END, career.words, claimed_words.words) AS line
+  FROM ctx JOIN cand USING (k) LEFT JOIN career ON career.k = ctx.k LEFT JOIN claimed_words ON claimed_words.k = ctx.k),
 over AS (
   SELECT k, candidate_id, context,
-    len(list_intersect({_WORDS.format(S.q(JD))}, {_WORDS.format('context')})) / len({_WORDS.format(S.q(JD))}) AS base
-  FROM ctx),
+    len(list_intersect({_WORDS.format(S.q(JD))}, {_WORDS.format('line')})) / len({_WORDS.format(S.q(JD))}) AS base
+  FROM lines),
 gold AS (
   SELECT *, CASE WHEN place <= {TOP} THEN 'shortlist' ELSE 'reject' END AS decision,
     CASE WHEN place <= {TOP} THEN '1' ELSE '0' END AS is_top,
     {S.half_even(f'CASE WHEN place <= {TOP} THEN base ELSE greatest(0, 1 - base) END', 4)} AS score
-  FROM (SELECT *, row_number() OVER (ORDER BY base DESC, candidate_id) AS place FROM over)),
+  FROM (SELECT *, row_number() OVER (ORDER BY base DESC, k) AS place FROM over)),
 fair AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY md5('0:' || candidate_id)) AS nth FROM gold)
   WHERE nth <= (SELECT min(n) FROM (SELECT count(*) AS n FROM gold GROUP BY decision)))"""
@@ -247,8 +291,8 @@ WITH {R._ONE}, r AS (
   FROM final)
 SELECT candidate_id, CASE WHEN place <= {TOP} THEN 'shortlist' ELSE 'reject' END AS decision,
   CASE WHEN place <= {TOP} THEN '1' ELSE '0' END AS is_top,
-  CASE WHEN place <= {TOP} THEN base WHEN place <= {max(TOP * 4, 50)} THEN {S.half_even('greatest(0, 1 - base)', 4)}
-       ELSE 1.0 END AS score FROM r""",
+  CASE WHEN place <= {TOP} THEN base ELSE {S.half_even('greatest(0, 1 - base)', 4)} END AS score FROM r""",
+    "class_counts": f"{_LABELLED} SELECT decision, count(*) AS n FROM gold GROUP BY decision",
     "balanced_samples": f"{_LABELLED} SELECT candidate_id, decision FROM fair",
     "prompt_samples": f"""
 {_LABELLED} SELECT '[JOB DESCRIPTION]' || chr(10) || substr({_JD}, 1, 1500) || chr(10) || chr(10) || '[CANDIDATE]' || chr(10)

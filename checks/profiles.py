@@ -177,14 +177,14 @@ cand AS (
 
 ROLES = f"""
 roles AS (
-  SELECT o_custkey AS k, pos, {S.pick(sp.COMPANIES, 'o_orderkey % 12')} AS company,
+  SELECT o_custkey AS k, pos, o_orderkey % 8 AS o_size, {S.pick(sp.COMPANIES, 'o_orderkey % 12')} AS company,
          {S.pick(sp.TITLES, 'o_orderkey % 16')} AS title, strftime(o_orderdate, '%Y-%m-%d') AS start_date,
          year(o_orderdate) AS start_year, (floor(o_totalprice)::BIGINT % 60 + 1) AS months,
          (o_orderstatus = 'O' AND o_orderkey % 5 = 0) AS is_current, o_orderpriority AS industry,
          {S.pick(sp.PHRASES, 'o_orderkey % 6')} || coalesce(' ' || b.text, '') AS description
   FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders)
   LEFT JOIN benchmark b ON b.item_id = o_orderkey % (SELECT count(*) FROM benchmark)
-  WHERE pos <= 10 AND o_custkey IN (SELECT c_custkey FROM customer))"""
+  WHERE o_custkey IN (SELECT c_custkey FROM customer))"""
 
 CLAIMS = f"""
 claims AS (

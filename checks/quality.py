@@ -107,6 +107,8 @@ errors AS (
   UNION ALL SELECT k, 'career_history[0].start_date', 'bad_date', 'YYYY-MM-DD', '"2020/01/01"'
             FROM keyed WHERE k10 = 6 AND has_roles
   UNION ALL SELECT k, 'education', 'too_many_items', '<= 5', '6' FROM keyed WHERE k10 = 7 AND nation % 4 <> 0
+  UNION ALL SELECT k, 'career_history', 'too_many_items', '<= 10', count(*)::VARCHAR FROM roles
+            WHERE k % 10 <> 8 GROUP BY k HAVING count(*) > 10
   UNION ALL SELECT k, 'career_history', 'too_few_items', '>= 1', '0' FROM keyed WHERE k10 = 8 AND has_roles
   UNION ALL SELECT k, 'career_history', 'wrong_type', 'array', 'NoneType' FROM keyed WHERE k10 = 8 AND NOT has_roles
   UNION ALL SELECT k, 'signals.skill_assessment_scores.Python', 'out_of_range', '<= 100', '150.0' FROM keyed WHERE k10 = 9

@@ -121,7 +121,7 @@ YEARS = f"""
 found AS (
   SELECT k, unnest(regexp_extract_all(src, {_RANGE}, 1))::INT AS s, unnest(regexp_extract_all(src, {_RANGE}, 2)) AS e FROM exper),
 spans AS (
-  SELECT k, s, least({_END}, {YEAR}) AS e FROM found WHERE s BETWEEN 1970 AND {YEAR + 1} AND s <= {_END}),
+  SELECT DISTINCT k, s, least({_END}, {YEAR}) AS e FROM found WHERE s BETWEEN 1970 AND {YEAR + 1} AND s <= {_END}),
 islands AS (
   SELECT *, sum(fresh) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
   FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)

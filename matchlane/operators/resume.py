@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from matchlane.functions.binding import literal_table, rows_of
 from matchlane.functions.dates import month_start_before
 from matchlane.lexicons import ROLE_FAMILIES, SKILL_CLUSTERS
+from matchlane.operators.joins import with_ordinal
 
 SPACE = " \t\n\r\u000b\f"
 DASHES = " -–|,"
@@ -386,12 +387,12 @@ def parse_resumes(
 ) -> DataFrame:
     """``resumes(path, text)`` -> rows with the raw profile schema (plus ``path``).
 
-    Ids default to a hash of the path, the same on every run.
+    Ids default to the place in path order, from 1.
     """
     pattern = YEAR_RANGE_EN_DASH if en_dash else YEAR_RANGE
     if candidate_id is None:
-        hashed = F.pmod(F.xxhash64("path"), F.lit(10_000_000)).cast("string")
-        candidate_id = F.concat(F.lit("CAND_"), F.lpad(hashed, 7, "0"))
+        resumes = with_ordinal(resumes, ["path"], "_ordinal")
+        candidate_id = F.format_string("CAND_%07d", F.col("_ordinal") + 1)
     whole = F.col(text)
     experience = _or_else(_section("experience"), whole)
     read = with_sections(resumes, text).withColumn("_header", _or_else(_section("header"), whole))

@@ -5,11 +5,11 @@ career entries, their order lines skill claims and their events activity.  The
 result has the raw profile schema and goes through the normal readers.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlane.functions.binding import literal_table
-from matchlane.operators.joins import join_lookup, top_k
+from matchlane.operators.joins import join_lookup
 
 # Dimensions, picked by position.
 TITLES = [
@@ -42,7 +42,6 @@ PHRASES = [
 DEGREES = ["B.Tech", "M.Tech", "B.Sc", "MBA"]
 SIZES = ["1-10", "11-50", "51-200", "201-500", "501-1000", "1001-5000", "5001-10000", "10001+"]
 MODES = ["remote", "hybrid", "onsite", "flexible"]
-MAX_ROLES = 10
 REFERENCE_DATE = "2024-02-01"
 
 
@@ -55,21 +54,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def candidate_id(key: Column) -> Column:
-    return F.concat(F.lit("CAND_"), F.lpad(key.cast("string"), 7, "0"))
+    """Seven digits at least; longer keys keep all of theirs."""
+    return F.format_string("CAND_%07d", key.cast("bigint"))
+
+
+def candidate_key(candidate_id: Column) -> Column:
+    return F.regexp_extract(candidate_id, "([0-9]+)$", 1).cast("bigint")
 
 
 def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer: up to ten newest orders as career entries."""
+    """Per customer: all orders as career entries, newest first."""
     orders = table(spark, sf_dir, "orders")
     texts = table(spark, sf_dir, "benchmark")
-    ranked = top_k(
-        orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"),
-        ["o_custkey"],
-        [F.desc("o_orderdate"), F.asc("o_orderkey")],
-        MAX_ROLES,
-        F.col("o_orderkey"),
-        rank="pos",
-    ).withColumn("item_id", F.col("o_orderkey") % texts.agg(F.count("*")).scalar())
+    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.asc("o_orderkey"))
+    ranked = orders.select(
+        "o_custkey",
+        "o_orderkey",
+        "o_orderdate",
+        "o_totalprice",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.row_number().over(newest).alias("pos"),
+        (F.col("o_orderkey") % texts.agg(F.count("*")).scalar()).alias("item_id"),
+    )
     key, current = F.col("o_orderkey"), (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0)
     months = (F.floor("o_totalprice") % 60 + 1).cast("bigint")
     role = F.struct(
@@ -222,7 +229,7 @@ def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ).otherwise(F.lit("\nBonus: MLOps and LoRA."))
     return table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("JD_"), F.lpad(item.cast("string"), 5, "0")).alias("jd_id"),
+        F.format_string("JD_%05d", item).alias("jd_id"),
         F.concat(
             F.when(item % 4 != 1, F.concat(F.lit("Job Description: "), pick(TITLES, item % 16), F.lit(" - Core")))
             .otherwise(F.lit("Open position")),
@@ -252,7 +259,7 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every tenth key (2) omits null fields, the others write them as JSON null.
     """
     raw = raw_profiles(spark, sf_dir)
-    k = F.substring("candidate_id", 6, 7).cast("bigint")
+    k = candidate_key(F.col("candidate_id"))
     kind = k % 10
     p, s, i = F.col("profile"), F.col("signals"), F.col("candidate_id")
 
@@ -289,7 +296,7 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("signals"),
     )
     record = F.struct(*[F.col(c) for c in spoiled.columns])
-    key = F.regexp_extract("candidate_id", "([0-9]+)$", 1).cast("bigint")
+    key = candidate_key(F.col("candidate_id"))
     with_nulls = F.to_json(record, {"ignoreNullFields": "false"})
     return spoiled.select(
         key.alias("row_index"), F.when(key % 10 == 2, F.to_json(record)).otherwise(with_nulls).alias("value")
@@ -301,7 +308,7 @@ def prompt_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchlane.operators.dataset import candidate_context
 
     raw = raw_profiles(spark, sf_dir)
-    k = F.substring("candidate_id", 6, 7).cast("bigint")
+    k = candidate_key(F.col("candidate_id"))
     return raw.select(
         F.col("candidate_id").alias("sample_id"),
         F.when(k % 2 == 0, "shortlist").otherwise("reject").alias("decision"),
@@ -380,7 +387,7 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ).otherwise(F.concat(F.lit("College | "), pick(DEGREES, k % 4), F.lit(" "), end.cast("string")))
     return joined.select(
-        F.concat(F.lit("resume_"), F.lpad(k.cast("string"), 7, "0"), F.lit(".txt")).alias("path"),
+        F.format_string("resume_%07d.txt", k.cast("bigint")).alias("path"),
         F.concat_ws(
             "\n",
             pick(NAMES, k % 6),

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Accepted suffixes, paragraph and text tags of a .docx document.
+# Accepted suffixes, paragraph and text tags of a .docx document, texts of the errors.
 PLAIN_SUFFIXES = ["", ".txt", ".md", ".rst"]
+BAD_DOCX, EMPTY_DOCX = "not a valid .docx file: ", "DOCX contained no text"
+EMPTY_FILE, UNSUPPORTED = "empty file upload", "unsupported resume format "
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -20,10 +22,10 @@ def _docx_text(content: bytes) -> tuple[str | None, str | None]:
         with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open("word/document.xml") as part:
             root = ElementTree.parse(part).getroot()
     except (KeyError, zipfile.BadZipFile, ElementTree.ParseError) as problem:
-        return None, f"not a valid .docx file: {problem}"
+        return None, f"{BAD_DOCX}{problem}"
     paragraphs = ("".join(t.text or "" for t in p.iter(f"{WORD}t")).strip() for p in root.iter(f"{WORD}p"))
     text = "\n".join(p for p in paragraphs if p)
-    return (text, None) if text else (None, "DOCX contained no text")
+    return (text, None) if text else (None, EMPTY_DOCX)
 
 
 def _read_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,8 +48,8 @@ def resume_texts(files: DataFrame) -> DataFrame:
     decoded = typed.where(empty | ~docx).select(
         "path",
         F.when(~empty & plain, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
-        F.when(empty, F.lit("empty file upload"))
-        .when(~plain, F.concat(F.lit("unsupported resume format "), F.col("suffix")))
+        F.when(empty, F.lit(EMPTY_FILE))
+        .when(~plain, F.concat(F.lit(UNSUPPORTED), F.col("suffix")))
         .alias("error"),
     )
     archives = typed.where(docx & ~empty).select("path", "content")
