@@ -4,16 +4,18 @@ A document is the set of its ``k``-word shingles (64-bit hashes). Two link when
 ``den * |intersection| >= num * |union|``. All links are found exactly:
 
 1. Documents with equal sets form a class; its smallest id goes on alone.
-2. Similar documents are put into groups: classes that share a min-hash are compared with the
-   smallest of them, verified links make families, and families are cut into groups of about
-   ``GROUP`` members (a class without a family is a group of its own).
+2. Similar documents are put into groups: a class is compared with the smallest one that shares a
+   min-hash, if their sketches agree; verified links make families, and families are cut into groups
+   of about ``GROUP`` members (a class without a family is a group of its own).
 3. The token-group matrix holds, for each token, the groups in whose prefixes it occurs. A prefix is
-   the ``n - ceil(n * num / den) + 1`` first tokens of a set in one global order that puts frequent
-   tokens last; linked sets share a token of their prefixes. Tokens that occur in one family only
-   can add no link and are dropped before any pair is made.
-4. For a document and a group of another family that share a token, the overlap with the union of
-   the group's tokens bounds the overlap with each member. Only qualifying groups are opened and
-   their members verified.
+   the ``n - ceil(n * num / den) + 1`` first tokens of a set in hash order; linked sets share a token
+   of their prefixes. Before that, a document with as many tokens as its prefix has that occur in no
+   other class (later: no other family) can't link outside, as a link leaves it fewer tokens of its
+   own: it is done. Looking at somewhat more than the prefix settles almost all documents, and those
+   left are looked at again among themselves.
+4. For a document and a group of another family, the number of shared prefix tokens and the tokens
+   left after the last of them bound the overlap with any member; so does, then, the overlap with the
+   union of the group's tokens. Only qualifying groups are opened and their members verified.
 
 Pairs inside a family are never made, so a large family of near copies costs its size, not its
 square. Full sets are read only for documents with a candidate.
@@ -23,12 +25,11 @@ id does not take part and has no component. Fewer than ``k`` words make one shin
 sequence. Rows that repeat an id are judged by their own text. An empty table gives an empty result.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlane.llm.components import connected
@@ -36,100 +37,121 @@ from matchlane.llm.support import mix, shingle_hashes, text_slices, word_hashes
 from matchlane.session import materialise
 
 GROUP = 64
-MIN_HASHES = 4
-FREQUENT = 1_000_000  # a token is frequent if it holds one in this many; so at most this many are
-FLUSH_TOKENS = 1 << 21
-BLOOM_BITS = 1 << 26
+SKETCH = 16  # positions of the min-hash sketch; every fourth one is a key for step 2
+ROUNDS = 4
+BLOOM_BITS = 1 << 27
 PAGE_BITS = 32768
+_STARTS = np.arange(-(SKETCH // 2), SKETCH // 2, dtype=np.int64) * (1 << 64 - SKETCH.bit_length() + 1)
 
 
 def _sets(part: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingles) of a batch's texts."""
+    """(row, sorted distinct shingles as signed numbers) of a batch's texts."""
     for at, to, data, offsets in text_slices(part.column("text")):
         words, ranges = word_hashes(data, offsets)
         for i in range(to - at):
-            yield at + i, np.unique(shingle_hashes(words[ranges[i] : ranges[i + 1]], k))
+            tokens = shingle_hashes(words[ranges[i] : ranges[i + 1]], k).view(np.int64)
+            tokens = np.sort(tokens)
+            if len(tokens) > 1:
+                tokens = tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])]
+            yield at + i, tokens
 
 
-def _digest(tokens: np.ndarray, seed: int) -> int:
-    return int(mix(tokens + np.uint64(seed)).sum(dtype=np.uint64).view(np.int64))
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set; equal sets have equal digests and sizes."""
+    mixed = mix(tokens.view(np.uint64) + np.uint64(1))
+    return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(mix(mixed).sum(dtype=np.uint64).view(np.int64))
 
 
-def _features(docs: DataFrame, k: int) -> DataFrame:
-    """Stored rows (doc_id, row, n, d1, d2, mins) per document; null ids and ``n`` with frequent tokens and counts."""
+def _sketch(tokens: np.ndarray) -> list[int]:
+    """The first token from each of ``SKETCH`` evenly spaced places on, going round."""
+    if len(tokens) == 0:
+        return []
+    return tokens[np.searchsorted(tokens, _STARTS) % len(tokens)].tolist()
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
 
-        def frequent() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(4, size // FREQUENT)
-            held.clear()
-            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (tokens[often].view(np.int64), n[often])]
-            blank = [pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*blank, *lists], names=names)
+def _features(docs: DataFrame, k: int) -> DataFrame:
+    """Stored rows (doc_id, row, n, d1, d2, mins): a document's set size, digests and sketch."""
 
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            id_type = part.schema.field("doc_id").type
-            rows = []
+            n, one, two, mins = [], [], [], []
             for _, tokens in _sets(part, k):
-                mins = [int(mix(tokens ^ np.uint64(j * 0x9E3779B9 + 1)).min().view(np.int64)) for j in range(MIN_HASHES)] if len(tokens) else []
-                rows.append((len(tokens), _digest(tokens, 1), _digest(tokens, 2), mins))
-                held.append(tokens)
-                size += len(tokens)
-                if size >= FLUSH_TOKENS:
-                    yield frequent()
-                    size = 0
-            n, one, two, mins = zip(*rows, strict=True) if rows else ((), (), (), ())
-            blank = pa.nulls(len(rows), pa.list_(pa.int64()))
+                digest = _digest(tokens)
+                n.append(len(tokens))
+                one.append(digest[0])
+                two.append(digest[1])
+                mins.append(_sketch(tokens))
             numbers = [pa.array(x, pa.int64()) for x in (n, one, two)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), *numbers, pa.array(mins, pa.list_(pa.int64())), blank, blank],
-                names=names,
+                [part.column("doc_id"), part.column("row"), *numbers, pa.array(mins, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n", "d1", "d2", "mins"],
             )
-        if held:
-            yield frequent()
 
-    names = ["doc_id", "row", "n", "d1", "d2", "mins", "tokens", "counts"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, d1 long, d2 long, mins array<long>, tokens array<long>, counts array<long>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, d1 long, d2 long, mins array<long>"
     return materialise(docs.select("doc_id", "row", "text").mapInArrow(batches, schema), "jaccard-features")
 
 
-def _frequent_tokens(features: DataFrame, spark: SparkSession) -> Broadcast:
-    """Frequent tokens, sorted, with their counts: at most ``FREQUENT`` of them."""
-    total = features.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = features.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
-    sums = pairs.groupBy(F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("n"))
-    found = sums.where(F.col("n") >= max(8, total // FREQUENT)).toArrow()
-    tokens, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(tokens)
-    return spark.sparkContext.broadcast((tokens[order], n[order]))
+def _prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-n * num // den) + 1
+
+
+def _carried(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The prefix of a set and some more tokens.
+
+    The common tokens of two linked sets come first in the same order in both. So of x's carried tokens
+    those missing from y's are at most the larger of ``|x| - o`` and ``carried(x) - carried(y) + |y| - o``
+    for an overlap ``o``, and both are less than x's prefix.
+    """
+    size = _prefix_size(len(tokens), num, den)
+    return tokens[: size + max(2, size // 3)]
+
+
+def _shared_tokens(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Stored tokens that the carried tokens of more than one class hold."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = [(_carried(t, num, den), _digest(t)[0]) for _, t in _sets(part, k) if len(t)]
+            if lists:
+                owners = np.repeat(np.array([d for _, d in lists], np.int64), [len(t) for t, _ in lists])
+                tokens = np.concatenate([t for t, _ in lists])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owners)], names=["token", "owner"])
+
+    found = docs.select("text").mapInArrow(batches, "token long, owner long")
+    ends = found.groupBy("token").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+    return materialise(ends.where("low != high").select("token"), "jaccard-tokens")
+
 
+def _open_documents(docs: DataFrame, shared: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """rep, d1, d2 and carried tokens of the documents that may link outside their class.
 
-def _prefixes(docs: DataFrame, frequent: Broadcast, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, d1, d2 and the prefix tokens of every document with words."""
+    Shared tokens are looked up in a Bloom filter; what it lets through by mistake only leaves more
+    documents open.
+    """
+    places = shared.select(F.explode(_two_places(F.col("token"))).alias("at"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
+        table = np.frombuffer(bits.value, np.uint8)
         for part in parts:
             kept, ones, twos, lists = [], [], [], []
             for row, tokens in _sets(part, k):
-                n = len(tokens)
-                if n == 0:
-                    continue
-                size = n - -(-n * num // den) + 1
-                at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-                weight = np.where(known[at] == tokens, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-                first = np.lexsort((tokens, weight))[:size]
-                kept.append(row)
-                ones.append(_digest(tokens, 1))
-                twos.append(_digest(tokens, 2))
-                lists.append(tokens[first].view(np.int64))
+                some = _carried(tokens, num, den) if len(tokens) else tokens
+                own = len(some) - np.count_nonzero(_in_bloom(table, some))
+                if len(tokens) and own < _prefix_size(len(tokens), num, den):
+                    digest = _digest(tokens)
+                    kept.append(row)
+                    ones.append(digest[0])
+                    twos.append(digest[1])
+                    lists.append(some)
             ends = np.cumsum([0, *map(len, lists)])
-            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(kept, pa.int64())), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), arrays],
+                [
+                    part.column("doc_id").take(pa.array(kept, pa.int64())),
+                    *[pa.array(x, pa.int64()) for x in (ones, twos)],
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens),
+                ],
                 names=["rep", "d1", "d2", "tokens"],
             )
 
@@ -137,68 +159,109 @@ def _prefixes(docs: DataFrame, frequent: Broadcast, k: int, num: int, den: int)
     return docs.select("doc_id", "text").mapInArrow(batches, schema)
 
 
-def _bloom(ids: DataFrame, hashed: Callable[[int], Column]) -> bytes:
-    """A Bloom filter of at most ``BLOOM_BITS`` bits; too many ids only make it let more through."""
-    bits = ids.select(F.explode(F.array(hashed(0), hashed(1))).alias("h")).select((F.pmod("h", F.lit(BLOOM_BITS)) + 1).alias("at"))
-    pages = bits.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+def _settled(documents: DataFrame, num: int, den: int) -> DataFrame:
+    """``documents`` without those whose own tokens rule out a link to another family, stored.
+
+    Every round drops documents and with them the reason to keep others; any number of rounds is right.
+    """
+    left = documents.count()
+    for _ in range(ROUNDS):
+        postings = documents.select("rep", "d1", "label", F.explode("tokens").alias("token"))
+        ends = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = ends.where("low != high").select("token")
+        counts = postings.join(mixed, "token").groupBy("rep", "d1").agg(F.count("*").alias("mixed"))
+        own = F.size("tokens") - F.col("mixed")
+        kept = documents.join(counts, ["rep", "d1"]).where(own < _prefix_column(num, den)).drop("mixed")
+        documents = materialise(kept, "jaccard-open")
+        before, left = left, documents.count()
+        if left == before or left == 0:
+            break
+    return documents
+
+
+def _prefix_column(num: int, den: int) -> Column:
+    return F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+
+
+def _bloom(positions: DataFrame) -> bytes:
+    """A Bloom filter of ``BLOOM_BITS`` bits from a column ``at``; too many keys only make it let more through."""
+    at = (F.col("at") + 1).alias("at")
+    pages = positions.select(at).groupBy(F.bitmap_bucket_number("at").alias("page"))
     data = bytearray(BLOOM_BITS // 8)
-    for page, body in pages.toLocalIterator():
+    for page, body in pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
         data[(page - 1) * PAGE_BITS // 8 : page * PAGE_BITS // 8] = body
     return bytes(data)
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """Stored (rep, n, tokens) of the classes named by ``reps``; other texts are passed over by a Bloom filter."""
-    wanted = classes.join(reps.distinct(), "rep", "left_semi").select("rep", "d1", "d2")
-    hashed = lambda name: lambda seed: F.xxhash64(F.lit(seed), F.col(name))
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, hashed("rep")))
+def _two_places(value: Column) -> Column:
+    """The two positions of a 64-bit value: its low bits, and its high half's."""
+    return F.array(value.bitwiseAND(BLOOM_BITS - 1), F.shiftright(value, 32).bitwiseAND(BLOOM_BITS - 1))
+
+
+def _in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    found = np.ones(len(values), np.uint8)
+    for at in (values & (BLOOM_BITS - 1), values >> 32 & (BLOOM_BITS - 1)):
+        found &= table[at >> 3] >> (at & 7).astype(np.uint8)
+    return (found & 1).astype(bool)
+
+
+def _full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """rep, d1, d2, n and tokens of the texts that a Bloom filter of ``reps`` lets through."""
+    places = reps.select(F.explode(_two_places(F.xxhash64("rep"))).alias("at"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         for part in parts:
-            there = np.ones(part.num_rows, bool)
-            for name in ("h0", "h1"):
-                at = part.column(name).to_numpy() % BLOOM_BITS
-                there &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            some = part.filter(pa.array(there))
+            some = part.filter(pa.array(_in_bloom(table, part.column("hash").to_numpy())))
             for row, tokens in _sets(some, k):
+                digest = _digest(tokens)
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("doc_id").slice(row, 1),
-                        pa.array([_digest(tokens, 1)]),
-                        pa.array([_digest(tokens, 2)]),
+                        pa.array([digest[0]]),
+                        pa.array([digest[1]]),
                         pa.array([len(tokens)], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens)),
                     ],
                     names=["rep", "d1", "d2", "n", "tokens"],
                 )
 
     schema = f"rep {dict(docs.dtypes)['doc_id']}, d1 long, d2 long, n long, tokens array<long>"
-    id_hash = hashed("doc_id")
-    found = docs.select("doc_id", id_hash(0).alias("h0"), id_hash(1).alias("h1"), "text").mapInArrow(batches, schema)
-    exact = found.join(wanted, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep"])
-    return materialise(exact.select("rep", "n", "tokens"), "jaccard-sets")
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(batches, schema)
 
 
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(left, "a").join(right, "b").where(_sizes_fit(F.col("na"), F.col("nb"), num, den))
-    return both.where(shared * den >= (F.col("na") + F.col("nb") - shared) * num).select("a", "b")
+def _linked(shared: Column, num: int, den: int) -> Column:
+    return shared * den >= (F.col("na") + F.col("nb") - shared) * num
 
 
-def _seed_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Each class with the smallest one that shares a min-hash."""
-    keyed = classes.select("rep", "n", F.posexplode("mins").alias("j", "value"))
-    first = keyed.groupBy("j", "value").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("many")).where("many > 1")
-    near = keyed.join(first, ["j", "value"]).where((F.col("f.rep") != F.col("rep")) & _sizes_fit(F.col("n"), F.col("f.n"), num, den))
-    return near.select(F.col("f.rep").alias("a"), F.col("rep").alias("b")).distinct()
+def _seed_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Stored links (a, b) between classes and the smallest one that shares a min-hash.
+
+    Pairs whose sketches agree in less than half are left to the matrix. A set moves twice: to its
+    pair, and to the smaller class of the pair.
+    """
+    own = F.struct("rep", "n", "d1", "d2", "mins")
+    places = F.filter("mins", lambda x, i: i % 4 == 0)
+    keyed = classes.select(own.alias("b"), F.explode(F.array_distinct(places)).alias("value"))
+    first = keyed.groupBy("value").agg(F.min("b").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    agree = F.size(F.filter(F.arrays_zip(F.col("a.mins").alias("x"), F.col("b.mins").alias("y")), lambda z: z["x"] == z["y"]))
+    near = keyed.join(first, "value").where(
+        (F.col("a.rep") != F.col("b.rep")) & _sizes_fit(F.col("a.n"), F.col("b.n"), num, den) & (agree * 2 >= SKETCH)
+    )
+    names = [f"{side}.{c} AS {side}_{c}" for side in "ab" for c in ("rep", "d1", "d2")]
+    seeds = materialise(near.selectExpr(*names).distinct(), "jaccard-seeds")
+    if seeds.isEmpty():
+        return seeds.selectExpr("a_rep AS a", "b_rep AS b")
+    members = _full_sets(docs, seeds.selectExpr("b_rep AS rep"), k).toDF("b_rep", "b_d1", "b_d2", "nb", "tb")
+    leaders = _full_sets(docs, seeds.selectExpr("a_rep AS rep"), k).toDF("a_rep", "a_d1", "a_d2", "na", "ta")
+    met = seeds.join(members, ["b_rep", "b_d1", "b_d2"]).join(leaders, ["a_rep", "a_d1", "a_d2"])
+    linked = met.where(_linked(F.size(F.array_intersect("ta", "tb")), num, den))
+    return materialise(linked.selectExpr("a_rep AS a", "b_rep AS b").distinct(), "jaccard-links")
 
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,33 +286,57 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _matrix_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Documents and groups of other families that share a prefix token: stored (q, label, chunk).
+    """Stored (q, label, chunk): documents and groups of other families that may hold a link.
 
-    Of two families the smaller one asks, so a large family is met by group and not by member.
+    Of two families the smaller one asks, so a large family is met by group and not by member. A link
+    needs ``least`` common tokens. Those up to the last common prefix token are counted; after it, or
+    after the whole prefix of the side whose prefix ends first, no more can follow than tokens are left.
     """
-    postings = prefixes.select("rep", "n", "label", "family", "chunk", F.explode("tokens").alias("token"))
-    ends = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = materialise(ends.where("low != high").select("token"), "jaccard-tokens")
-    rows = materialise(postings.join(mixed, "token"), "jaccard-matrix")
-    groups = rows.groupBy("token", "label", "chunk", "family").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asking = rows.select("token", F.col("rep").alias("q"), F.col("n").alias("nq"), F.struct("family", "label").alias("from"))
-    found = asking.join(groups, "token").where(
+    first = prefixes.withColumn("tokens", F.slice("tokens", 1, _prefix_column(num, den).cast("int")))
+    columns = ["rep", "n", "label", "family", "chunk", F.element_at("tokens", -1).alias("last")]
+    rows = first.select(*columns, F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
+    groups = rows.groupBy("token", "label", "chunk", "family").agg(
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.min("last").alias("end"),
+        F.max("size").alias("prefix"),
+        F.max("at").alias("place"),
+    )
+    asking = rows.select("token", F.col("rep").alias("q"), "n", "last", "size", "at", F.struct("family", "label").alias("from"))
+    met = asking.join(groups, "token").where(
         (F.col("from") < F.struct("family", "label"))
-        & (F.col("most") * den >= F.col("nq") * num)
-        & (F.col("nq") * den >= F.col("least") * num)
+        & (F.col("high") * den >= F.col("n") * num)
+        & (F.col("n") * den >= F.col("low") * num)
     )
-    return materialise(found.select("q", "label", "chunk").distinct(), "jaccard-pairs")
-
-
-def _opened(pairs: DataFrame, families: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between documents and the members of qualifying groups."""
-    members = families.join(pairs.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi").select("rep", "label", "chunk")
+    pairs = met.groupBy("q", "label", "chunk").agg(
+        F.count("*").alias("common"),
+        F.max("at").alias("at"),
+        F.max("place").alias("place"),
+        *[F.min(c).alias(c) for c in ("n", "last", "size", "family", "low", "end", "prefix")],
+    )
+    least = F.ceil(num * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * num / den))) / (num + den))
+    own_rest = F.when(F.col("last") <= F.col("end"), F.col("n") - F.col("size")).otherwise(F.col("n") - 1 - F.col("at"))
+    its_rest = F.when(F.col("end") <= F.col("last"), F.col("low") - F.col("prefix")).otherwise(F.col("low") - 1 - F.col("place"))
+    rest = F.when(F.col("family") == 1, F.least(own_rest, its_rest)).otherwise(own_rest)
+    return materialise(pairs.where(F.col("common") + rest >= least).select("q", "label", "chunk"), "jaccard-pairs")
+
+
+def _opened(pairs: DataFrame, families: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Stored links (a, b) between documents and the members of qualifying groups."""
+    groups = pairs.select("label", "chunk").distinct()
+    members = families.join(groups, ["label", "chunk"], "left_semi").select("rep", "label", "chunk")
+    reps = materialise(pairs.select(F.col("q").alias("rep")).union(members.select("rep")).distinct(), "jaccard-open")
+    wanted = families.join(reps, "rep", "left_semi").select("rep", "d1", "d2")
+    sets = _full_sets(docs, reps, k).join(wanted, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"])
+    sets = materialise(sets.select("rep", "n", "tokens"), "jaccard-sets")
     unions = members.join(sets, "rep").groupBy("label", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    asking = sets.select(F.col("rep").alias("q"), F.col("n").alias("nq"), F.col("tokens").alias("tq"))
-    bound = F.size(F.array_intersect("tq", "union")) * den >= F.col("nq") * num
+    asking = sets.toDF("q", "na", "ta")
+    bound = F.size(F.array_intersect("ta", "union")) * den >= F.col("na") * num
     qualified = pairs.join(unions, ["label", "chunk"]).join(asking, "q").where(bound).select("q", "label", "chunk")
-    opened = qualified.join(members, ["label", "chunk"]).select(F.col("q").alias("a"), F.col("rep").alias("b"))
-    return _verified(opened, sets, num, den)
+    opened = qualified.join(members, ["label", "chunk"]).select("q", F.col("rep").alias("b"))
+    met = opened.join(asking, "q").join(sets.toDF("b", "nb", "tb"), "b")
+    linked = met.where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _linked(F.size(F.array_intersect("ta", "tb")), num, den))
+    return materialise(linked.select(F.col("q").alias("a"), "b"), "jaccard-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row: Column | None = None) -> DataFrame:
@@ -257,29 +344,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     Links have a Jaccard similarity of at least ``num / den``. ``row`` names a row for the caller.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", (F.lit(None) if row is None else row).cast("long").alias("row"), "text")
-    stored = _features(texts, k)
-    features = stored.where("tokens is null").drop("tokens", "counts")
+    features = _features(texts, k)
     grouped = features.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
     classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "jaccard-classes")
-    seeds = materialise(_seed_pairs(classes, num, den), "jaccard-seeds")
-    links = seeds
-    if not seeds.isEmpty():
-        reps = seeds.select(F.col("a").alias("rep")).union(seeds.select("b"))
-        links = materialise(_verified(seeds, _full_sets(texts, classes, reps, k), num, den), "jaccard-links")
-    families = _labelled(classes, links)
-    prefixes = _prefixes(texts, _frequent_tokens(stored, spark), k, num, den)
+    families = _labelled(classes, _seed_links(texts, classes, k, num, den))
+    opened = _open_documents(texts, _shared_tokens(texts, k, num, den), k, num, den)
     owned = families.select("rep", "d1", "d2", "n", "label", "family", "chunk")
-    prefixes = materialise(prefixes.join(owned, ["rep", "d1", "d2"]).dropDuplicates(["rep"]).drop("d1", "d2"), "jaccard-prefixes")
+    once = opened.join(owned, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
+    prefixes = _settled(materialise(once, "jaccard-open"), num, den)
     pairs = _matrix_pairs(prefixes, num, den)
     component = families.select("n", "d1", "d2", F.col("label").alias("component_id"))
     if not pairs.isEmpty():
-        asked = families.join(pairs.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi").select("rep")
-        sets = _full_sets(texts, classes, pairs.select(F.col("q").alias("rep")).union(asked), k)
-        found = materialise(_opened(pairs, families, sets, num, den), "jaccard-links")
+        found = _opened(pairs, families, texts, k, num, den)
         label = families.select("rep", "label")
-        between = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        between = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").selectExpr("la AS a", "lb AS b")
         merged = connected(between.distinct()).toDF("label", "top")
         component = families.join(merged, "label", "left").select("n", "d1", "d2", F.coalesce("top", "label").alias("component_id"))
     named = features.join(component, ["n", "d1", "d2"], "left")
