@@ -34,7 +34,7 @@ def overlap_scores(spark, sf_dir):
 
 def labelled(spark, sf_dir):
     """Gold labels; records of equal overlap stay in input order."""
-    return D.label(D.overlap_scores(records(spark, sf_dir), JD, "line"), TOP, [F.asc("ordinal")])
+    return D.label(D.overlap_scores(records(spark, sf_dir), JD, "line"), TOP, ["ordinal"])
 
 
 def gold_labels(spark, sf_dir):

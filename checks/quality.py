@@ -50,7 +50,7 @@ def event_errors(spark, sf_dir):
 
 def flat_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("_v"))
-    return V.flatten(events, ["event_id"], "_v", max_depth=3)
+    return V.flatten(events, ["event_id"], "_v")
 
 
 def schema_diff(spark, sf_dir):

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from checks import profiles as P
 from checks import sql as S
 from matchlane import lexicons as lx
+from matchlane.operators.joins import top_k
 from matchlane.operators.ranking import COMPONENTS, canonical_order, display_components
 from matchlane.operators.requirements import parse_requirements
 from matchlane.plans import sample_profiles as sp
-from matchlane.plans.shortlist import index_candidates, rank_candidates, run_metrics, score_candidates
+from matchlane.plans.shortlist import index_candidates, rank_candidates, run_metrics, score_chosen, survivors
 
 TOP = 100
 
@@ -25,10 +26,6 @@ def ranked(spark, sf_dir):
     return rank_candidates(P.candidates(spark, sf_dir), jobs(spark, sf_dir), P.today(), TOP)
 
 
-def scored(spark, sf_dir):
-    return score_candidates(index_candidates(P.candidates(spark, sf_dir), P.today()), jobs(spark, sf_dir))
-
-
 def shortlists(spark, sf_dir):
     return ranked(spark, sf_dir).select("jd_id", "candidate_id", "rank", "score", "reasoning")
 
@@ -40,7 +37,12 @@ def single_job(spark, sf_dir):
 
 
 def breakdowns(spark, sf_dir):
-    return scored(spark, sf_dir).select(
+    """The components of every shortlisted candidate."""
+    wanted = jobs(spark, sf_dir)
+    index = index_candidates(P.candidates(spark, sf_dir), P.today())
+    scored = score_chosen(index, wanted, survivors(index, wanted, TOP))
+    order = [F.desc(F.round("final", 9)), F.asc("candidate_id")]
+    return top_k(scored, ["jd_id"], order, TOP, F.col("doc_key")).select(
         "jd_id", "candidate_id", *[F.bround(F.round(c, 12), 6).alias(c) for c in COMPONENTS],
     )
 
@@ -57,7 +59,8 @@ def canonical(spark, sf_dir):
 
 
 def metrics(spark, sf_dir):
-    return run_metrics(scored(spark, sf_dir)).select(
+    index = index_candidates(P.candidates(spark, sf_dir), P.today())
+    return run_metrics(index, jobs(spark, sf_dir)).select(
         "jd_id", "n_candidates", F.round("mean_semantic_fit", 6).alias("mean_semantic_fit")
     )
 
@@ -162,7 +165,8 @@ def _shown(name: str, low: float, high: float) -> str:
 SQL = {
     "score_breakdown": f"""
 WITH {_FINAL} SELECT jd_id, candidate_id,
-  {', '.join(f'{S.half_even(c, 6)}::DOUBLE AS {c}' for c in COMPONENTS)} FROM final""",
+  {', '.join(f'{S.half_even(c, 6)}::DOUBLE AS {c}' for c in COMPONENTS)} FROM final
+QUALIFY row_number() OVER (PARTITION BY jd_id ORDER BY round(final, 9) DESC, candidate_id) <= {TOP}""",
     "rank_candidates": f"""
 WITH {_FINAL},{_RANKED} SELECT jd_id, candidate_id, rank::INT AS rank, score, reasoning FROM listed""",
     "rank_single_job": f"""

@@ -3,9 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlane.session import fits, materialise
+from matchlane.session import materialise, size_of
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -15,18 +15,21 @@ def join_lookup(
     on: list[str],
     spread: Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    max_bytes: int = BROADCAST_BYTES,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large table with a lookup of unknown size.
 
-    The lookup is counted first.  Up to ``max_rows`` rows it is broadcast and
-    the large side is not shuffled.  Beyond that, every lookup row is copied to
-    ``salts`` buckets and each row of the large side picks one by ``spread``, so
-    a key that holds a third of the large side is split over ``salts`` tasks.
+    The lookup is measured first.  Up to ``max_bytes`` it is broadcast and the
+    large side is not shuffled.  Beyond that, every lookup row is copied to
+    ``salts`` buckets (as many as the session has shuffle partitions, at most
+    1000) and each row of the large side picks one by ``spread``, so a key that
+    holds a third of the large side is split over all of them.
     """
-    if fits(lookup, max_rows):
+    if size_of(lookup) <= max_bytes:
         return big.join(F.broadcast(lookup), on, how)
+    if salts is None:
+        salts = min(1000, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
@@ -56,7 +59,7 @@ def top_k(
     )
 
 
-def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ordinal") -> DataFrame:
     """Adds the row's position (from 0) in the given total order, without a single-task sort.
 
     Rows are range-partitioned and sorted inside partitions; one small table of

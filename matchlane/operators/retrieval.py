@@ -7,12 +7,12 @@ statistics and per-document sums cross the network.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlane.functions.binding import rows_of
 from matchlane.functions.text import tokenize
-from matchlane.operators.joins import join_lookup, top_k
+from matchlane.operators.joins import join_lookup, top_k, with_ordinal
 from matchlane.session import fits, materialise, work_path
 
 # BM25 and TF-IDF parameters, hybrid weights.
@@ -191,91 +191,120 @@ def weighted_query(index: RetrievalIndex, jobs: DataFrame, text: str = "text") -
     )
 
 
-def pair_scores(
-    index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text", every_pair: bool = False
-) -> DataFrame:
+def pair_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``jd_id, doc_key, keep…, bm25, cosine`` for documents sharing a term with a job.
 
-    ``every_pair`` also returns the pairs without a common term (scores 0), which
-    ranking needs: an empty term carried by each document and each job lets the
-    same hash join produce them.
+    The norm joins the documents, before their terms meet the jobs: pairs are
+    summed up once and never shuffled again.
     """
     weights = materialise(weighted_query(index, jobs, text), "query")
-    rows = index.docs
-    if every_pair:
-        none = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
-        rows = rows.withColumn("terms", F.concat("terms", none))
-        weights = weights.unionByName(
-            jobs.select("jd_id", F.lit("").alias("term"), F.lit(0.0).alias("bm25_w"), F.lit(0.0).alias("cos_w"))
-        )
     tf = F.col("tf")
     saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
+    normed = index.docs.join(index.norms, "doc_key", "left")
     sums = (
-        join_lookup(postings(rows, ["doc_key", *keep, "dl"]), weights, ["term"], F.col("doc_key"))
+        join_lookup(postings(normed, ["doc_key", *keep, "dl", "norm"]), weights, ["term"], F.col("doc_key"))
         .groupBy("doc_key", "jd_id", *keep)
         .agg(
             F.sum(F.col("bm25_w") * saturated).alias("bm25"),
-            F.sum(F.col("cos_w") * (1.0 + F.log(F.greatest(tf, F.lit(1))))).alias("dot"),
+            F.sum(F.col("cos_w") * (1.0 + F.log(tf))).alias("dot"),
+            F.max("norm").alias("norm"),
         )
     )
-    return sums.join(index.norms, "doc_key", "left").select(
+    return sums.select(
         "jd_id", "doc_key", *keep, "bm25", F.coalesce(F.try_divide("dot", "norm"), F.lit(0.0)).alias("cosine")
     )
 
 
-def _spread_to_unit(value: Column, low: Column, high: Column) -> Column:
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-
-
-def with_hybrid(pairs: DataFrame, jobs: DataFrame, n_docs: int, max_jobs: int = 10_000) -> DataFrame:
-    """Adds ``semantic``: both scores min-max scaled per job over all documents, then mixed.
+def job_ranges(pairs: DataFrame, n_docs: int) -> DataFrame:
+    """Per job, the ranges of both scores over all documents.
 
     Documents that share no term with the job score 0 and count in the range
-    without being listed.  The range table has one row per job, so the size that
-    decides its broadcast is the job count.
+    without being listed.
     """
     seen = F.count("*")
 
     def over_all(agg, pick, name: str) -> Column:
         return F.when(seen < n_docs, pick(agg(name), F.lit(0.0))).otherwise(agg(name))
 
-    ranges = pairs.groupBy("jd_id").agg(
+    return pairs.groupBy("jd_id").agg(
         over_all(F.min, F.least, "bm25").alias("_bm25_lo"),
         over_all(F.max, F.greatest, "bm25").alias("_bm25_hi"),
         over_all(F.min, F.least, "cosine").alias("_cos_lo"),
         over_all(F.max, F.greatest, "cosine").alias("_cos_hi"),
     )
-    if fits(jobs, max_jobs):
-        ranges = F.broadcast(ranges)
-    return (
-        pairs.join(ranges, "jd_id")
-        .withColumn(
-            "semantic",
-            BM25_SHARE * _spread_to_unit(F.col("bm25"), F.col("_bm25_lo"), F.col("_bm25_hi"))
-            + COSINE_SHARE * _spread_to_unit(F.col("cosine"), F.col("_cos_lo"), F.col("_cos_hi")),
-        )
-        .drop("_bm25_lo", "_bm25_hi", "_cos_lo", "_cos_hi")
-    )
 
 
-def hybrid_scores(
-    index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text", every_pair: bool = False
-) -> DataFrame:
-    return with_hybrid(pair_scores(index, jobs, keep, text, every_pair), jobs, index.n_docs)
+def _spread_to_unit(value: Column, low: Column, high: Column) -> Column:
+    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+
+
+def mixed_score(bm25: Column, cosine: Column) -> Column:
+    """Both scores min-max scaled by the columns of ``job_ranges``, then mixed."""
+    return BM25_SHARE * _spread_to_unit(
+        bm25, F.col("_bm25_lo"), F.col("_bm25_hi")
+    ) + COSINE_SHARE * _spread_to_unit(cosine, F.col("_cos_lo"), F.col("_cos_hi"))
+
+
+def with_hybrid(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds ``semantic``, and ``_none``: the score of a document without a common term."""
+    zero = F.lit(0.0)
+    joined = join_lookup(pairs, ranges, ["jd_id"], F.col("doc_key"), "left")
+    return joined.withColumns(
+        {"semantic": mixed_score(F.col("bm25"), F.col("cosine")), "_none": mixed_score(zero, zero)}
+    ).drop("_bm25_lo", "_bm25_hi", "_cos_lo", "_cos_hi")
+
+
+def hybrid_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Pairs that share a term, with ``semantic``; the pairs are stored, as their ranges come first."""
+    pairs = materialise(pair_scores(index, jobs, keep, text), "pairs")
+    return with_hybrid(pairs, job_ranges(pairs, index.n_docs)).drop("_none")
 
 
 def hybrid_topk(index: RetrievalIndex, jobs: DataFrame, k: int, doc_id: str, text: str = "text") -> DataFrame:
-    """Best ``k`` documents per job among those sharing a term with it.
+    """Best ``k`` documents per job over all documents.
 
     Scores that agree to nine decimals are ties (copies of a text), broken by id.
+    Documents without a common term all score the same for a job. They are added,
+    smallest ids first, only for jobs with fewer than ``k`` better matches.
     """
-    return top_k(
-        hybrid_scores(index, jobs, [doc_id], text),
-        ["jd_id"],
-        [F.desc(F.round("semantic", 9)), F.asc(doc_id)],
-        k,
-        F.col("doc_key"),
+    pairs = materialise(pair_scores(index, jobs, [doc_id], text), "pairs")
+    scored = with_hybrid(pairs, job_ranges(pairs, index.n_docs))
+    best = [F.desc(F.round("semantic", 9)), F.asc(doc_id)]
+    listed = materialise(top_k(scored, ["jd_id"], best, k, F.col("doc_key")).drop("rank"), "listed")
+    better = F.round("semantic", 9) > F.round("_none", 9)
+    counts = listed.groupBy("jd_id").agg(F.count_if(better).alias("n"), F.max("_none").alias("_none"))
+    lacking = jobs.select("jd_id").join(counts, "jd_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    lacking = materialise(lacking.select("jd_id", F.coalesce("_none", F.lit(0.0)).alias("_none")), "lacking")
+    if not lacking.isEmpty():
+        columns = ["jd_id", "doc_key", doc_id, "semantic"]
+        listed = listed.select(*columns).unionByName(_strangers(index, pairs, lacking, k, doc_id).select(*columns))
+    return top_k(listed, ["jd_id"], best, k, F.col("doc_key")).select(
+        "jd_id", "doc_key", doc_id, "semantic", "rank"
+    )
+
+
+def _strangers(index: RetrievalIndex, pairs: DataFrame, lacking: DataFrame, k: int, doc_id: str) -> DataFrame:
+    """For each lacking job the ``k`` smallest documents that share no term with it.
+
+    With documents numbered by id, they lie in the gaps between a job's matches;
+    before its i-th match, at number o, there are o - i of them.
+    """
+    numbered = with_ordinal(index.docs.select("doc_key", doc_id), [doc_id, "doc_key"], "_o")
+    matched = pairs.join(F.broadcast(lacking) if fits(lacking, 100_000) else lacking, "jd_id").join(
+        numbered.select("doc_key", "_o"), "doc_key"
+    )
+    ends = lacking.select("jd_id", "_none", F.lit(index.n_docs).cast("bigint").alias("_o"))
+    order = Window.partitionBy("jd_id").orderBy("_o")
+    gaps = (
+        matched.select("jd_id", "_none", "_o")
+        .unionByName(ends)
+        .withColumn("_from", F.coalesce(F.lag("_o").over(order), F.lit(-1).cast("bigint")) + 1)
+        .withColumn("_before", F.col("_from") - F.row_number().over(order) + 1)
+        .withColumn("_to", F.least(F.col("_o") - 1, F.col("_from") + k - 1 - F.col("_before")))
+        .where(F.col("_from") <= F.col("_to"))
     )
+    places = gaps.select("jd_id", F.col("_none").alias("semantic"), F.explode(F.sequence("_from", "_to")).alias("_o"))
+    return places.join(numbered, "_o")
 
 
 def word_set(text: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlane.functions.numeric import half_even
-from matchlane.operators.joins import BROADCAST_ROWS, join_lookup, top_k
+from matchlane.operators.joins import join_lookup, top_k
 from matchlane.operators.profile import (
     blob_tokens,
     experience_band,
@@ -14,10 +14,15 @@ from matchlane.operators.profile import (
 )
 from matchlane.operators.ranking import breakdown, final_score
 from matchlane.operators.reasoning import concerns, sentence, strongest_evidence
-from matchlane.operators.retrieval import RetrievalIndex, build_index, hybrid_scores
+from matchlane.operators.retrieval import RetrievalIndex, build_index, job_ranges, pair_scores, with_hybrid
 from matchlane.operators.signals import behavioural_multiplier, honeypot_penalty
 from matchlane.operators.skills import with_skill_evidence
-from matchlane.session import fits
+from matchlane.session import fits, materialise
+
+# Distinct experience bands of one set of jobs; each is a constant of the plan.
+MAX_BANDS = 1000
+# Shortlisted rows that may be broadcast.
+SHORTLISTED = 500_000
 
 # Columns the scoring pass carries with every pair, and those only shortlisted rows need.
 SCORING = [
@@ -52,33 +57,76 @@ def index_candidates(candidates: DataFrame, reference_date: Column, path: str |
     return build_index(features, blob_tokens(), [*SCORING, *TELLING], path, "candidates")
 
 
-def score_candidates(index: RetrievalIndex, jobs: DataFrame) -> DataFrame:
-    """Every candidate against every job: the components and ``final``."""
-    pairs = hybrid_scores(index, jobs, SCORING, "raw_text", every_pair=True)
+def _final(semantic: Column, experience: Column) -> Column:
+    return final_score(
+        F.col("title_alignment"),
+        semantic,
+        F.col("skill_evidence"),
+        experience,
+        F.col("location_score"),
+        F.col("behavioural"),
+        F.col("honeypot_penalty"),
+    )
+
+
+def in_bands(index: RetrievalIndex, jobs: DataFrame) -> DataFrame:
+    """Every candidate once per distinct experience band of the jobs, with its ``experience_band``.
+
+    The bands are constants of the plan, at most ``MAX_BANDS`` of them.
+    """
+    docs, bands = index.docs.select("doc_key", *SCORING), jobs.select("min_years", "max_years").distinct()
+    found = bands.limit(MAX_BANDS + 1).collect()
+    if len(found) > MAX_BANDS:
+        raise ValueError(f"more than {MAX_BANDS} experience bands; rank the jobs in parts")
+    listed = F.array(*[F.struct(F.lit(r.min_years).alias("min_years"), F.lit(r.max_years).alias("max_years")) for r in found])
+    each = docs.withColumn("_band", F.explode(listed)).select("*", "_band.*").drop("_band")
+    years = F.col("years_of_experience")
+    return each.withColumn("experience_band", experience_band(years, F.col("min_years"), F.col("max_years")))
+
+
+def survivors(index: RetrievalIndex, jobs: DataFrame, k: int) -> DataFrame:
+    """The candidates of each band that can be among the first ``k`` of one of its jobs.
+
+    Everything in the final score but the semantic part, which lies in [0, 1], depends on the candidate
+    and the band alone. The k-th largest score without it is a floor for every list of the band; who
+    does not reach that floor with a full semantic part is on none.
+    """
+    bounded = in_bands(index, jobs).withColumns(
+        {
+            "_low": _final(F.lit(0.0), F.col("experience_band")),
+            "_high": _final(F.lit(1.0), F.col("experience_band")),
+        }
+    )
+    band = ["min_years", "max_years"]
+    first = top_k(bounded.select(*band, "doc_key", "_low"), band, [F.desc("_low")], k, F.col("doc_key"))
+    floors = first.where(F.col("rank") == k).select(*band, F.col("_low").alias("_floor"))
+    joined = bounded.join(F.broadcast(floors), band, "left")  # a row per band
+    reach = F.col("_floor").isNull() | (F.col("_high") >= F.col("_floor") - 1e-8)
+    return joined.where(reach).drop("_low", "_high", "_floor")
+
+
+def score_chosen(index: RetrievalIndex, jobs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The components and ``final`` of ``chosen`` candidates against the jobs of their band."""
+    pairs = materialise(pair_scores(index, jobs, [], "raw_text"), "pairs")
     bands = jobs.select("jd_id", "min_years", "max_years")
+    wanted = join_lookup(chosen, bands, ["min_years", "max_years"], F.col("doc_key"))
+    zero = F.lit(0.0)
+    matched = wanted.join(pairs, ["doc_key", "jd_id"], "left").withColumns(
+        {"bm25": F.coalesce("bm25", zero), "cosine": F.coalesce("cosine", zero)}
+    )
+    scored = with_hybrid(matched, job_ranges(pairs, index.n_docs))
     return (
-        join_lookup(pairs, bands, ["jd_id"], F.col("doc_key"))
+        scored.withColumn("final", _final(F.col("semantic"), F.col("experience_band")))
         .withColumnsRenamed({"semantic": "semantic_fit", "location_score": "location"})
-        .withColumn(
-            "experience_band",
-            experience_band(F.col("years_of_experience"), F.col("min_years"), F.col("max_years")),
-        )
-        .withColumn(
-            "final",
-            final_score(
-                F.col("title_alignment"),
-                F.col("semantic_fit"),
-                F.col("skill_evidence"),
-                F.col("experience_band"),
-                F.col("location"),
-                F.col("behavioural"),
-                F.col("honeypot_penalty"),
-            ),
-        )
-        .drop("min_years", "max_years")
+        .drop("min_years", "max_years", "_none")
     )
 
 
+def score_candidates(index: RetrievalIndex, jobs: DataFrame) -> DataFrame:
+    """Every candidate against every job: as many rows as both have together, multiplied."""
+    return score_chosen(index, jobs, in_bands(index, jobs))
+
+
 def shortlist(
     scored: DataFrame, index: RetrievalIndex, jobs: DataFrame, top_k_rows: int = 100
 ) -> DataFrame:
@@ -90,7 +138,7 @@ def shortlist(
     best = top_k(
         scored, ["jd_id"], [F.desc(F.round("final", 9)), F.asc("candidate_id"), F.asc("doc_key")], top_k_rows, F.col("doc_key")
     )
-    if fits(jobs, BROADCAST_ROWS // top_k_rows):
+    if fits(jobs, SHORTLISTED // top_k_rows):
         best = F.broadcast(best)
     told = index.docs.select("doc_key", *TELLING).withColumnRenamed("location", "_location")
     return (
@@ -117,11 +165,18 @@ def rank_candidates(
     ``candidates`` is the typed table, ``jobs`` the parsed requirements.
     """
     index = index_candidates(candidates, reference_date)
-    return shortlist(score_candidates(index, jobs), index, jobs, top_k_rows)
-
-
-def run_metrics(scored: DataFrame) -> DataFrame:
-    """Per job: candidates scored and mean semantic fit."""
-    return scored.groupBy("jd_id").agg(
-        F.count("*").alias("n_candidates"), F.avg("semantic_fit").alias("mean_semantic_fit")
+    scored = score_chosen(index, jobs, survivors(index, jobs, top_k_rows))
+    return shortlist(scored, index, jobs, top_k_rows)
+
+
+def run_metrics(index: RetrievalIndex, jobs: DataFrame) -> DataFrame:
+    """Per job: candidates scored and mean semantic fit over all of them, from the matching pairs alone."""
+    pairs = materialise(pair_scores(index, jobs, [], "raw_text"), "pairs")
+    scored = with_hybrid(pairs, job_ranges(pairs, index.n_docs))
+    sums = scored.groupBy("jd_id").agg(F.count("*").alias("n"), F.sum("semantic").alias("total"), F.max("_none").alias("none"))
+    mean = (F.col("total") + (index.n_docs - F.col("n")) * F.col("none")) / index.n_docs
+    return jobs.select("jd_id").join(sums, "jd_id", "left").select(
+        "jd_id",
+        F.lit(index.n_docs).cast("bigint").alias("n_candidates"),
+        F.coalesce(mean, F.lit(0.0)).alias("mean_semantic_fit"),
     )

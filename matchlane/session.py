@@ -1,10 +1,14 @@
 """Session settings and the shared working folder."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings the jobs rely on.  Duplicate JSON keys keep the last value instead of failing.
@@ -24,9 +28,16 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Working tables made by this process, for ``scratch``.
+_made: list[str] = []
+
+
 @cache
 def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"matchlane-{application}-")
+    """A folder of this machine that goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix=f"matchlane-{application}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,7 +54,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/matchlane/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/matchlane/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the working tables made inside, for jobs that end with their results written."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[first:]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del _made[first:]
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -57,8 +82,22 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` has at most ``max_rows`` rows; counted where the rows are."""
+    return df.count() <= max_rows
+
+
+def size_of(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` hold, summed up where they are."""
+
+    def width(name: str, kind: str) -> Column:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(column)
+        nested = kind.startswith(("array", "map", "struct", "variant"))
+        return F.octet_length(F.to_json(F.struct(column))) if nested else F.lit(8)
+
+    row = sum((F.coalesce(width(*column), F.lit(0)) for column in df.dtypes), F.lit(16))
+    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
 
 
 def spread(df: DataFrame) -> DataFrame:

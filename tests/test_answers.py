@@ -71,7 +71,7 @@ def test_histogram_closes_the_last_bin_and_uplift_subtracts(spark):
 def test_labels_and_balance(spark):
     texts = [(f"c{i}", " ".join(["python"] * (i > 6) + ["search"] * (i > 7) + ["x"])) for i in range(10)]
     scored = overlap_scores(spark.createDataFrame(texts, "candidate_id string, value string"), "python search")
-    labelled = label(scored, 2, [F.asc("candidate_id")])
+    labelled = label(scored, 2, ["candidate_id"])
     got = {r.candidate_id: (r.decision, r.score) for r in labelled.collect()}
     assert got["c8"] == got["c9"] == ("shortlist", 1.0)
     assert got["c7"] == ("reject", 0.5) and got["c0"] == ("reject", 1.0)

@@ -9,6 +9,7 @@ from matchlane.operators.retrieval import (
     build_index,
     document_norms,
     hybrid_scores,
+    hybrid_topk,
     load_index,
     overlap,
     pair_scores,
@@ -70,12 +71,12 @@ def plain_cosine(query):
 @pytest.mark.parametrize("query", ["beta beta alpha", "gamma zeta unknown", "alpha alpha alpha"])
 def test_scores_match_the_formulas(spark, index, query):
     jobs = spark.createDataFrame([("q", query)], "jd_id string, text string")
-    found = {r.doc_id: r for r in pair_scores(index, jobs, ["doc_id"], every_pair=True).collect()}
-    assert set(found) == {d for d, _ in DOCS}
+    found = {r.doc_id: r for r in pair_scores(index, jobs, ["doc_id"]).collect()}
+    assert set(found) == {d for d, t in DOCS if set(query.split()) & set(t.split())}
     for doc, score in plain_bm25(query).items():
-        assert found[doc].bm25 == pytest.approx(score, abs=1e-12)
+        assert (found[doc].bm25 if doc in found else 0) == pytest.approx(score, abs=1e-12)
     for doc, score in plain_cosine(query).items():
-        assert found[doc].cosine == pytest.approx(score, abs=1e-12)
+        assert (found[doc].cosine if doc in found else 0) == pytest.approx(score, abs=1e-12)
 
 
 def test_hybrid_is_scaled_per_job_and_leaves_out_strangers(spark, index):
@@ -83,10 +84,15 @@ def test_hybrid_is_scaled_per_job_and_leaves_out_strangers(spark, index):
     rows = hybrid_scores(index, jobs, ["doc_id"]).collect()
     assert {(r.jd_id, r.doc_id) for r in rows} == {("a", 1), ("a", 2), ("a", 4), ("b", 3)}
     assert max(r.semantic for r in rows if r.jd_id == "a") == pytest.approx(1.0)
-    dense = {(r.jd_id, r.doc_id): r.semantic for r in hybrid_scores(index, jobs, ["doc_id"], every_pair=True).collect()}
-    assert len(dense) == 10 and dense[("b", 5)] == 0.0
-    for r in rows:
-        assert dense[(r.jd_id, r.doc_id)] == pytest.approx(r.semantic)
+
+
+def test_lists_are_filled_with_strangers_by_id(spark, index):
+    jobs = spark.createDataFrame([("a", "zeta alpha"), ("b", "epsilon"), ("c", "nothing")], "jd_id string, text string")
+    got = hybrid_topk(index, jobs, 4, "doc_id").orderBy("jd_id", "rank").collect()
+    assert [r.doc_id for r in got if r.jd_id == "b"] == [3, 1, 2, 4]
+    assert [r.doc_id for r in got if r.jd_id == "c"] == [1, 2, 3, 4]
+    assert [r.doc_id for r in got if r.jd_id == "a"][:1] == [4] and sum(r.jd_id == "a" for r in got) == 4
+    assert hybrid_topk(index, jobs, 9, "doc_id").count() == 15
 
 
 def test_norms_do_not_depend_on_the_head_cut(index):
@@ -113,9 +119,9 @@ def test_salted_join_equals_the_broadcast_join(spark):
     big = spark.range(400).select((F.col("id") % 3).alias("k"), "id")
     lookup = spark.createDataFrame([(0, "a"), (1, "b"), (0, "c")], "k long, v string")
     small = join_lookup(big, lookup, ["k"], F.col("id"))
-    salted = join_lookup(big, lookup, ["k"], F.col("id"), max_rows=1, salts=5)
+    salted = join_lookup(big, lookup, ["k"], F.col("id"), max_bytes=1, salts=5)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, salted.collect()))
-    left = join_lookup(big, lookup, ["k"], F.col("id"), "left", max_rows=1, salts=5)
+    left = join_lookup(big, lookup, ["k"], F.col("id"), "left", max_bytes=1, salts=5)
     assert left.where("v is null").count() == big.where("k = 2").count()
 
 
