@@ -63,7 +63,54 @@ def ordered_diff(spark, sf_dir):
     return V.ordered_diff(V.diff(events, ["event_id"], EVENT_SCHEMA), ["event_id"])
 
 
+# Orders as nested records: a missing key, an unknown one, empty containers and wrong values by key.
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["id", "who", "tags"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 1},
+        "who": {
+            "type": "object",
+            "required": ["key"],
+            "additionalProperties": False,
+            "properties": {"key": {"type": "integer"}, "note": {"type": ["string", "null"]}},
+        },
+        "tags": {"type": "array", "minItems": 1, "items": {"type": "string", "enum": ["O", "F", "P"]}},
+    },
+}
+
+
+def order_lines(spark, sf_dir):
+    key = F.col("o_orderkey")
+    who = F.struct(
+        F.col("o_custkey").alias("key"),
+        F.when(key % 4 == 1, F.struct(F.struct(key.alias("b")).alias("a"))).alias("extra"),
+    )
+    tags = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderstatus", F.lit("Z")))
+    record = F.struct(F.when(key % 5 != 0, key).alias("id"), who.alias("who"), tags.alias("tags"))
+    return table(spark, sf_dir, "orders").select(key.alias("row_index"), F.to_json(record).alias("value"))
+
+
+def nested_errors(spark, sf_dir):
+    checked = V.validate(order_lines(spark, sf_dir), ORDER_SCHEMA)
+    return V.error_rows(checked, ["row_index"]).select("row_index", "path", "code", "actual")
+
+
+def nested_leaves(spark, sf_dir):
+    parsed = order_lines(spark, sf_dir).select("row_index", F.parse_json("value").alias("_v"))
+    return V.flatten(parsed, ["row_index"], "_v", levels=2)
+
+
+def nested_diff(spark, sf_dir):
+    checked = V.validate(order_lines(spark, sf_dir), ORDER_SCHEMA)
+    return V.diff(checked, ["row_index"], ORDER_SCHEMA).select("row_index", "kind", "path", "expected", "actual")
+
+
 QUERIES = {
+    "nested_errors": nested_errors,
+    "nested_leaves": nested_leaves,
+    "nested_diff": nested_diff,
     "profile_errors": profile_errors,
     "error_counts": error_counts,
     "validation_report": validation_report,
@@ -117,7 +164,29 @@ errors AS (
 
 _SHOWN = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
+_LEAVES = """
+leaves AS (
+  SELECT o_orderkey AS row_index, 'id' AS path, o_orderkey::VARCHAR AS value FROM orders WHERE o_orderkey % 5 <> 0
+  UNION ALL SELECT o_orderkey, 'who.key', o_custkey::VARCHAR FROM orders
+  UNION ALL SELECT o_orderkey, 'who.extra.a.b', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 4 = 1
+  UNION ALL SELECT o_orderkey, 'tags', '[]' FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'tags[0]', '"' || o_orderstatus || '"' FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey, 'tags[1]', '"Z"' FROM orders WHERE o_orderkey % 3 <> 0)"""
+
 SQL = {
+    "nested_errors": """
+SELECT o_orderkey AS row_index, 'id' AS path, 'missing_required' AS code, '<missing>' AS actual FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'who.extra', 'unknown_property', 'extra' FROM orders WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_orderkey, 'tags', 'too_few_items', '0' FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, 'tags[1]', 'enum_violation', '"Z"' FROM orders WHERE o_orderkey % 3 <> 0""",
+    "nested_leaves": f"WITH {_LEAVES} SELECT row_index, path, value FROM leaves",
+    "nested_diff": f"""
+WITH {_LEAVES}, known(path, expected) AS (VALUES ('id', '1'), ('who.key', '0'), ('tags[0]', '"O"'))
+SELECT row_index, CASE WHEN expected IS NULL THEN 'extra' ELSE 'match' END AS kind, path, expected, value AS actual
+FROM leaves LEFT JOIN known USING (path)
+UNION ALL
+SELECT o_orderkey, 'missing', path, expected, NULL FROM orders, known
+WHERE (path = 'id' AND o_orderkey % 5 = 0) OR (path = 'tags[0]' AND o_orderkey % 3 = 0)""",
     "profile_errors": f"WITH {BASE} SELECT * FROM errors",
     "error_counts": f"""
 WITH {BASE} SELECT code, count(*) AS n_errors, count(DISTINCT row_index) AS n_records FROM errors GROUP BY code""",

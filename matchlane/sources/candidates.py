@@ -74,6 +74,12 @@ def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "")
 
 
+def record_id(line: Column) -> Column:
+    """``candidate_id`` of a JSON line, else its ``id``, else an empty text."""
+    found = [F.nullif(F.get_json_object(line, f"$.{key}"), F.lit("")) for key in ("candidate_id", "id")]
+    return F.coalesce(*found, F.lit(""))
+
+
 def first_candidates(candidates: DataFrame, n: int) -> DataFrame:
     """The ``n`` smallest ids — a limited load that does not depend on file order."""
     return candidates.orderBy("candidate_id").limit(n)
