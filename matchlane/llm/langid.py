@@ -67,12 +67,12 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np
     rows = len(offsets) - 1
     total, count = np.zeros((rows, weights.shape[1])), np.zeros(rows)
     for n, buckets in gram_buckets(data):
-        sums = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[buckets], 0, dtype=np.float64)])
-        first, end = offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - n + 1)
-        first = np.minimum(first, len(buckets))
-        end = np.minimum(end, len(buckets))
-        total += sums[end] - sums[first]
+        first = np.minimum(offsets[:-1], len(buckets))
+        end = np.minimum(np.maximum(offsets[:-1], offsets[1:] - n + 1), len(buckets))
         count += end - first
+        for machine in range(weights.shape[1]):
+            sums = np.concatenate([np.zeros(1), np.cumsum(weights[buckets, machine], dtype=np.float64)])
+            total[:, machine] += sums[end] - sums[first]
     return total / np.maximum(count, 1)[:, None]
 
 

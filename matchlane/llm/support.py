@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _POWER = 0xD6E8FEB86659FD93 | 1
