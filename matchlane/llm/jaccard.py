@@ -11,8 +11,8 @@ A document is the set of its ``k``-word shingles (64-bit hashes). Two link when
    the ``n - ceil(n * num / den) + 1`` first tokens of a set in hash order; linked sets share a token
    of their prefixes. Before that, a document with as many tokens as its prefix has that occur in no
    other class (later: no other family) can't link outside, as a link leaves it fewer tokens of its
-   own: it is done. Looking at somewhat more than the prefix settles almost all documents, and those
-   left are looked at again among themselves.
+   own: it is done. Looking at somewhat more than the prefix settles most documents; those left are
+   looked at again among themselves, now with all their tokens, until no more can be settled.
 4. For a document and a group of another family, the number of shared prefix tokens and the tokens
    left after the last of them bound the overlap with any member; so does, then, the overlap with the
    union of the group's tokens. Only qualifying groups are opened and their members verified.
@@ -25,7 +25,7 @@ id does not take part and has no component. Fewer than ``k`` words make one shin
 sequence. Rows that repeat an id are judged by their own text. An empty table gives an empty result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from matchlane.session import materialise
 GROUP = 64
 SKETCH = 16  # positions of the min-hash sketch; every fourth one is a key for step 2
 ROUNDS = 4
-BLOOM_BITS = 1 << 27
+BLOOM_BITS = 1 << 26
 PAGE_BITS = 32768
 _STARTS = np.arange(-(SKETCH // 2), SKETCH // 2, dtype=np.int64) * (1 << 64 - SKETCH.bit_length() + 1)
 
@@ -106,44 +106,63 @@ def _carried(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return tokens[: size + max(2, size // 3)]
 
 
-def _shared_tokens(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Stored tokens that the carried tokens of more than one class hold."""
+def _chosen(docs: DataFrame, reps: DataFrame | None) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Texts with a hash of their id, and a filter of their batches: a Bloom filter of ``reps``, or none."""
+    if reps is None:
+        return docs.select("doc_id", "text"), lambda part: part
+    places = reps.select(F.explode(_two_places(F.xxhash64("rep"))).alias("at"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
+
+    def some(part: pa.RecordBatch) -> pa.RecordBatch:
+        table = np.frombuffer(bits.value, np.uint8)
+        return part.filter(pa.array(_in_bloom(table, part.column("hash").to_numpy())))
+
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("hash"), "text"), some
+
+
+def _shared_tokens(docs: DataFrame, reps: DataFrame | None, part_of: Callable[[np.ndarray], np.ndarray], k: int) -> DataFrame:
+    """Stored tokens that the chosen part of more than one class's set holds."""
+    texts, some = _chosen(docs, reps)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lists = [(_carried(t, num, den), _digest(t)[0]) for _, t in _sets(part, k) if len(t)]
+            lists = [(part_of(t), _digest(t)[0]) for _, t in _sets(some(part), k) if len(t)]
             if lists:
                 owners = np.repeat(np.array([d for _, d in lists], np.int64), [len(t) for t, _ in lists])
                 tokens = np.concatenate([t for t, _ in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owners)], names=["token", "owner"])
 
-    found = docs.select("text").mapInArrow(batches, "token long, owner long")
+    found = texts.mapInArrow(batches, "token long, owner long")
     ends = found.groupBy("token").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
     return materialise(ends.where("low != high").select("token"), "jaccard-tokens")
 
 
-def _open_documents(docs: DataFrame, shared: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """rep, d1, d2 and carried tokens of the documents that may link outside their class.
+def _open_documents(
+    docs: DataFrame, reps: DataFrame | None, part_of: Callable[[np.ndarray], np.ndarray], k: int, num: int, den: int, keep: bool
+) -> DataFrame:
+    """rep, d1, d2 (and all tokens, to ``keep``) of the documents that may link outside their class.
 
-    Shared tokens are looked up in a Bloom filter; what it lets through by mistake only leaves more
-    documents open.
+    The tokens of the chosen parts that classes share are looked up in a Bloom filter; what it lets
+    through by mistake only leaves more documents open.
     """
-    places = shared.select(F.explode(_two_places(F.col("token"))).alias("at"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
+    shared = _shared_tokens(docs, reps, part_of, k)
+    texts, some = _chosen(docs, reps)
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(shared.select(F.explode(_two_places(F.col("token"))).alias("at"))))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
-        for part in parts:
+        for whole in parts:
+            part = some(whole)
             kept, ones, twos, lists = [], [], [], []
             for row, tokens in _sets(part, k):
-                some = _carried(tokens, num, den) if len(tokens) else tokens
-                own = len(some) - np.count_nonzero(_in_bloom(table, some))
+                chosen = part_of(tokens) if len(tokens) else tokens
+                own = len(chosen) - np.count_nonzero(_in_bloom(table, chosen))
                 if len(tokens) and own < _prefix_size(len(tokens), num, den):
                     digest = _digest(tokens)
                     kept.append(row)
                     ones.append(digest[0])
                     twos.append(digest[1])
-                    lists.append(some)
+                    lists.append(tokens if keep else tokens[:0])
             ends = np.cumsum([0, *map(len, lists)])
             tokens = pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))
             yield pa.RecordBatch.from_arrays(
@@ -156,7 +175,7 @@ def _open_documents(docs: DataFrame, shared: DataFrame, k: int, num: int, den: i
             )
 
     schema = f"rep {dict(docs.dtypes)['doc_id']}, d1 long, d2 long, tokens array<long>"
-    return docs.select("doc_id", "text").mapInArrow(batches, schema)
+    return texts.mapInArrow(batches, schema)
 
 
 def _settled(documents: DataFrame, num: int, den: int) -> DataFrame:
@@ -207,18 +226,16 @@ def _in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """rep, d1, d2, n and tokens of the texts that a Bloom filter of ``reps`` lets through."""
-    places = reps.select(F.explode(_two_places(F.xxhash64("rep"))).alias("at"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
+    texts, some = _chosen(docs, reps)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
-        for part in parts:
-            some = part.filter(pa.array(_in_bloom(table, part.column("hash").to_numpy())))
-            for row, tokens in _sets(some, k):
+        for whole in parts:
+            part = some(whole)
+            for row, tokens in _sets(part, k):
                 digest = _digest(tokens)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column("doc_id").slice(row, 1),
+                        part.column("doc_id").slice(row, 1),
                         pa.array([digest[0]]),
                         pa.array([digest[1]]),
                         pa.array([len(tokens)], pa.int64()),
@@ -228,7 +245,7 @@ def _full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
                 )
 
     schema = f"rep {dict(docs.dtypes)['doc_id']}, d1 long, d2 long, n long, tokens array<long>"
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(batches, schema)
+    return texts.mapInArrow(batches, schema)
 
 
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
@@ -285,14 +302,14 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _matrix_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     """Stored (q, label, chunk): documents and groups of other families that may hold a link.
 
     Of two families the smaller one asks, so a large family is met by group and not by member. A link
     needs ``least`` common tokens. Those up to the last common prefix token are counted; after it, or
     after the whole prefix of the side whose prefix ends first, no more can follow than tokens are left.
     """
-    first = prefixes.withColumn("tokens", F.slice("tokens", 1, _prefix_column(num, den).cast("int")))
+    first = documents.withColumn("tokens", F.slice("tokens", 1, _prefix_column(num, den).cast("int")))
     columns = ["rep", "n", "label", "family", "chunk", F.element_at("tokens", -1).alias("last")]
     rows = first.select(*columns, F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
     groups = rows.groupBy("token", "label", "chunk", "family").agg(
@@ -321,20 +338,15 @@ def _matrix_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     return materialise(pairs.where(F.col("common") + rest >= least).select("q", "label", "chunk"), "jaccard-pairs")
 
 
-def _opened(pairs: DataFrame, families: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Stored links (a, b) between documents and the members of qualifying groups."""
-    groups = pairs.select("label", "chunk").distinct()
-    members = families.join(groups, ["label", "chunk"], "left_semi").select("rep", "label", "chunk")
-    reps = materialise(pairs.select(F.col("q").alias("rep")).union(members.select("rep")).distinct(), "jaccard-open")
-    wanted = families.join(reps, "rep", "left_semi").select("rep", "d1", "d2")
-    sets = _full_sets(docs, reps, k).join(wanted, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"])
-    sets = materialise(sets.select("rep", "n", "tokens"), "jaccard-sets")
-    unions = members.join(sets, "rep").groupBy("label", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    asking = sets.toDF("q", "na", "ta")
+def _opened(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored links (a, b) between documents and the open members of qualifying groups."""
+    asking = documents.select(F.col("rep").alias("q"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    members = documents.select("label", "chunk", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    members = members.join(pairs.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
+    unions = members.groupBy("label", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tb"))).alias("union"))
     bound = F.size(F.array_intersect("ta", "union")) * den >= F.col("na") * num
     qualified = pairs.join(unions, ["label", "chunk"]).join(asking, "q").where(bound).select("q", "label", "chunk")
-    opened = qualified.join(members, ["label", "chunk"]).select("q", F.col("rep").alias("b"))
-    met = opened.join(asking, "q").join(sets.toDF("b", "nb", "tb"), "b")
+    met = qualified.join(members, ["label", "chunk"]).join(asking, "q")
     linked = met.where(_sizes_fit(F.col("na"), F.col("nb"), num, den) & _linked(F.size(F.array_intersect("ta", "tb")), num, den))
     return materialise(linked.select(F.col("q").alias("a"), "b"), "jaccard-links")
 
@@ -349,14 +361,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     grouped = features.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
     classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "jaccard-classes")
     families = _labelled(classes, _seed_links(texts, classes, k, num, den))
-    opened = _open_documents(texts, _shared_tokens(texts, k, num, den), k, num, den)
+    few = _open_documents(texts, None, lambda tokens: _carried(tokens, num, den), k, num, den, False)
+    few = materialise(few.select("rep").distinct(), "jaccard-few")
+    all_tokens = _open_documents(texts, few, lambda tokens: tokens, k, num, den, True)
     owned = families.select("rep", "d1", "d2", "n", "label", "family", "chunk")
-    once = opened.join(owned, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
-    prefixes = _settled(materialise(once, "jaccard-open"), num, den)
-    pairs = _matrix_pairs(prefixes, num, den)
+    once = all_tokens.join(owned, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
+    documents = _settled(materialise(once, "jaccard-open"), num, den)
+    pairs = _matrix_pairs(documents, num, den)
     component = families.select("n", "d1", "d2", F.col("label").alias("component_id"))
     if not pairs.isEmpty():
-        found = _opened(pairs, families, texts, k, num, den)
+        found = _opened(pairs, documents, num, den)
         label = families.select("rep", "label")
         between = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").selectExpr("la AS a", "lb AS b")
         merged = connected(between.distinct()).toDF("label", "top")

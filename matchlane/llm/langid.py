@@ -218,15 +218,15 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, max
     return train([(r.lang, r.text) for r in chosen.collect()])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score, for every row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], inside: str | None = None) -> DataFrame:
+    """Columns ``keep`` with lang_pred and score, for every row; the text may lie ``inside`` one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for part in parts:
             found, scores = [], []
-            column = part.column("_text")
+            column = part.column("_text") if inside is None else part.column(inside).field("text")
             for at, to, data, offsets in text_slices(column):
                 letters = [bool(t and _LETTER.search(t)) for t in column.slice(at, to - at).to_pylist()]
                 if known is None:
@@ -241,13 +241,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 names=[*keep, "lang_pred", "score"],
             )
 
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    kept = docs.select(*keep, *([F.col("text").alias("_text")] if inside is None else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keep)])
     return kept.mapInArrow(batches, f"{schema}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
     model = learn(docs, F.lit(True))
-    named = predict(docs.select(F.struct("*").alias("doc"), "text"), model, ["doc"])
+    named = predict(docs.select(F.struct("*").alias("doc")), model, ["doc"], "doc")
     return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
