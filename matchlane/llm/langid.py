@@ -43,7 +43,7 @@ FAMILIES = {
 }
 FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages}
 BUCKETS = 1 << 14
-PER_LANGUAGE = 500
+PER_LANGUAGE = 300
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -78,7 +78,7 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np
 
 def _frequencies(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, n = np.unique(np.concatenate([b for _, b in gram_buckets(data)]), return_counts=True)
-    return found, n / max(1, n.sum())
+    return found.astype(np.int16), (n / max(1, n.sum())).astype(np.float32)
 
 
 @dataclass
@@ -163,13 +163,14 @@ def _machine(yes: list, no: list, rounds: int = 30, shrink: float = 1e-2, seed:
         for at, share in rows:
             counts[side][at] += share * len(at)
     ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    rows = [(at, share * ratio[at], 1.0) for at, share in yes] + [(at, share * ratio[at], -1.0) for at, share in no]
+    n_yes, rows = len(yes), [*yes, *no]  # scaled when they are met, to hold the sample once
     share_of = {1.0: 0.5 / max(1, len(yes)), -1.0: 0.5 / max(1, len(no))}
     w, b, order = np.ones(BUCKETS), 0.0, np.random.default_rng(seed)
     step = 1
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
-            at, x, y = rows[i]
+            (at, share), y = rows[i], 1.0 if i < n_yes else -1.0
+            x = share * ratio[at]
             rate = 1 / (shrink * (step + 1000))
             margin = y * (x @ w[at] + b)
             w[at] -= rate * shrink * (w[at] - 1)
