@@ -73,3 +73,23 @@ def test_without_training_rows(spark):
     assert got[1].train_tokens == 0 and got[1].base_score == 0 and got[1].n_known == 0
     assert got[1].score == pytest.approx(-4 * math.log10(256), rel=1e-6)
     assert ppm.score(documents(spark, []), F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("setting", [{}, {"max_contexts": 20}])
+def test_rare_contexts_are_known(spark, setting):
+    """Texts of another kind than nearly all the corpus, whose contexts are few of its bytes."""
+    rng = random.Random(5)
+    common = ["lorem", "ipsum", "dolor", "sit", "amet"]
+    rare = ["žluť", "kůň", "ДОМ", "QUARTZ", "#7", "été"]
+    texts = [(i, " ".join(rng.choices(common, k=600))) for i in range(100)]
+    texts += [(100 + i, " ".join(rng.choices(rare, k=12))) for i in range(14)] + [(107, "ДОМ"), (107, "дом"), (107, "ДОМ")]
+    got = ppm.score(documents(spark, texts), F.col("doc_id") % 5 == 2, **setting).collect()
+    model = brute_model([t for d, t in texts if d % 5 != 2])
+    want = []
+    for d, t in texts:
+        data = b"\0\0\0" + t.encode() + b"\0"
+        want.append((d, sum(code_length(model, data[i - 3 : i], data[i]) for i in range(3, len(data))) if d >= 100 else None))
+    want = sorted(w for w in want if w[0] >= 100)
+    found = sorted((r.doc_id, r.score) for r in got if r.doc_id >= 100)
+    assert len(got) == len(texts) and [d for d, _ in found] == [d for d, _ in want]
+    assert [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-4)
