@@ -308,6 +308,9 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     Of two families the smaller one asks, so a large family is met by group and not by member. A link
     needs ``least`` common tokens. Those up to the last common prefix token are counted; after it, or
     after the whole prefix of the side whose prefix ends first, no more can follow than tokens are left.
+    Of a group with several members, whose prefixes reach to ``end`` at least, only common tokens up to
+    ``end`` are counted: a later one may be another member's, while the linked one holds others there
+    beyond its prefix. All of q's tokens after the last one counted are left.
     """
     first = documents.withColumn("tokens", F.slice("tokens", 1, _prefix_column(num, den).cast("int")))
     columns = ["rep", "n", "label", "family", "chunk", F.element_at("tokens", -1).alias("last")]
@@ -325,8 +328,10 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
         & (F.col("high") * den >= F.col("n") * num)
         & (F.col("n") * den >= F.col("low") * num)
     )
+    several = F.when(F.col("family") > 1, F.struct("token", F.col("at").cast("long").alias("at")))
     pairs = met.groupBy("q", "label", "chunk").agg(
         F.count("*").alias("common"),
+        F.collect_list(several).alias("several"),
         F.max("at").alias("at"),
         F.max("place").alias("place"),
         *[F.min(c).alias(c) for c in ("n", "last", "size", "family", "low", "end", "prefix")],
@@ -334,8 +339,14 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     least = F.ceil(num * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * num / den))) / (num + den))
     own_rest = F.when(F.col("last") <= F.col("end"), F.col("n") - F.col("size")).otherwise(F.col("n") - 1 - F.col("at"))
     its_rest = F.when(F.col("end") <= F.col("last"), F.col("low") - F.col("prefix")).otherwise(F.col("low") - 1 - F.col("place"))
-    rest = F.when(F.col("family") == 1, F.least(own_rest, its_rest)).otherwise(own_rest)
-    return materialise(pairs.where(F.col("common") + rest >= least).select("q", "label", "chunk"), "jaccard-pairs")
+    counted = F.filter("several", lambda x: x["token"] <= F.col("end"))
+    after = F.col("n") - 1 - F.coalesce(F.array_max(F.transform(counted, lambda x: x["at"])), F.lit(-1))
+    bound = (
+        F.when(F.col("family") == 1, F.col("common") + F.least(own_rest, its_rest))
+        .when(F.col("last") <= F.col("end"), F.col("common") + own_rest)
+        .otherwise(F.size(counted) + after)
+    )
+    return materialise(pairs.where(bound >= least).select("q", "label", "chunk"), "jaccard-pairs")
 
 
 def _opened(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataFrame:

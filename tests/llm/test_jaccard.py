@@ -44,3 +44,30 @@ def test_one_of_each_keeps_whole_rows(spark, tmp_path):
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
+
+
+def matrix_rows(label, family, sets):
+    """Rows for the matrix: a family of one group."""
+    return [(f"{label}-{i}", len(s), label, family, 0, sorted(s)) for i, s in enumerate(sets)]
+
+
+def test_bound_of_groups_keeps_all_links(spark):
+    """Documents inside a member of another family, at the threshold; other members hold later tokens."""
+    inside = set(range(0, 400, 10))
+    member = inside | {1, 2, 3, 4, *range(395, 401)}
+    other = member - {70} | {401, 402}
+    rows = matrix_rows("a", 1, [inside]) + matrix_rows("b", 2, [member, other])
+    wanted = {("a-0", "b", 0)}
+    rng = random.Random(1)
+    for case in range(1, 300):
+        tokens = [case * 10**6 + x for x in rng.sample(range(10**5), 200)]
+        inside = set(tokens[:40])
+        members = [inside | set(tokens[40:50])]
+        for _ in range(rng.randint(1, 5)):
+            few = rng.sample(sorted(members[0]), rng.randint(44, 49))
+            members.append(set(few) | set(rng.sample(tokens[50:], 50 - len(few) + rng.randint(0, 1))))
+        rows += matrix_rows(f"a{case}", 1, [inside]) + matrix_rows(f"b{case}", len(members), members)
+        wanted.add((f"a{case}-0", f"b{case}", 0))
+    names = "rep string, n long, label string, family long, chunk long, tokens array<long>"
+    found = jaccard._matrix_pairs(spark.createDataFrame(rows, names), 80, 100).collect()
+    assert wanted <= {tuple(r) for r in found}
