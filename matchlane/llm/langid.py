@@ -247,8 +247,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], inside: str |
     return kept.mapInArrow(batches, f"{schema}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of at least ``least``."""
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known, however low its score.
+
+    The score says how sure the choice between languages is; a clean text between several of them has
+    a low one.
+    """
     model = learn(docs, F.lit(True))
     named = predict(docs.select(F.struct("*").alias("doc")), model, ["doc"], "doc")
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    return named.where(F.col("lang_pred") != UNKNOWN).select("doc.*")

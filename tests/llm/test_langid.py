@@ -39,3 +39,16 @@ def test_nothing_to_learn(spark):
     one = documents(spark, [(i, "some words here") for i in range(9)], lambda d: "en")
     assert {r.lang_pred for r in langid.predict(one, langid.learn(one, F.lit(True)), ["doc_id"]).collect()} == {"en"}
     assert langid.keep_known(documents(spark, [])).count() == 0
+
+
+def test_unsure_languages_are_kept(spark):
+    """More than two families, and three languages in one: low scores of clean texts."""
+    names = ["en", "de", "nl", "fr", "es", "xx", "yy"]
+    parts = {**SYLLABLES, "nl": "ij aa oe ee van het een uit", "yy": "zo zu za wo wu wa"}
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choices(parts[names[i % 7]].split(), k=3)) for _ in range(20))) for i in range(210)]
+    mixed = [(1000 + i, " ".join("".join(rng.choices(parts[x].split(), k=2)) for x in names for _ in range(3))) for i in range(30)]
+    docs = documents(spark, [*rows, *mixed, (2000, "12 %%")], lambda d: names[d % 7] if d < 1000 else None)
+    scores = langid.predict(docs, langid.learn(docs, F.lit(True)), ["doc_id"]).collect()
+    assert any(r.score < 0.5 for r in scores if r.doc_id < 2000)
+    assert sorted(r.doc_id for r in langid.keep_known(docs).collect()) == [d for d, _ in [*rows, *mixed]]
