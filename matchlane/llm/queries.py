@@ -4,7 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlane.llm import chat, decontaminate, jaccard, langid, neighbours, packing, pii, ppm, token_counts, url_filter
+from matchlane.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    langid,
+    lexical_search,
+    neighbours,
+    packing,
+    pii,
+    ppm,
+    token_counts,
+    url_filter,
+    vector_codes,
+    warc,
+)
 from matchlane.llm.support import crc_mod, small_batches, table
 from matchlane.session import materialise
 
@@ -172,6 +186,112 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)))
 
 
+def op11_entry_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as 16 codebook indexes, with its error and that of its label."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id",
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"),
+    )
+
+
+def _assignment_sql(number: int) -> str:
+    """Nearest entries of the codebooks of one round."""
+    return f"""assigned{number} AS (
+  SELECT q.row, q.part, q.piece, arg_min(b.entry, struct_pack(d := list_sum(list_transform(list_zip(q.piece, b.piece), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.entry)) AS entry,
+         min(list_sum(list_transform(list_zip(q.piece, b.piece), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+  FROM pieces q JOIN books{number} b ON q.part = b.part GROUP BY q.row, q.part, q.piece
+)"""
+
+
+def _books_sql(number: int) -> str:
+    """Codebooks after one more round."""
+    return f"""means{number} AS (
+  SELECT part, entry, list(m ORDER BY place) AS piece FROM (
+    SELECT part, entry, place, floor(sum(piece[place]) / count(*))::BIGINT AS m
+    FROM assigned{number - 1}, range(1, 5) AS r(place) GROUP BY part, entry, place) GROUP BY part, entry
+), books{number} AS (
+  SELECT b.part, b.entry, coalesce(m.piece, b.piece) AS piece
+  FROM books{number - 1} b LEFT JOIN means{number} m ON b.part = m.part AND b.entry = m.entry
+)"""
+
+
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS (
+  SELECT row, p AS part, v[4 * p + 1 : 4 * p + 4] AS piece FROM kept, range(16) AS r(p)
+), books0 AS (
+  SELECT part, row - 1 AS entry, piece FROM pieces WHERE row <= 64
+), {_assignment_sql(0)}, {_books_sql(1)}, {_assignment_sql(1)}, {_books_sql(2)}, {_assignment_sql(2)},
+coded AS (
+  SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM assigned2 GROUP BY row
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(piece, ','), ',' ORDER BY part, entry)) FROM books2) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
+def op12_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    docs, items = (table(small_batches(spark), sf_dir, name) for name in ("documents", "benchmark"))
+    found = lexical_search.search(lexical_search.build(docs), items.select(F.col("item_id").alias("query"), "text"), 10)
+    return found.withColumnRenamed("query", "item_id")
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), stats AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS terms FROM words),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), postings AS (
+  SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM words)
+  WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY term, docs
+), scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), stats GROUP BY item_id, row, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    pages = table(small_batches(spark), sf_dir, "pages")
+    manifest = warc.write_archives(warc.records(pages))
+    return warc.resolved(warc.read_archives(manifest, bodies=False))
+
+
+OP13_SQL = """
+WITH bodies AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), numbered AS (
+  SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+         row_number() OVER (PARTITION BY html ORDER BY page_id) AS place, min(page_id) OVER (PARTITION BY html) AS first
+  FROM bodies
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 10 * (i // 8)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to
+FROM numbered
+"""
+
 QUERIES = {
     "op1_collision_counting": op1_collision_counting,
     "op2_token_groups": op2_token_groups,
@@ -183,9 +303,15 @@ QUERIES = {
     "op8_seeds_alignment": op8_seeds_alignment,
     "op9_cost_balanced": op9_cost_balanced,
     "op10_partial_matching": op10_partial_matching,
+    "op11_entry_trie": op11_entry_trie,
+    "op12_max_sketches": op12_max_sketches,
+    "op13_chunked_records": op13_chunked_records,
 }
 SQL = {
     "op2_token_groups": OP2_SQL,
     "op4_reply_trees": OP4_SQL,
     "op6_bloom_cascade": OP6_SQL,
+    "op11_entry_trie": OP11_SQL,
+    "op12_max_sketches": OP12_SQL,
+    "op13_chunked_records": OP13_SQL,
 }
