@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchlane.operators.joins import join_lookup
 from matchlane.session import materialise
@@ -203,7 +204,7 @@ def restore(coded: DataFrame, books: list[np.ndarray], scale: int = SCALE) -> Da
             found = np.concatenate([b[codes[:, p]] for p, b in enumerate(books)], 1)
             yield batch.append_column("embedding", pa.array(list((found + 0.5) / scale), pa.list_(pa.float64())))
 
-    return coded.mapInArrow(read, coded.schema.add("embedding", "array<double>"))
+    return coded.mapInArrow(read, T.StructType([*coded.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def fingerprint(books: list[np.ndarray]) -> str:
