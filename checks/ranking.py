@@ -9,7 +9,8 @@ from matchlane.operators.joins import top_k
 from matchlane.operators.ranking import COMPONENTS, canonical_order, display_components
 from matchlane.operators.requirements import parse_requirements
 from matchlane.plans import sample_profiles as sp
-from matchlane.plans.shortlist import index_candidates, rank_candidates, run_metrics, score_chosen, survivors
+from matchlane.plans.shortlist import index_candidates, rank_candidates, run_metrics, score_pairs
+from matchlane.session import materialise
 
 TOP = 100
 
@@ -40,7 +41,7 @@ def breakdowns(spark, sf_dir):
     """The components of every shortlisted candidate."""
     wanted = jobs(spark, sf_dir)
     index = index_candidates(P.candidates(spark, sf_dir), P.today())
-    scored = score_chosen(index, wanted, survivors(index, wanted, TOP))
+    scored = score_pairs(index, materialise(wanted, "jobs"), TOP)
     order = [F.desc(F.round("final", 9)), F.asc("candidate_id")]
     return top_k(scored, ["jd_id"], order, TOP, F.col("doc_key")).select(
         "jd_id", "candidate_id", *[F.bround(F.round(c, 12), 6).alias(c) for c in COMPONENTS],

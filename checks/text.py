@@ -80,7 +80,7 @@ def corpus_statistics(spark, sf_dir):
 
 def document_vectors(spark, sf_dir):
     index = _index(spark, sf_dir)
-    return index.docs.join(index.norms, "doc_key", "left").select(
+    return index.docs.select(
         "doc_id", F.col("dl").cast("bigint").alias("dl"), F.round(F.coalesce("norm", F.lit(0.0)), 6).alias("norm")
     )
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlane.session import materialise, size_of
+from matchlane.session import is_stored, materialise, size_of
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 64
@@ -20,12 +20,13 @@ def join_lookup(
 ) -> DataFrame:
     """Join a large table with a lookup of unknown size.
 
-    The lookup is measured first.  Up to ``max_bytes`` it is broadcast and the
-    large side is not shuffled.  Beyond that, every lookup row is copied to
+    The lookup is worked out once, into a stored table whose size is then known.
+    Up to ``max_bytes`` it is broadcast and the large side is not shuffled.  Beyond that, every lookup row is copied to
     ``salts`` buckets (as many as the session has shuffle partitions, at most
     1000) and each row of the large side picks one by ``spread``, so a key that
     holds a third of the large side is split over all of them.
     """
+    lookup = lookup if is_stored(lookup) else materialise(lookup, "lookup")
     if size_of(lookup) <= max_bytes:
         return big.join(F.broadcast(lookup), on, how)
     if salts is None:

@@ -1,27 +1,52 @@
 """Hybrid lexical retrieval: BM25 and TF-IDF cosine over a forward index.
 
 A document is one index row that carries its own term counts, computed inside
-the row from its sorted tokens.  Building it shuffles nothing; only term
-statistics and per-document sums cross the network.
+the row from its sorted tokens.  Building it shuffles term statistics only, and
+searching shuffles what a task has left after folding its documents (``scoring``).
+
+An index folder holds segments, each written once with its own statistics, and a
+version per set of segments: merged statistics, a one-row manifest and the rows
+with their norms.  Opening reads the manifest alone; appending writes a segment
+and a new version.
 """
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from matchlane.functions.binding import rows_of
 from matchlane.functions.text import tokenize
-from matchlane.operators.joins import join_lookup, top_k, with_ordinal
-from matchlane.session import fits, materialise, work_path
-
-# BM25 and TF-IDF parameters, hybrid weights.
-K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
+from matchlane.operators.joins import join_lookup, top_k
+from matchlane.operators.scoring import (
+    BM25_SHARE,
+    COSINE_SHARE,
+    DECIMALS,
+    Jobs,
+    best_documents,
+    known_ranges,
+    matching_pairs,
+    per_block,
+    score_ranges,
+)
+from matchlane.session import materialise, work_path
+
+# The floor of rare idf values and the vocabulary's limits.
+NEGATIVE_IDF_SHARE = 0.25
 MIN_DF, MAX_DF_RATIO = 2, 0.85
-BM25_SHARE, COSINE_SHARE = 0.6, 0.4
 
-# Upper bound of the terms broadcast while computing document norms.
+# Upper bound of the terms that go to every task while document norms are computed.
 HEAD_TERMS = 500_000
+# Rows that a task counts at a time.
+KERNEL_ROWS = 1000
+# ``doc_key`` of a segment's rows starts at its number times this.
+SEGMENT_KEYS = 1 << 56
 
 
 def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -81,16 +106,21 @@ def corpus_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 @dataclass
 class RetrievalIndex:
-    """``docs(doc_key, …, dl, terms)``, ``terms(term, df)``, ``norms(doc_key, norm)`` and corpus scalars."""
+    """``docs(doc_key, keep…, dl, terms, norm)``, ``rows(doc_key, keep…, tokens, _wide)``, ``terms(term, df)`` and corpus scalars."""
 
     docs: DataFrame
+    rows: DataFrame
     terms: DataFrame
-    norms: DataFrame
     n_docs: int
     avgdl: float
     n_postings: int
     mean_idf: float
 
+    @property
+    def wide(self) -> DataFrame:
+        """``doc_key`` and the wide columns."""
+        return self.rows.select("doc_key", "_wide.*")
+
     def tfidf_vocabulary(self) -> DataFrame:
         """Terms that are neither too rare nor too common, with their smooth idf."""
         return self.terms.where(
@@ -98,63 +128,149 @@ class RetrievalIndex:
         ).select("term", "df", (F.log((1.0 + self.n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+MANIFEST = (
+    "n_segments int, keep array<string>, n_docs long, avgdl double, n_postings long, mean_idf double, "
+    "rows_schema string, docs_schema string"
+)
+TERMS = "term string, df long"
+
+
 def build_index(
-    docs: DataFrame, tokens: Column, keep: list[str], path: str | None = None, name: str = "index"
+    docs: DataFrame,
+    tokens: Column,
+    keep: list[str],
+    path: str | None = None,
+    name: str = "index",
+    wide: dict[str, Column] | None = None,
 ) -> RetrievalIndex:
     """Tokenise once, write the index tables, return them for any number of jobs.
 
-    ``keep`` are the document columns stored with the counts.  ``doc_key`` is a
-    row number of the written table, so repeated ids stay separate documents.
+    ``keep`` are the document columns that every search reads; ``wide`` columns are
+    stored beside them, for the few documents a search returns.  ``doc_key`` is a row
+    number of the written table, so repeated ids stay separate documents.
+    """
+    root = path or work_path(docs.sparkSession, name)
+    written = _write_segment(docs, tokens, keep, wide or {}, root, 0)
+    return _write_version(docs.sparkSession, root, keep, 1, written.schema)
+
+
+def append_documents(
+    index_path: str, docs: DataFrame, tokens: Column, wide: dict[str, Column] | None = None
+) -> RetrievalIndex:
+    """The index at ``index_path`` with more documents: a further segment and a new version.
+
+    Texts already indexed are not read again; their norms change with the corpus and are
+    worked out anew from the stored counts.
     """
     spark = docs.sparkSession
-    root = path or work_path(spark, name)
-    keyed = term_counts(docs, tokens).select(*keep, "dl", "terms", F.monotonically_increasing_id().alias("doc_key"))
-    written = materialise(keyed, name, f"{root}/docs")
-    materialise(term_stats(written), name, f"{root}/terms")
-    return _open(spark, root, write_norms=True)
+    last = _manifest(spark, index_path)
+    written = _write_segment(docs, tokens, last.keep, wide or {}, index_path, last.n_segments)
+    if written.schema != StructType.fromJson(json.loads(last.rows_schema)):
+        raise ValueError("the documents to append have other columns than the index")
+    return _write_version(spark, index_path, last.keep, last.n_segments + 1, written.schema)
 
 
 def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
-    """Reopen an index written by ``build_index``."""
-    return _open(spark, path, write_norms=False)
+    """Open the newest version of an index; reads one row."""
+    return _opened(spark, path, _manifest(spark, path))
+
 
+def _write_segment(docs: DataFrame, tokens: Column, keep: list[str], wide: dict[str, Column], root: str, number: int) -> DataFrame:
+    key = (F.monotonically_increasing_id() + F.lit(number * SEGMENT_KEYS)).alias("doc_key")
+    beside = F.struct(*[column.alias(name) for name, column in wide.items()] or [F.lit(True).alias("none")]).alias("_wide")
+    rows = materialise(docs.select(key, *keep, tokens.alias("tokens"), beside), "segment", f"{root}/segments/{number}/rows")
+    each = rows.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    materialise(each.groupBy("term").agg(F.count("*").alias("df")), "terms", f"{root}/segments/{number}/terms")
+    return rows
 
-def _open(spark: SparkSession, root: str, write_norms: bool) -> RetrievalIndex:
-    docs = spark.read.parquet(f"{root}/docs")
-    terms = spark.read.parquet(f"{root}/terms")
-    row = corpus_stats(docs, terms).first()
+
+def _segments(spark: SparkSession, root: str, n: int, table: str, schema: StructType | str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{root}/segments/{i}/{table}" for i in range(n)])
+
+
+def _write_version(spark: SparkSession, root: str, keep: list[str], n: int, schema: StructType) -> RetrievalIndex:
+    rows = _segments(spark, root, n, "rows", schema)
+    terms = _segments(spark, root, n, "terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
+    target = f"{root}/versions/{n}"
+    stored = materialise(terms, "terms", f"{target}/terms")
+    stats = corpus_stats(rows.select(F.size("tokens").alias("dl")), stored).first()
     index = RetrievalIndex(
-        docs, terms, None, row.n_docs, row.avgdl or 0.0, row.n_postings, row.mean_idf or 0.0
+        rows, rows, stored, stats.n_docs, stats.avgdl or 0.0, stats.n_postings, stats.mean_idf or 0.0
     )
-    if write_norms:
-        document_norms(index).write.parquet(f"{root}/norms")
-    index.norms = spark.read.parquet(f"{root}/norms")
-    return index
+    docs = materialise(index_rows(index, keep), "docs", f"{target}/docs")
+    facts = (n, keep, index.n_docs, index.avgdl, index.n_postings, index.mean_idf, rows.schema.json(), docs.schema.json())
+    # Written last: a version without its manifest does not exist.
+    spark.createDataFrame([facts], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    return load_index(spark, root)
+
+
+def _manifest(spark: SparkSession, root: str):
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").orderBy(F.desc("n_segments")).first()
+
 
+def _opened(spark: SparkSession, root: str, facts) -> RetrievalIndex:
+    target = f"{root}/versions/{facts.n_segments}"
+    rows_schema, docs_schema = (StructType.fromJson(json.loads(x)) for x in (facts.rows_schema, facts.docs_schema))
+    rows = _segments(spark, root, facts.n_segments, "rows", rows_schema)
+    docs, terms = spark.read.schema(docs_schema).parquet(f"{target}/docs"), spark.read.schema(TERMS).parquet(f"{target}/terms")
+    return RetrievalIndex(docs, rows, terms, facts.n_docs, facts.avgdl, facts.n_postings, facts.mean_idf)
 
-def document_norms(index: RetrievalIndex, head_terms: int = HEAD_TERMS) -> DataFrame:
-    """Euclidean norm of every document's TF-IDF vector.
 
-    Document frequencies add up to ``n_postings``, so at most ``head_terms``
-    terms reach a frequency of ``n_postings / head_terms``: that head is
-    broadcast whatever the corpus size.  The remaining terms are joined by a
-    shuffle in which, by the same cut, no term has more rows than the cut.
+def _run_lengths(tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of all rows, sorted; and by row and token: row, position in them, count."""
+    coded = tokens.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
+    pair, count = np.unique(row * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+    return coded.dictionary.take(pa.array(order)), *np.divmod(pair, max(1, len(order))), count
+
+
+def index_rows(index: RetrievalIndex, keep: list[str], head_terms: int = HEAD_TERMS) -> DataFrame:
+    """``doc_key, keep…, dl, terms array<struct<term, tf>>, norm`` of every row of the index.
+
+    The norm is that of the TF-IDF vector, 0 without a known term.  Document
+    frequencies add up to ``n_postings``, so at most ``head_terms`` terms reach a
+    frequency of ``n_postings / head_terms``: that head goes to every task whatever
+    the corpus size, and a document adds up its own terms.  The remaining terms meet
+    the documents in a shuffle in which, by the same cut, no term has more rows than
+    the cut; there are none in a small corpus.
     """
     cut = max(MIN_DF, -(-index.n_postings // head_terms))
     vocabulary = index.tfidf_vocabulary()
-    rows = postings(index.docs, ["doc_key"])
+    head = vocabulary.where(F.col("df") >= cut).select("term", "idf").toArrow()
+    known, idf = head["term"].combine_chunks(), head["idf"].to_numpy()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, KERNEL_ROWS) for whole in batches for at in range(0, len(whole), KERNEL_ROWS)):
+            words, row, word, count = _run_lengths(batch["tokens"])
+            place = pc.index_in(words, value_set=known)
+            weight = np.where(place.is_valid().to_numpy(zero_copy_only=False), np.append(idf, 0.0)[place.fill_null(len(idf)).to_numpy()], 0.0)
+            weight = (1.0 + np.log(count)) * weight[word]
+            pairs = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(count.astype(np.int32))], ["term", "tf"])
+            starts = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+            columns = {c: batch[c] for c in kept} | {
+                "dl": batch["tokens"].value_lengths().fill_null(0),
+                "terms": pa.ListArray.from_arrays(pa.array(starts), pairs),
+                "_w2": pa.array(np.bincount(row, weight * weight, len(batch)), pa.float64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kept = ["doc_key", *keep]
+    rows = index.rows.select(*kept, "tokens")
+    terms = ArrayType(StructType([StructField("term", StringType()), StructField("tf", IntegerType())]))
+    fields = [StructField("dl", IntegerType()), StructField("terms", terms), StructField("_w2", DoubleType())]
+    squared = rows.mapInArrow(counted, StructType([*rows.select(*kept).schema.fields, *fields]))
+    if cut == MIN_DF:
+        return squared.withColumn("norm", F.sqrt("_w2")).drop("_w2")
+    squared = materialise(squared, "head-norms")
+    tail = vocabulary.where(F.col("df") < cut).select("term", "idf")
     weight = (1.0 + F.log("tf")) * F.col("idf")
-    squared = (weight * weight).alias("w2")
-
-    head = F.broadcast(vocabulary.where(F.col("df") >= cut).select("term", "idf"))
-    parts = rows.join(head, "term").select("doc_key", squared)
-    if cut > MIN_DF:
-        frequent = F.broadcast(index.terms.where(F.col("df") >= cut).select("term"))
-        tail = vocabulary.where(F.col("df") < cut).select("term", "idf")
-        parts = parts.unionByName(
-            rows.join(frequent, "term", "left_anti").join(tail, "term").select("doc_key", squared)
-        )
-    return parts.groupBy("doc_key").agg(F.sqrt(F.sum("w2")).alias("norm"))
+    rare = postings(squared, ["doc_key"]).join(tail, "term").select("doc_key", (weight * weight).alias("w2"))
+    rest = rare.groupBy("doc_key").agg(F.sum("w2").alias("_rest"))
+    both = squared.join(rest, "doc_key", "left")
+    return both.withColumn("norm", F.sqrt(F.col("_w2") + F.coalesce("_rest", F.lit(0.0)))).drop("_w2", "_rest")
 
 
 def query_terms(jobs: DataFrame, text: str = "text") -> DataFrame:
@@ -191,120 +307,71 @@ def weighted_query(index: RetrievalIndex, jobs: DataFrame, text: str = "text") -
     )
 
 
-def pair_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``jd_id, doc_key, keep…, bm25, cosine`` for documents sharing a term with a job.
-
-    The norm joins the documents, before their terms meet the jobs: pairs are
-    summed up once and never shuffled again.
-    """
+def scored_blocks(index: RetrievalIndex, jobs: DataFrame, scored, text: str = "text") -> DataFrame | None:
+    """The rows of ``scored(block, jobs of the block)`` over all jobs; None without jobs."""
     weights = materialise(weighted_query(index, jobs, text), "query")
-    tf = F.col("tf")
-    saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl or 1.0)))
-    normed = index.docs.join(index.norms, "doc_key", "left")
-    sums = (
-        join_lookup(postings(normed, ["doc_key", *keep, "dl", "norm"]), weights, ["term"], F.col("doc_key"))
-        .groupBy("doc_key", "jd_id", *keep)
-        .agg(
-            F.sum(F.col("bm25_w") * saturated).alias("bm25"),
-            F.sum(F.col("cos_w") * (1.0 + F.log(tf))).alias("dot"),
-            F.max("norm").alias("norm"),
-        )
-    )
-    return sums.select(
-        "jd_id", "doc_key", *keep, "bm25", F.coalesce(F.try_divide("dot", "norm"), F.lit(0.0)).alias("cosine")
-    )
+    named = materialise(jobs.select("jd_id"), "jobs")
+    return per_block(named, weights, index.avgdl, scored)
 
 
-def job_ranges(pairs: DataFrame, n_docs: int) -> DataFrame:
-    """Per job, the ranges of both scores over all documents.
+def _none(jobs: DataFrame, index: RetrievalIndex, keep: list[str], scores: list[str]) -> DataFrame:
+    fields = [jobs.schema["jd_id"], *index.docs.select("doc_key", *keep).schema.fields]
+    return index.docs.sparkSession.createDataFrame([], StructType([*fields, *(StructField(s, DoubleType()) for s in scores)]))
 
-    Documents that share no term with the job score 0 and count in the range
-    without being listed.
-    """
-    seen = F.count("*")
 
-    def over_all(agg, pick, name: str) -> Column:
-        return F.when(seen < n_docs, pick(agg(name), F.lit(0.0))).otherwise(agg(name))
-
-    return pairs.groupBy("jd_id").agg(
-        over_all(F.min, F.least, "bm25").alias("_bm25_lo"),
-        over_all(F.max, F.greatest, "bm25").alias("_bm25_hi"),
-        over_all(F.min, F.least, "cosine").alias("_cos_lo"),
-        over_all(F.max, F.greatest, "cosine").alias("_cos_hi"),
-    )
-
-
-def _spread_to_unit(value: Column, low: Column, high: Column) -> Column:
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+def pair_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``jd_id, doc_key, keep…, bm25, cosine`` for documents sharing a term with a job; nothing is shuffled."""
+    found = scored_blocks(index, jobs, lambda block, _: matching_pairs(index.docs, block, keep), text)
+    return _none(jobs, index, keep, ["bm25", "cosine"]) if found is None else found
 
 
-def mixed_score(bm25: Column, cosine: Column) -> Column:
-    """Both scores min-max scaled by the columns of ``job_ranges``, then mixed."""
-    return BM25_SHARE * _spread_to_unit(
-        bm25, F.col("_bm25_lo"), F.col("_bm25_hi")
-    ) + COSINE_SHARE * _spread_to_unit(cosine, F.col("_cos_lo"), F.col("_cos_hi"))
+def job_ranges(index: RetrievalIndex, block: Jobs) -> DataFrame:
+    """Per job of the block, count, sums and ranges of both scores over all documents; stored, as searches follow."""
+    return materialise(score_ranges(index.docs, block, index.n_docs), "ranges")
 
 
-def with_hybrid(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds ``semantic``, and ``_none``: the score of a document without a common term."""
-    zero = F.lit(0.0)
-    joined = join_lookup(pairs, ranges, ["jd_id"], F.col("doc_key"), "left")
-    return joined.withColumns(
-        {"semantic": mixed_score(F.col("bm25"), F.col("cosine")), "_none": mixed_score(zero, zero)}
-    ).drop("_bm25_lo", "_bm25_hi", "_cos_lo", "_cos_hi")
+def hybrid_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Pairs that share a term, with ``semantic``; a first pass over the index finds the ranges."""
 
+    def scored(block: Jobs, _: DataFrame) -> DataFrame:
+        return matching_pairs(index.docs, block, keep, known_ranges(job_ranges(index, block), block))
 
-def hybrid_scores(index: RetrievalIndex, jobs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Pairs that share a term, with ``semantic``; the pairs are stored, as their ranges come first."""
-    pairs = materialise(pair_scores(index, jobs, keep, text), "pairs")
-    return with_hybrid(pairs, job_ranges(pairs, index.n_docs)).drop("_none")
+    found = scored_blocks(index, jobs, scored, text)
+    return _none(jobs, index, keep, ["bm25", "cosine", "semantic"]) if found is None else found
 
 
 def hybrid_topk(index: RetrievalIndex, jobs: DataFrame, k: int, doc_id: str, text: str = "text") -> DataFrame:
     """Best ``k`` documents per job over all documents.
 
     Scores that agree to nine decimals are ties (copies of a text), broken by id.
-    Documents without a common term all score the same for a job. They are added,
-    smallest ids first, only for jobs with fewer than ``k`` better matches.
+    Documents without a common term all score the same for a job and compete like
+    any other.
     """
-    pairs = materialise(pair_scores(index, jobs, [doc_id], text), "pairs")
-    scored = with_hybrid(pairs, job_ranges(pairs, index.n_docs))
-    best = [F.desc(F.round("semantic", 9)), F.asc(doc_id)]
-    listed = materialise(top_k(scored, ["jd_id"], best, k, F.col("doc_key")).drop("rank"), "listed")
-    better = F.round("semantic", 9) > F.round("_none", 9)
-    counts = listed.groupBy("jd_id").agg(F.count_if(better).alias("n"), F.max("_none").alias("_none"))
-    lacking = jobs.select("jd_id").join(counts, "jd_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    lacking = materialise(lacking.select("jd_id", F.coalesce("_none", F.lit(0.0)).alias("_none")), "lacking")
-    if not lacking.isEmpty():
-        columns = ["jd_id", "doc_key", doc_id, "semantic"]
-        listed = listed.select(*columns).unionByName(_strangers(index, pairs, lacking, k, doc_id).select(*columns))
-    return top_k(listed, ["jd_id"], best, k, F.col("doc_key")).select(
-        "jd_id", "doc_key", doc_id, "semantic", "rank"
-    )
 
+    def scored(block: Jobs, _: DataFrame) -> DataFrame:
+        return best_documents(index.docs, block, known_ranges(job_ranges(index, block), block), doc_id, k)
 
-def _strangers(index: RetrievalIndex, pairs: DataFrame, lacking: DataFrame, k: int, doc_id: str) -> DataFrame:
-    """For each lacking job the ``k`` smallest documents that share no term with it.
+    found = scored_blocks(index, jobs, scored, text)
+    found = _none(jobs, index, [doc_id], ["semantic"]) if found is None else found
+    best = [F.desc(F.round("semantic", DECIMALS)), F.asc(doc_id), F.asc("doc_key")]
+    return top_k(found, ["jd_id"], best, k, F.col("doc_key")).select("jd_id", "doc_key", doc_id, "semantic", "rank")
 
-    With documents numbered by id, they lie in the gaps between a job's matches;
-    before its i-th match, at number o, there are o - i of them.
-    """
-    numbered = with_ordinal(index.docs.select("doc_key", doc_id), [doc_id, "doc_key"], "_o")
-    matched = pairs.join(F.broadcast(lacking) if fits(lacking, 100_000) else lacking, "jd_id").join(
-        numbered.select("doc_key", "_o"), "doc_key"
-    )
-    ends = lacking.select("jd_id", "_none", F.lit(index.n_docs).cast("bigint").alias("_o"))
-    order = Window.partitionBy("jd_id").orderBy("_o")
-    gaps = (
-        matched.select("jd_id", "_none", "_o")
-        .unionByName(ends)
-        .withColumn("_from", F.coalesce(F.lag("_o").over(order), F.lit(-1).cast("bigint")) + 1)
-        .withColumn("_before", F.col("_from") - F.row_number().over(order) + 1)
-        .withColumn("_to", F.least(F.col("_o") - 1, F.col("_from") + k - 1 - F.col("_before")))
-        .where(F.col("_from") <= F.col("_to"))
-    )
-    places = gaps.select("jd_id", F.col("_none").alias("semantic"), F.explode(F.sequence("_from", "_to")).alias("_o"))
-    return places.join(numbered, "_o")
+
+def mean_semantic(index: RetrievalIndex, jobs: DataFrame, text: str = "text") -> DataFrame:
+    """``jd_id, mean_semantic_fit`` over all documents, from per-job sums and ranges alone."""
+
+    def unit(name: str) -> Column:
+        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.when(high > low, (F.col(f"{name}_sum") / index.n_docs - low) / (high - low)).otherwise(F.lit(0.0))
+
+    mean = BM25_SHARE * unit("bm25") + COSINE_SHARE * unit("cosine")
+
+    def scored(block: Jobs, part: DataFrame) -> DataFrame:
+        ranges = job_ranges(index, block)
+        return part.join(F.broadcast(ranges), "jd_id", "left").select("jd_id", F.coalesce(mean, F.lit(0.0)).alias("mean_semantic_fit"))
+
+    found = scored_blocks(index, jobs, scored, text)
+    return jobs.select("jd_id", F.lit(0.0).alias("mean_semantic_fit")) if found is None else found
 
 
 def word_set(text: Column) -> Column:

@@ -81,6 +81,18 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files (of some of their columns) and nothing else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and all(e.nodeName() == "AttributeReference" for e in _listed(plan.expressions())):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def _listed(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counted where the rows are."""
     return df.count() <= max_rows

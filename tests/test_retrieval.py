@@ -4,16 +4,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlane.functions.text import tokenize
+from matchlane.operators import scoring
 from matchlane.operators.joins import join_lookup, top_k, with_ordinal
 from matchlane.operators.retrieval import (
+    append_documents,
     build_index,
-    document_norms,
     hybrid_scores,
     hybrid_topk,
+    index_rows,
     load_index,
     overlap,
     pair_scores,
+    weighted_query,
 )
+from matchlane.operators.scoring import loaded, score_ranges
 from matchlane.session import work_path
 
 DOCS = [
@@ -96,8 +100,8 @@ def test_lists_are_filled_with_strangers_by_id(spark, index):
 
 
 def test_norms_do_not_depend_on_the_head_cut(index):
-    whole = {r.doc_key: r.norm for r in document_norms(index).collect()}
-    split = {r.doc_key: r.norm for r in document_norms(index, head_terms=4).collect()}
+    whole = {r.doc_key: r.norm for r in index_rows(index, ["doc_id"]).collect()}
+    split = {r.doc_key: r.norm for r in index_rows(index, ["doc_id"], head_terms=4).collect()}
     assert whole.keys() == split.keys() and all(split[k] == pytest.approx(v) for k, v in whole.items())
 
 
@@ -110,6 +114,58 @@ def test_index_can_be_reopened(spark):
     assert again.docs.count() == len(DOCS)
 
 
+def same_tables(a, b):
+    """Equal rows but for the document keys."""
+    order = ["doc_id", "dl", "terms", "norm"]
+    return [sorted(map(repr, x.docs.select(*order).collect())) for x in (a, b)]
+
+
+def test_opening_scans_nothing_and_appending_equals_rebuilding(spark):
+    more = [(6, "beta omega omega"), (7, "gamma gamma alpha"), (8, None), (5, "repeated id")]
+    first, rest = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (DOCS, more))
+    path = work_path(spark, "grown")
+    build_index(first, tokenize(F.col("text")), ["doc_id"], path, wide={"shown": F.upper("text")})
+    append_documents(path, rest, tokenize(F.col("text")), {"shown": F.upper("text")})
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("opening", "")
+    grown = load_index(spark, path)
+    read = [jobs.getJobInfo(j) for j in jobs.getJobIdsForGroup("opening")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(read) == 1  # the manifest
+    whole = build_index(first.unionByName(rest), tokenize(F.col("text")), ["doc_id"])
+    assert (grown.n_docs, grown.n_postings) == (whole.n_docs, whole.n_postings) == (9, 16)
+    assert grown.avgdl == pytest.approx(whole.avgdl) and grown.mean_idf == pytest.approx(whole.mean_idf)
+    got, want = same_tables(grown, whole)
+    assert got == want
+    assert grown.docs.select("doc_key").distinct().count() == 9
+    assert {r.shown for r in grown.wide.collect()} == {t and t.upper() for _, t in DOCS + more}
+    query = spark.createDataFrame([("a", "omega beta gamma")], "jd_id string, text string")
+    lists = [[(r.doc_id, round(r.semantic, 9)) for r in hybrid_topk(i, query, 5, "doc_id").orderBy("rank").collect()] for i in (grown, whole)]
+    assert lists[0] == lists[1]
+
+
+def test_ranges_shuffle_a_row_per_job_and_task(spark, index):
+    jobs = spark.createDataFrame([("a", "zeta alpha"), ("b", "epsilon")], "jd_id string, text string")
+    weights = weighted_query(index, jobs)
+    block = loaded(jobs, weights, index.avgdl)
+    ranges = {r.jd_id: r for r in score_ranges(index.docs, block, index.n_docs).collect()}
+    pairs = pair_scores(index, jobs, ["doc_id"]).collect()
+    for job in "ab":
+        scores = [r.bm25 for r in pairs if r.jd_id == job]
+        assert ranges[job].n == len(scores) and ranges[job].bm25_sum == pytest.approx(sum(scores))
+        assert (ranges[job].bm25_lo, ranges[job].bm25_hi) == (0.0, pytest.approx(max(scores)))
+    plan = score_ranges(index.docs, block, index.n_docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_blocks_of_jobs_change_nothing(spark, index, monkeypatch):
+    jobs = spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(DOCS)], "jd_id string, text string")
+    whole = sorted(map(tuple, hybrid_topk(index, jobs, 3, "doc_id").collect()))
+    monkeypatch.setattr(scoring.blocks_of, "__defaults__", (2,))
+    assert sorted(map(tuple, hybrid_topk(index, jobs, 3, "doc_id").collect())) == whole
+    assert hybrid_topk(index, jobs.limit(0), 3, "doc_id").count() == 0
+
+
 def test_overlap_is_the_share_of_job_words(spark):
     row = spark.range(1).select(overlap(F.lit("The quick Fox x1"), F.lit("fox and hen quick")).alias("x"))
     assert row.first().x == 0.5
