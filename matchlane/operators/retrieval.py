@@ -30,7 +30,10 @@ from matchlane.operators.scoring import (
     DECIMALS,
     Jobs,
     best_documents,
+    block_maxima,
+    blocks_reaching,
     known_ranges,
+    leading_blocks,
     matching_pairs,
     per_block,
     score_ranges,
@@ -43,6 +46,10 @@ MIN_DF, MAX_DF_RATIO = 2, 0.85
 
 # Upper bound of the terms that go to every task while document norms are computed.
 HEAD_TERMS = 500_000
+# Documents of a block, and how many blocks a job there must be for a search by blocks to pay.
+BLOCK_ROWS = 64
+BLOCKS_PER_JOB = 32
+NAMED_BLOCKS = 10_000
 # Rows that a task counts at a time.
 KERNEL_ROWS = 1000
 # ``doc_key`` of a segment's rows starts at its number times this.
@@ -106,9 +113,12 @@ def corpus_stats(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 @dataclass
 class RetrievalIndex:
-    """``docs(doc_key, keep…, dl, terms, norm)``, ``rows(doc_key, keep…, tokens, _wide)``, ``terms(term, df)`` and corpus scalars."""
+    """``docs(doc_key, keep…, dl, terms, norm, block)``, ``blocks`` (``block_maxima`` of it),
+    ``rows(doc_key, keep…, tokens, _wide)``, ``terms(term, df)`` and corpus scalars.
+    """
 
     docs: DataFrame
+    blocks: DataFrame
     rows: DataFrame
     terms: DataFrame
     n_docs: int
@@ -133,6 +143,7 @@ MANIFEST = (
     "rows_schema string, docs_schema string"
 )
 TERMS = "term string, df long"
+BLOCKS = "block long, n long, dl int, terms array<struct<term:string,tf:int>>, norm double"
 
 
 def build_index(
@@ -195,9 +206,13 @@ def _write_version(spark: SparkSession, root: str, keep: list[str], n: int, sche
     stored = materialise(terms, "terms", f"{target}/terms")
     stats = corpus_stats(rows.select(F.size("tokens").alias("dl")), stored).first()
     index = RetrievalIndex(
-        rows, rows, stored, stats.n_docs, stats.avgdl or 0.0, stats.n_postings, stats.mean_idf or 0.0
+        rows, rows, rows, stored, stats.n_docs, stats.avgdl or 0.0, stats.n_postings, stats.mean_idf or 0.0
     )
-    docs = materialise(index_rows(index, keep), "docs", f"{target}/docs")
+    # Documents of a similar length share a block, so that its bounds are tight.
+    ranged = index_rows(index, keep).sortWithinPartitions("dl")
+    blocked = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
+    docs = materialise(blocked, "docs", f"{target}/docs")
+    materialise(block_maxima(docs), "blocks", f"{target}/blocks")
     facts = (n, keep, index.n_docs, index.avgdl, index.n_postings, index.mean_idf, rows.schema.json(), docs.schema.json())
     # Written last: a version without its manifest does not exist.
     spark.createDataFrame([facts], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
@@ -213,7 +228,8 @@ def _opened(spark: SparkSession, root: str, facts) -> RetrievalIndex:
     rows_schema, docs_schema = (StructType.fromJson(json.loads(x)) for x in (facts.rows_schema, facts.docs_schema))
     rows = _segments(spark, root, facts.n_segments, "rows", rows_schema)
     docs, terms = spark.read.schema(docs_schema).parquet(f"{target}/docs"), spark.read.schema(TERMS).parquet(f"{target}/terms")
-    return RetrievalIndex(docs, rows, terms, facts.n_docs, facts.avgdl, facts.n_postings, facts.mean_idf)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{target}/blocks")
+    return RetrievalIndex(docs, blocks, rows, terms, facts.n_docs, facts.avgdl, facts.n_postings, facts.mean_idf)
 
 
 def _run_lengths(tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -345,10 +361,15 @@ def hybrid_topk(index: RetrievalIndex, jobs: DataFrame, k: int, doc_id: str, tex
 
     Scores that agree to nine decimals are ties (copies of a text), broken by id.
     Documents without a common term all score the same for a job and compete like
-    any other.
+    any other.  Few jobs on a large index read only the blocks whose bounds can
+    matter; the lists are the same.
     """
 
     def scored(block: Jobs, _: DataFrame) -> DataFrame:
+        if index.n_docs >= len(block.names) * BLOCKS_PER_JOB * BLOCK_ROWS:
+            found = by_blocks(index, block, doc_id, k)
+            if found is not None:
+                return found
         return best_documents(index.docs, block, known_ranges(job_ranges(index, block), block), doc_id, k)
 
     found = scored_blocks(index, jobs, scored, text)
@@ -357,6 +378,50 @@ def hybrid_topk(index: RetrievalIndex, jobs: DataFrame, k: int, doc_id: str, tex
     return top_k(found, ["jd_id"], best, k, F.col("doc_key")).select("jd_id", "doc_key", doc_id, "semantic", "rank")
 
 
+def _in_blocks(index: RetrievalIndex, wanted: DataFrame) -> DataFrame:
+    """The documents of the ``wanted`` blocks; up to ``NAMED_BLOCKS`` of them prune the scan itself."""
+    wanted = materialise(wanted, "blocks")
+    numbers = [r.block for r in wanted.limit(NAMED_BLOCKS + 1).collect()]
+    if len(numbers) <= NAMED_BLOCKS:
+        return index.docs.where(F.col("block").isin(numbers))
+    return join_lookup(index.docs, wanted, ["block"], F.col("doc_key"))
+
+
+def by_blocks(index: RetrievalIndex, block: Jobs, doc_id: str, k: int) -> DataFrame | None:
+    """``best_documents`` of the blocks that can hold a range's end or one of a job's ``k`` best.
+
+    The documents of the leading blocks give scores that are reached; every block whose bound reaches
+    one of them is read for the exact ranges, then every block whose mixed bound reaches a job's k-th
+    best so far. None where the lowest score can't be told without all documents: a job has a negative
+    weight, or all documents read share a term with it.
+    """
+    if (block.bm25_w < 0).any() or (block.cos_w < 0).any():
+        return None
+    slack = 1e-9
+    seeds = _in_blocks(index, leading_blocks(index.blocks, block, 1))
+    reached = known_ranges(materialise(score_ranges(seeds, block, 0), "ranges"), block)
+
+    def end_of_range(bm25: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        return (bm25 >= reached.bm25_hi - slack) & (bm25 > 0) | (cosine >= reached.cosine_hi - slack) & (cosine > 0)
+
+    read = materialise(_in_blocks(index, blocks_reaching(index.blocks, block, end_of_range)), "opened")
+    n_read = read.count()
+    found = materialise(score_ranges(read, block, index.n_docs), "ranges")
+    if n_read < index.n_docs and found.where(F.col("n") >= n_read).count():
+        return None
+    ranges = known_ranges(found, block)
+    best = [F.desc(F.round("semantic", DECIMALS)), F.asc(doc_id), F.asc("doc_key")]
+    first = top_k(best_documents(read, block, ranges, doc_id, k), ["jd_id"], best, k, F.col("doc_key"))
+    last = {r.jd_id: r.semantic for r in first.where(F.col("rank") == k).collect()}
+    least = np.array([last.get(j, -np.inf) for j in block.names.to_pylist()])
+
+    def on_a_list(bm25: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        return ranges.semantic(bm25, cosine) >= least - slack
+
+    wanted = _in_blocks(index, blocks_reaching(index.blocks, block, on_a_list))
+    return best_documents(wanted, block, ranges, doc_id, k)
+
+
 def mean_semantic(index: RetrievalIndex, jobs: DataFrame, text: str = "text") -> DataFrame:
     """``jd_id, mean_semantic_fit`` over all documents, from per-job sums and ranges alone."""
 

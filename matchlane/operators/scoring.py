@@ -7,6 +7,7 @@ most ``k`` rows per job for top lists, or the pairs a caller asked for.
 """
 
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,6 +84,13 @@ class Jobs:
         return bm25, np.divide(dot, norm[:, None], out=np.zeros(shape), where=norm[:, None] != 0), shared
 
 
+    def bounding(self) -> "Jobs":
+        """The same jobs with negative weights left out, for upper bounds."""
+        other = copy(self)
+        other.bm25_w, other.cos_w = np.maximum(self.bm25_w, 0), np.maximum(self.cos_w, 0)
+        return other
+
+
 @dataclass
 class Ranges:
     """Per job, the ranges of both scores over all documents; a job without a match has none (all 0)."""
@@ -240,6 +248,79 @@ def best_documents(docs: DataFrame, block: Jobs, ranges: Ranges, doc_id: str, k:
     return read.mapInArrow(pick, _schema(block, read.select("doc_key", doc_id).schema, ["semantic"]))
 
 
+# ---- blocks of documents as pseudo-documents ---------------------------------------
+
+
+def block_maxima(docs: DataFrame) -> DataFrame:
+    """``block, n, dl, terms, norm``: each block of index rows as one row that no document of it exceeds.
+
+    The largest count of every term, the shortest length and the smallest norm: scored like a document,
+    it bounds the scores of all its documents from above.  A block that two tasks read has two rows.
+    """
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, first, of_row = np.unique(batch["block"].to_numpy(), return_index=True, return_inverse=True)
+            flat, sizes = batch["terms"].flatten(), batch["terms"].value_lengths().fill_null(0).to_numpy()
+            coded = flat.field("term").dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            key = np.repeat(of_row, sizes) * width + coded.indices.to_numpy()
+            pair, place = np.unique(key, return_inverse=True)
+            largest = np.zeros(len(pair), np.int32)
+            np.maximum.at(largest, place, flat.field("tf").to_numpy())
+            owner, word = np.divmod(pair, width)
+            dl, norm = np.full(len(number), np.iinfo(np.int32).max), np.full(len(number), np.inf)
+            np.minimum.at(dl, of_row, batch["dl"].to_numpy())
+            positive = batch["norm"].fill_null(0.0).to_numpy()
+            np.minimum.at(norm, of_row, np.where(positive > 0, positive, np.inf))
+            starts = np.searchsorted(owner, np.arange(len(number) + 1)).astype(np.int32)
+            terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(largest)], ["term", "tf"])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": number,
+                    "n": np.bincount(of_row, minlength=len(number)),
+                    "dl": dl.astype(np.int32),
+                    "terms": pa.ListArray.from_arrays(pa.array(starts), terms),
+                    "norm": np.where(np.isinf(norm), 0.0, norm),
+                }
+            )
+
+    read = docs.select("block", "dl", "terms", "norm")
+    return read.mapInArrow(folded, "block long, n long, dl int, terms array<struct<term:string,tf:int>>, norm double")
+
+
+def leading_blocks(blocks: DataFrame, block: Jobs, n: int) -> DataFrame:
+    """``block``: per task and job, the ``n`` blocks with the largest bounds of either score."""
+    bounds = block.bounding()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros((0, len(block.names))), np.zeros((0, len(block.names)), np.int64)) for _ in range(2)]
+        for batch in batches:
+            numbers = batch["block"].to_numpy()
+            for start, end, *scores, _ in bounds.scores(batch):
+                for i, score in enumerate(scores):
+                    values = np.vstack([best[i][0], score])
+                    owners = np.vstack([best[i][1], np.repeat(numbers[start:end, None], score.shape[1], 1)])
+                    order = np.argsort(-values, 0, kind="stable")[:n]
+                    best[i] = np.take_along_axis(values, order, 0), np.take_along_axis(owners, order, 0)
+        yield pa.RecordBatch.from_pydict({"block": np.unique(np.concatenate([owners.ravel() for _, owners in best]))})
+
+    return blocks.mapInArrow(pick, "block long").distinct()
+
+
+def blocks_reaching(blocks: DataFrame, block: Jobs, reach: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``block`` of those for which ``reach`` of the bounds (blocks x jobs, for bm25 and cosine) holds for a job."""
+    bounds = block.bounding()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch["block"].to_numpy()
+            for start, end, bm25, cosine, _ in bounds.scores(batch):
+                yield pa.RecordBatch.from_pydict({"block": numbers[start:end][reach(bm25, cosine).any(1)]})
+
+    return blocks.mapInArrow(kept, "block long").distinct()
+
+
 def _rows(batch: pa.RecordBatch, keep: list[str], row: np.ndarray, block: Jobs, job: np.ndarray, scores: dict) -> pa.RecordBatch:
     at = pa.array(row)
     return pa.RecordBatch.from_pydict({"jd_id": block.names.take(pa.array(job))} | {c: batch[c].take(at) for c in keep} | scores)

@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchlane.functions.text import tokenize
-from matchlane.operators import scoring
+from matchlane.operators import retrieval, scoring
 from matchlane.operators.joins import join_lookup, top_k, with_ordinal
 from matchlane.operators.retrieval import (
     append_documents,
@@ -166,6 +167,34 @@ def test_blocks_of_jobs_change_nothing(spark, index, monkeypatch):
     assert hybrid_topk(index, jobs.limit(0), 3, "doc_id").count() == 0
 
 
+def test_few_jobs_read_few_blocks_and_find_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    words, odds = [f"w{i}" for i in range(400)], [1 / (i + 1) for i in range(400)]
+    texts = [" ".join(rng.choices(words, odds, k=rng.randint(5, 60))) for _ in range(6000)]
+    for i in range(0, 6000, 750):
+        texts[i] += " rare0 rare1 rare2 rare3"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index = build_index(docs, tokenize(F.col("text")), ["doc_id"])
+    asked = [("a", "rare0 rare1 rare3 w5"), ("b", "rare2 w9 w200")]
+    jobs = spark.createDataFrame(asked, "jd_id string, text string")
+    read = []
+    real = retrieval.best_documents
+    monkeypatch.setattr(retrieval, "best_documents", lambda docs, *rest: read.append(docs.count()) or real(docs, *rest))
+    got = sorted(map(tuple, hybrid_topk(index, jobs, 5, "doc_id").collect()))
+    assert len(read) == 2 and sum(read) < 4000  # the first for the k-th best so far
+    read.clear()
+    monkeypatch.setattr(retrieval, "BLOCKS_PER_JOB", 10**6)
+    whole = sorted(map(tuple, hybrid_topk(index, jobs, 5, "doc_id").collect()))
+    assert read == [6000]
+    assert [(j, d, r) for j, _, d, _, r in got] == [(j, d, r) for j, _, d, _, r in whole]
+    assert [s for *_, s, _ in got] == pytest.approx([s for *_, s, _ in whole])
+    # A job that fewer than k documents match fills its list from all blocks.
+    monkeypatch.setattr(retrieval, "BLOCKS_PER_JOB", 1)
+    few = spark.createDataFrame([("c", "rare0")], "jd_id string, text string")
+    ranked = [r.doc_id for r in hybrid_topk(index, few, 12, "doc_id").orderBy("rank").collect()]
+    assert sorted(ranked[:8]) == list(range(0, 6000, 750)) and ranked[8:] == [1, 2, 3, 4]
+
+
 def test_overlap_is_the_share_of_job_words(spark):
     row = spark.range(1).select(overlap(F.lit("The quick Fox x1"), F.lit("fox and hen quick")).alias("x"))
     assert row.first().x == 0.5
