@@ -1,5 +1,10 @@
 """Queries over files written to the shared folder and read back, and the run from lines to results."""
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from checks import answers as A
@@ -8,7 +13,7 @@ from checks import quality as Q
 from checks import ranking as R
 from checks import resumes as Z
 from checks import sql as S
-from matchlane.functions.dates import year_of
+from matchlane.functions.dates import month_start_before, year_of
 from matchlane.operators import resume as RZ
 from matchlane.plans import sample_profiles as sp
 from matchlane.plans.run import need_rows, rank_lines
@@ -16,7 +21,8 @@ from matchlane.plans.sample_profiles import candidate_key, profile_lines, raw_pr
 from matchlane.session import materialise, work_path
 from matchlane.sources.candidates import first_candidates, read_json_lines, read_profiles, record_id, to_candidates
 from matchlane.sources.jobs import read_jobs
-from matchlane.sources.sinks import shortlist_facts, write_metrics, write_samples
+from matchlane.sources.resumes import read_resumes
+from matchlane.sources.sinks import shortlist_facts, write_metrics, write_samples, write_shortlist
 
 FIRST = 25  # the report's limit
 PER_FILE = 200
@@ -145,7 +151,62 @@ def job_need_coverage(spark, sf_dir):
     return rows.select("jd_id", "candidate_id", F.concat_ws("|", "hits").alias("hits"), F.concat_ws("|", "misses").alias("misses"))
 
 
+def _put_file(path, content):
+    system, target = fs.FileSystem.from_uri(path)
+    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(target, compression=None) as out:
+        out.write(content)
+
+
+def _docx(text):
+    """A .docx archive with a paragraph per line."""
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def resume_folder(spark, sf_dir):
+    """Résumés written as text and .docx files in sub-folders, some empty, unknown or damaged, and read back."""
+    root = work_path(spark, "resume-folder")
+    k = F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
+    files = sp.resumes(spark, sf_dir).select(k.alias("k"), "text")
+
+    def write(batches):
+        for batch in batches:
+            for key, text in zip(batch["k"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                kind = key % 10
+                suffix = ".xyz" if kind == 7 else ".docx" if kind in (1, 2, 3, 9) else ".txt"
+                content = b"" if kind == 8 else b"no archive" if kind == 9 else _docx(text) if suffix == ".docx" else text.encode()
+                _put_file(f"{root}/{key % 7}/r{key:07d}{suffix}", content)
+            yield batch.select(["k"])
+
+    files.mapInArrow(write, "k long").write.format("noop").mode("overwrite").save()
+    return read_resumes(spark, root).select(
+        F.substring_index("path", "/", -1).alias("name"), F.md5(F.col("text").cast("binary")).alias("digest"), "error"
+    )
+
+
+def loose_shortlist_file(spark, sf_dir):
+    """Lines of a list of seven, which is written as ranked, without the checks of the strict format."""
+    ranked = R.rank_candidates(P.candidates(spark, sf_dir), R.default_job(spark), P.today(), 7)
+    path = work_path(spark, "loose")
+    write_shortlist(ranked, path, strict=False)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def month_starts(spark, sf_dir):
+    """First days of months before each order's date."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", *[month_start_before(F.col("o_orderdate"), n).alias(f"before_{n}") for n in (0, 5, 26)])
+
+
 QUERIES = {
+    "resume_folder": resume_folder,
+    "loose_shortlist_file": loose_shortlist_file,
+    "month_starts": month_starts,
     "profiles_from_lines": profiles_from_lines,
     "profiles_from_arrays": profiles_from_arrays,
     "profiles_from_wrapped_files": profiles_from_wrapped_files,
@@ -190,6 +251,25 @@ _GOT = f"""got AS (
   SELECT DISTINCT k, need FROM claims JOIN covers ON covers.n = {S.norm('name')})"""
 
 SQL = {
+    "resume_folder": f"""
+WITH {Z.TEXTS},
+lines AS (
+  SELECT k, text, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS told
+  FROM cv)
+SELECT printf('r%07d', k) || CASE WHEN k % 10 = 7 THEN '.xyz' WHEN k % 10 IN (1, 2, 3, 9) THEN '.docx' ELSE '.txt' END AS name,
+  CASE WHEN k % 10 IN (1, 2, 3) THEN md5(told) WHEN k % 10 NOT IN (7, 8, 9) THEN md5(text) END AS digest,
+  CASE WHEN k % 10 = 7 THEN 'unsupported resume format .xyz' WHEN k % 10 = 8 THEN 'empty file upload'
+       WHEN k % 10 = 9 THEN 'not a valid .docx file: File is not a zip file' END AS error
+FROM lines""",
+    "loose_shortlist_file": f"""
+WITH {R._ONE},{R._RANKED}
+SELECT 'candidate_id,rank,score,reasoning' AS line
+UNION ALL SELECT candidate_id || ',' || rank || ',' || printf('%.4f', score) || ','
+  || CASE WHEN regexp_matches(reasoning, '[,"]') THEN '"' || replace(reasoning, '"', '""') || '"' ELSE reasoning END
+FROM listed WHERE rank <= 7""",
+    "month_starts": "SELECT o_orderkey, " + ", ".join(
+        f"strftime(date_trunc('month', o_orderdate - INTERVAL {n} MONTH), '%Y-%m-%d') AS before_{n}" for n in (0, 5, 26)
+    ) + " FROM orders",
     "profiles_from_lines": _FACTS,
     "profiles_from_arrays": _FACTS,
     "profiles_from_wrapped_files": _FACTS,

@@ -74,25 +74,71 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one dynamic-programming row at a time."""
+# Bits of a word: two words and a carry add up inside a bigint.
+WORD_BITS = 62
+_ONES = (1 << WORD_BITS) - 1
+
+
+def _bits_where(chars: Column, wanted: Column) -> Column:
+    """The positions of ``wanted`` among up to ``WORD_BITS`` characters as bits of a bigint."""
+    one = F.lit(1).cast("bigint")
+    bits = F.transform(
+        chars, lambda c, i: F.when(c == wanted, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("bigint"))
+    )
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda done, bit: done.bitwiseOR(bit))
 
-    def table(x: Column, y: Column) -> Column:
-        first_row = F.array_repeat(F.lit(0), F.size(y) + 1)
 
-        def next_row(row: Column, ch: Column) -> Column:
-            def cell(done: Column, other: Column) -> Column:
-                j = F.size(done)
-                value = F.when(other == ch, F.get(row, j - 1) + 1).otherwise(
-                    F.greatest(F.get(row, j), F.get(done, j - 1))
-                )
-                return F.concat(done, F.array(value))
+def _kept_bits(value: Column, found: Column, carry: Column) -> tuple[Column, Column]:
+    """(next word, carry) of one step; ``found`` are the bits of ``value`` that match."""
+    total = value + found + carry
+    return total.bitwiseOR(value - found).bitwiseAND(F.lit(_ONES)), F.call_function("shiftright", total, F.lit(WORD_BITS))
 
-            return F.aggregate(y, F.array(F.lit(0)), cell)
 
-        return F.element_at(F.aggregate(x, first_row, next_row), -1)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, bit-parallel.
 
-    return let(F.struct(characters(a).alias("a"), characters(b).alias("b")), lambda s: table(s["a"], s["b"]))
+    A bit per character of ``a`` stands for a step of the dynamic-programming column; each character of
+    ``b`` moves all of them with an addition and two logical operations on words of ``WORD_BITS`` bits.
+    A cleared bit is one more common character.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def in_one_word(x: Column, y: Column) -> Column:
+        masks = F.map_from_entries(F.transform(F.array_distinct(x), lambda c: F.struct(c, _bits_where(x, c))))
+        met = let(masks, lambda table: F.transform(y, lambda c: F.coalesce(F.try_element_at(table, c), zero)))
+        last = F.aggregate(met, F.lit(_ONES), lambda v, m: _kept_bits(v, v.bitwiseAND(m), zero)[0])
+        used = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(x)) - 1
+        return F.size(x) - F.bit_count(last.bitwiseAND(used))
+
+    def in_words(x: Column, y: Column) -> Column:
+        words = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / WORD_BITS).cast("int"))
+        parts = F.transform(words, lambda w: F.slice(x, w * WORD_BITS + 1, WORD_BITS))
+        masks = F.map_from_entries(
+            F.transform(
+                F.array_distinct(x), lambda c: F.struct(c, F.transform(parts, lambda part: _bits_where(part, c)))
+            )
+        )
+        met = let(masks, lambda table: F.filter(F.transform(y, lambda c: F.try_element_at(table, c)), lambda m: m.isNotNull()))
+
+        def step(state: Column, mask: Column) -> Column:
+            def word(done: Column, w: Column) -> Column:
+                value = F.get(state, w)
+                kept, carry = _kept_bits(value, value.bitwiseAND(F.get(mask, w)), done["carry"])
+                return F.struct(F.concat(done["words"], F.array(kept)).alias("words"), carry.alias("carry"))
+
+            empty = F.struct(F.array().cast("array<bigint>").alias("words"), zero.alias("carry"))
+            return F.aggregate(words, empty, word, lambda done: done["words"])
+
+        last = F.aggregate(met, F.transform(words, lambda w: F.lit(_ONES)), step)
+        unused = F.size(words) * WORD_BITS - F.size(x)  # bits of the last word that stand for nothing stay set
+        left = F.aggregate(last, F.lit(0), lambda n, v: n + F.bit_count(v))
+        return F.size(x) - (left - unused)
+
+    def table(s: Column) -> Column:
+        fits = F.size(s["a"]) <= WORD_BITS
+        return F.when(F.size(s["a"]) == 0, 0).when(fits, in_one_word(s["a"], s["b"])).otherwise(in_words(s["a"], s["b"]))
+
+    return let(F.struct(characters(a).alias("a"), characters(b).alias("b")), table)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

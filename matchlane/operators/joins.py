@@ -39,6 +39,30 @@ def join_lookup(
     )
 
 
+def join_split(big: DataFrame, other: DataFrame, on: list[str], spread: Column, how: str = "inner", heavy_keys: int = 1000) -> DataFrame:
+    """Join two large tables where some keys may hold a large share of ``big``.
+
+    The keys of ``big`` are counted first. A key with more than one in ``heavy_keys`` of its rows is
+    heavy, so there are fewer than ``heavy_keys`` of them; their rows meet their partners by
+    ``join_lookup``, spread over all tasks by ``spread``. The other rows meet theirs in a shuffle, in
+    which no key is heavy.
+    """
+    counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
+    counts = materialise(counts, "key-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    known = F.lit(True)
+    for key in on:
+        known = known & F.col(key).isNotNull()
+    heavy = counts.where((F.col("_n") * heavy_keys > total) & known).select(*on)
+    heavy = materialise(heavy, "heavy-keys")
+    if heavy.isEmpty():
+        return big.join(other, on, how)
+    few = F.broadcast(heavy)  # fewer than ``heavy_keys`` rows
+    rest = big.join(few, on, "left_anti").join(other, on, how)
+    split = join_lookup(big.join(few, on, "left_semi"), other.join(few, on, "left_semi"), on, spread, how)
+    return rest.unionByName(split)
+
+
 def top_k(
     df: DataFrame, group: list[str], order: list[Column], k: int, spread: Column, rank: str = "rank", salts: int = SALTS
 ) -> DataFrame:

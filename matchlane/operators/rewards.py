@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlane.functions.numeric import clip
+from matchlane.operators.joins import join_split
 
 COMPONENTS = [
     "format_valid",
@@ -146,13 +147,14 @@ def score_completions(completions: DataFrame, samples: DataFrame, rubric: Rubric
     """``sample_id, model`` and the components of each completion.
 
     ``completions(sample_id, model, completion)``, ``samples(sample_id,
-    decision, score, context)``.  Many completions may share a sample; the join
-    on ``sample_id`` is left to adaptive skew handling.
+    decision, score, context)``.  Many completions may share a sample: samples
+    that hold a large share of them are found by counting and joined apart.
     """
     gold = samples.select(
         "sample_id", F.col("decision").alias("_gold"), F.col("score").alias("_gold_score"), "context"
     )
-    answered = with_answer(completions).join(gold, "sample_id").withColumn("_lowered", F.lower("context"))
+    sampled = join_split(completions, gold, ["sample_id"], F.col("completion"))
+    answered = with_answer(sampled).withColumn("_lowered", F.lower("context"))
     predicted = clip(F.col("predicted_score"), 0.0, 1.0)
     parts = answered.withColumns(
         {

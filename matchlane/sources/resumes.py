@@ -1,13 +1,20 @@
 """Résumé files -> ``path, text, error``; a file that cannot be read becomes an error row."""
 
-import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from io import BytesIO
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Accepted suffixes, paragraph and text tags of a .docx document, texts of the errors.
 PLAIN_SUFFIXES = ["", ".txt", ".md", ".rst"]
@@ -16,21 +23,31 @@ EMPTY_FILE, UNSUPPORTED = "empty file upload", "unsupported resume format "
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def _docx_text(content: bytes) -> tuple[str | None, str | None]:
-    """(text, error) of one .docx file."""
+# Texts of about so many bytes leave a task together, and so many files of one folder are one task.
+BATCH_BYTES, FILES_PER_TASK = 8 << 20, 500
+
+
+def _docx_text(file: BinaryIO) -> tuple[str | None, str | None]:
+    """(text, error) of one .docx file, read paragraph by paragraph."""
+    found, open_paragraphs = [], 0
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open("word/document.xml") as part:
-            root = ElementTree.parse(part).getroot()
-    except (KeyError, zipfile.BadZipFile, ElementTree.ParseError) as problem:
+        with zipfile.ZipFile(file) as archive, archive.open("word/document.xml") as part:
+            for event, node in ElementTree.iterparse(part, ("start", "end")):
+                if node.tag != f"{WORD}p":
+                    continue
+                open_paragraphs += 1 if event == "start" else -1
+                if event == "end" and not open_paragraphs:
+                    found += ["".join(t.text or "" for t in p.iter(f"{WORD}t")).strip() for p in node.iter(f"{WORD}p")]
+                    node.clear()
+    except (KeyError, EOFError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as problem:
         return None, f"{BAD_DOCX}{problem}"
-    paragraphs = ("".join(t.text or "" for t in p.iter(f"{WORD}t")).strip() for p in root.iter(f"{WORD}p"))
-    text = "\n".join(p for p in paragraphs if p)
+    text = "\n".join(p for p in found if p)
     return (text, None) if text else (None, EMPTY_DOCX)
 
 
 def _read_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        read = [_docx_text(bytes(content)) for content in batch["content"]]
+        read = [_docx_text(BytesIO(bytes(content))) for content in batch["content"]]
         yield pd.DataFrame(
             {"path": batch["path"], "text": [t for t, _ in read], "error": [e for _, e in read]}, dtype=object
         )
@@ -56,18 +73,102 @@ def resume_texts(files: DataFrame) -> DataFrame:
     return decoded.unionByName(archives.mapInPandas(_read_docx, "path string, text string, error string"))
 
 
-def _plain_path(path: Column) -> Column:
-    """``scheme:/path`` whatever the number of slashes."""
-    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+@dataclass
+class _Files(InputPartition):
+    """Some files of one folder, or with ``names`` None everything below a folder."""
+
+    folder: str
+    names: list[str] | None = None
+
+
+def _is_read(name: str) -> bool:
+    return not name.startswith((".", "_"))
+
+
+class ResumeReader(DataSourceReader):
+    """Tasks list the sub-folders and read one file after another; the driver lists the top only."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _open(self) -> tuple[fs.FileSystem, str, str]:
+        """File system, its path of the top, and what precedes such a path in a row."""
+        system, top = fs.FileSystem.from_uri(self.path)
+        scheme = re.match("([a-z0-9]+):/+", self.path)
+        return system, top, f"{scheme[1]}:" if scheme else "file:"
+
+    def partitions(self) -> list[_Files]:
+        system, top, _ = self._open()
+        listed = [i for i in system.get_file_info(fs.FileSelector(top)) if _is_read(i.base_name)]
+        files = sorted(i.base_name for i in listed if i.type == fs.FileType.File)
+        parts = [_Files(top, files[i : i + FILES_PER_TASK]) for i in range(0, len(files), FILES_PER_TASK)]
+        parts += [_Files(i.path) for i in listed if i.type == fs.FileType.Directory]
+        return parts or [_Files(top, [])]
+
+    def _listed(self, system: fs.FileSystem, partition: _Files) -> Iterator[fs.FileInfo]:
+        if partition.names is not None:
+            yield from system.get_file_info([f"{partition.folder}/{name}" for name in partition.names])
+            return
+        folders = [partition.folder]
+        while folders:
+            for found in system.get_file_info(fs.FileSelector(folders.pop())):
+                if not _is_read(found.base_name):
+                    continue
+                if found.type == fs.FileType.Directory:
+                    folders.append(found.path)
+                else:
+                    yield found
+
+    @staticmethod
+    def _read_file(system: fs.FileSystem, info: fs.FileInfo) -> tuple[str | None, str | None]:
+        suffix = re.search(r"[^/.]+(\.[^./]+)$", info.path)
+        suffix = suffix[1].lower() if suffix else ""
+        if info.size == 0:
+            return None, EMPTY_FILE
+        if suffix == ".docx":
+            with system.open_input_file(info.path) as file:
+                # No archive is shorter than its end record, from which reading starts.
+                return _docx_text(file if info.size >= 22 else BytesIO(file.read()))
+        if suffix not in PLAIN_SUFFIXES:
+            return None, UNSUPPORTED + suffix
+        with system.open_input_stream(info.path, compression=None) as file:
+            return file.read().decode("utf-8", "replace"), None
+
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        system, _, before = self._open()
+        rows, held = [], 0
+        for info in self._listed(system, partition):
+            text, error = self._read_file(system, info)
+            rows.append({"path": before + info.path, "text": text, "error": error})
+            held += len(text or "") + 200
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _ROWS)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, _ROWS)
+
+
+_ROWS = pa.schema([("path", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+
+class ResumeFolder(DataSource):
+    """``spark.read.format("resumes").load(folder)`` -> ``path, text, error`` of every file below the folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "resumes"
+
+    def schema(self) -> str:
+        return "path string, text string, error string"
+
+    def reader(self, schema) -> ResumeReader:
+        return ResumeReader(self.options["path"])
 
 
 def read_resumes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every file of the folder.  Spark's file scan skips empty files, so they are
-    added from the listing the scan already holds."""
-    files = spark.read.format("binaryFile").load(paths)
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "listed string").select(
-        _plain_path(F.url_decode(F.replace("listed", F.lit("+"), F.lit("%2B")))).alias("path")
-    )
-    read = files.select(_plain_path(F.col("path")).alias("path"), "content")
-    empty = listed.join(read.select("path"), "path", "left_anti").withColumn("content", F.lit("").cast("binary"))
-    return resume_texts(read.unionByName(empty))
+    """Every file below the folders: its text, or why there is none."""
+    spark.dataSource.register(ResumeFolder)
+    folders = [paths] if isinstance(paths, str) else paths
+    found = [spark.read.format("resumes").load(folder) for folder in folders]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]

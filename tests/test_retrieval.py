@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchlane.functions.text import tokenize
-from matchlane.operators import retrieval, scoring
-from matchlane.operators.joins import join_lookup, top_k, with_ordinal
+from matchlane.operators import joins, retrieval, scoring
+from matchlane.operators.joins import join_lookup, join_split, top_k, with_ordinal
 from matchlane.operators.retrieval import (
     append_documents,
     build_index,
@@ -210,6 +210,19 @@ def test_salted_join_equals_the_broadcast_join(spark):
     assert left.where("v is null").count() == big.where("k = 2").count()
 
 
+def test_heavy_keys_are_joined_apart(spark):
+    keys = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 1500)
+    big = spark.range(6000).select(keys.cast("int").alias("k"), "id")
+    other = spark.range(1400).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        split = join_split(big, other, ["k"], F.col("id"), how, heavy_keys=100)
+        assert sorted(map(repr, split.collect())) == sorted(map(repr, big.join(other, "k", how).collect()))
+    sizes = joins.join_lookup(big.where("k = 0"), other.where("k = 0"), ["k"], F.col("id"), max_bytes=1, salts=8)
+    per_salt = [r[0] for r in big.where("k = 0").groupBy(F.pmod(F.xxhash64("id"), F.lit(8))).agg(F.count("*").alias("n")).select("n").collect()]
+    assert sizes.count() == 2000 and max(per_salt) <= 2 * sorted(per_salt)[len(per_salt) // 2]
+    assert join_split(big.limit(0), other, ["k"], F.col("id")).count() == 0
+
+
 def test_top_k_of_one_hot_group(spark):
     df = spark.range(5000).select(F.lit("g").alias("g"), "id", (F.col("id") * 7919 % 5003).alias("s"))
     got = top_k(df, ["g"], [F.desc("s")], 10, F.col("id")).orderBy("rank").collect()

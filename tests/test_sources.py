@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from matchlane.operators.ranking import canonical_order
+from matchlane.sources import resumes
 from matchlane.sources.candidates import first_candidates, read_json_lines, read_profiles, to_candidates
 from matchlane.sources.jobs import read_jobs
 from matchlane.sources.resumes import read_resumes
@@ -93,6 +94,36 @@ def test_resume_files_of_every_kind(spark, tmp_path):
     assert rows["g.txt"].error == "empty file upload"
 
 
+def test_resume_folders_are_listed_in_tasks_and_read_in_small_batches(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        folder = tmp_path / f"in/{i % 3}" / ("deep" if i % 2 else ".")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"r{i}.txt").write_text(f"text {i}")
+    (tmp_path / "in/0/big.docx").write_bytes(docx(*[f"line {i}" for i in range(5000)]))
+    (tmp_path / "in/_skipped").write_text("x")
+    (tmp_path / "in/top.txt").write_bytes(b"caf\xc3\xa9 \xff")
+    reader = resumes.ResumeReader(f"file://{tmp_path}/in")
+    parts = reader.partitions()
+    assert len(parts) == 4 and sum(p.names is None for p in parts) == 3  # the driver saw no file of a sub-folder
+    monkeypatch.setattr(resumes, "BATCH_BYTES", 1000)
+    assert max(b.num_rows for p in parts for b in reader.read(p)) <= 5
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read_resumes(spark, [str(tmp_path / "in")]).collect()}
+    assert set(rows) == {f"r{i}.txt" for i in range(12)} | {"big.docx", "top.txt"}
+    assert rows["big.docx"].text.count("\n") == 4999 and rows["top.txt"].text == "café \ufffd"
+    (tmp_path / "none").mkdir()
+    assert read_resumes(spark, str(tmp_path / "none")).count() == 0
+    assert rows["r1.txt"].path == f"file:{tmp_path}/in/1/deep/r1.txt"
+
+
+def test_paragraphs_in_paragraphs_keep_their_order():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "<w:p><w:t>a</w:t><w:p><w:t>b</w:t></w:p><w:t>c</w:t></w:p><w:p><w:t> d </w:t></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    assert resumes._docx_text(out) == ("abc\nb\nd", None)
+
+
 def ranked(spark, scores):
     rows = [(f"CAND_{i + 1:07d}", i + 1, float(s), 'said "ok",\nthen left ') for i, s in enumerate(scores)]
     return spark.createDataFrame(rows, "candidate_id string, rank int, score double, reasoning string")

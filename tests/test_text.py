@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,12 @@ def test_lcs_against_plain_dynamic_programming(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string")
     for row in df.select("a", "b", lcs_length(F.col("a"), F.col("b")).alias("n")).collect():
         assert row.n == plain_lcs(row.a, row.b)
+
+
+def test_lcs_of_long_texts_crosses_words(spark):
+    rng = random.Random(7)
+    for size in (61, 62, 63, 124, 125, 200):
+        a = "".join(rng.choices("abcé", k=size))
+        b = "".join(rng.choices("abcé", k=rng.randint(1, 150)))
+        assert one(spark, lcs_length, a, b) == plain_lcs(a, b) == one(spark, lcs_length, b, a)
+    assert one(spark, lcs_length, "a" * 130, "a" * 130) == 130 and one(spark, lcs_length, "", "ab") == 0
