@@ -8,8 +8,10 @@ A document is the set of its ``k``-word shingles (64-bit hashes). Two link when
    min-hash, if their sketches agree; verified links make families, and families are cut into groups
    of about ``GROUP`` members (a class without a family is a group of its own).
 3. The token-group matrix holds, for each token, the groups in whose prefixes it occurs. A prefix is
-   the ``n - ceil(n * num / den) + 1`` first tokens of a set in hash order; linked sets share a token
-   of their prefixes. Before that, a document with as many tokens as its prefix has that occur in no
+   the ``n - ceil(n * num / den) + 1`` first tokens of a set; linked sets share a token of their
+   prefixes. Tokens are ordered by the number of open documents that hold them, those of one family
+   alone first: a copy's own tokens and rare ones fill its prefix before those of a passage that many
+   share. Before that, a document with as many tokens as its prefix has that occur in no
    other class (later: no other family) can't link outside, as a link leaves it fewer tokens of its
    own: it is done. Looking at somewhat more than the prefix settles most documents; those left are
    looked at again among themselves, now with all their tokens, until no more can be settled.
@@ -22,7 +24,8 @@ square. Full sets are read only for documents with a candidate.
 
 Nulls: a null text, or one without words, has an empty set and links with nothing; a row without an
 id does not take part and has no component. Fewer than ``k`` words make one shingle of the whole
-sequence. Rows that repeat an id are judged by their own text. An empty table gives an empty result.
+sequence. Rows that repeat an id are judged by their own text: a class is known by its smallest id
+and its set, so an id may name several components. An empty table gives an empty result.
 """
 
 from collections.abc import Callable, Iterator
@@ -248,6 +251,11 @@ def _full_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(batches, schema)
 
 
+def _key(prefix: str = "") -> Column:
+    """A class: its smallest id, and its set; the smallest of a component has the component's smallest id."""
+    return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("rep", "d1", "d2")])
+
+
 def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
@@ -268,25 +276,26 @@ def _seed_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int)
     first = keyed.groupBy("value").agg(F.min("b").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     agree = F.size(F.filter(F.arrays_zip(F.col("a.mins").alias("x"), F.col("b.mins").alias("y")), lambda z: z["x"] == z["y"]))
     near = keyed.join(first, "value").where(
-        (F.col("a.rep") != F.col("b.rep")) & _sizes_fit(F.col("a.n"), F.col("b.n"), num, den) & (agree * 2 >= SKETCH)
+        (_key("a.") != _key("b.")) & _sizes_fit(F.col("a.n"), F.col("b.n"), num, den) & (agree * 2 >= SKETCH)
     )
     names = [f"{side}.{c} AS {side}_{c}" for side in "ab" for c in ("rep", "d1", "d2")]
     seeds = materialise(near.selectExpr(*names).distinct(), "jaccard-seeds")
+    ends = [_key("a_").alias("a"), _key("b_").alias("b")]
     if seeds.isEmpty():
-        return seeds.selectExpr("a_rep AS a", "b_rep AS b")
+        return seeds.select(*ends)
     members = _full_sets(docs, seeds.selectExpr("b_rep AS rep"), k).toDF("b_rep", "b_d1", "b_d2", "nb", "tb")
     leaders = _full_sets(docs, seeds.selectExpr("a_rep AS rep"), k).toDF("a_rep", "a_d1", "a_d2", "na", "ta")
     met = seeds.join(members, ["b_rep", "b_d1", "b_d2"]).join(leaders, ["a_rep", "a_d1", "a_d2"])
     linked = met.where(_linked(F.size(F.array_intersect("ta", "tb")), num, den))
-    return materialise(linked.selectExpr("a_rep AS a", "b_rep AS b").distinct(), "jaccard-links")
+    return materialise(linked.select(*ends).distinct(), "jaccard-links")
 
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Stored classes with their family (``label``), its size, and their group in it (``chunk``)."""
     labels = connected(links)
     sizes = labels.groupBy("label").agg(F.count("*").alias("family"))
-    named = labels.join(sizes, "label").select(F.col("node").alias("rep"), "label", "family")
-    joined = classes.join(named, "rep", "left")
+    named = labels.join(sizes, "label").select("node.*", "label", "family")
+    joined = classes.join(named, ["rep", "d1", "d2"], "left")
     family = F.coalesce("family", F.lit(1).cast("long"))
     return materialise(
         joined.select(
@@ -294,14 +303,33 @@ def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
             "n",
             "d1",
             "d2",
-            F.coalesce("label", "rep").alias("label"),
+            F.coalesce(F.col("label"), _key()).alias("label"),
             family.alias("family"),
-            F.pmod(F.xxhash64("rep"), F.ceil(family / GROUP)).alias("chunk"),
+            F.pmod(F.xxhash64("rep", "d1"), F.ceil(family / GROUP)).alias("chunk"),
         ),
         "jaccard-families",
     )
 
 
+def _prefixes(documents: DataFrame, num: int, den: int) -> DataFrame:
+    """A row (…, at, token) for each prefix token that another family holds, too; ``at`` is its place.
+
+    A token is its count and its hash, in this order; the ``own`` tokens of a family come before all of
+    them and meet nothing. ``last`` is the last token of the prefix, ``size`` the prefix's size.
+    """
+    named = ["rep", "d1", "d2", "n", "label", "family", "chunk"]
+    postings = documents.select("rep", "d1", "d2", "label", F.explode("tokens").alias("token"))
+    counts = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
+    mixed = postings.join(counts.where("low != high").select("token", "held"), "token")
+    ordered = mixed.groupBy("rep", "d1", "d2").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("mixed"))
+    sized = documents.join(ordered, ["rep", "d1", "d2"]).withColumn("size", _prefix_column(num, den))
+    sized = sized.withColumn("own", F.size("tokens") - F.size("mixed"))
+    first = sized.withColumn("first", F.slice("mixed", 1, F.greatest(F.col("size") - F.col("own"), F.lit(0)).cast("int")))
+    reached = first.where(F.size("first") > 0).select(*named, "size", "own", "first", F.element_at("first", -1).alias("last"))
+    each = reached.select(*named, "size", "last", "own", F.posexplode("first").alias("place", "token"))
+    return each.withColumn("at", F.col("own") + F.col("place")).drop("own", "place")
+
+
 def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     """Stored (q, label, chunk): documents and groups of other families that may hold a link.
 
@@ -312,9 +340,7 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     ``end`` are counted: a later one may be another member's, while the linked one holds others there
     beyond its prefix. All of q's tokens after the last one counted are left.
     """
-    first = documents.withColumn("tokens", F.slice("tokens", 1, _prefix_column(num, den).cast("int")))
-    columns = ["rep", "n", "label", "family", "chunk", F.element_at("tokens", -1).alias("last")]
-    rows = first.select(*columns, F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
+    rows = materialise(_prefixes(documents, num, den), "jaccard-prefixes")
     groups = rows.groupBy("token", "label", "chunk", "family").agg(
         F.min("n").alias("low"),
         F.max("n").alias("high"),
@@ -322,7 +348,7 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
         F.max("size").alias("prefix"),
         F.max("at").alias("place"),
     )
-    asking = rows.select("token", F.col("rep").alias("q"), "n", "last", "size", "at", F.struct("family", "label").alias("from"))
+    asking = rows.select("token", _key().alias("q"), "n", "last", "size", "at", F.struct("family", "label").alias("from"))
     met = asking.join(groups, "token").where(
         (F.col("from") < F.struct("family", "label"))
         & (F.col("high") * den >= F.col("n") * num)
@@ -351,8 +377,8 @@ def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
 
 def _opened(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataFrame:
     """Stored links (a, b) between documents and the open members of qualifying groups."""
-    asking = documents.select(F.col("rep").alias("q"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    members = documents.select("label", "chunk", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    asking = documents.select(_key().alias("q"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    members = documents.select("label", "chunk", _key().alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     members = members.join(pairs.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
     unions = members.groupBy("label", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("tb"))).alias("union"))
     bound = F.size(F.array_intersect("ta", "union")) * den >= F.col("na") * num
@@ -362,12 +388,9 @@ def _opened(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataF
     return materialise(linked.select(F.col("q").alias("a"), "b"), "jaccard-links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row: Column | None = None) -> DataFrame:
-    """doc_id, row, n_shingles, component_id: the smallest id that links lead to, itself included.
-
-    Links have a Jaccard similarity of at least ``num / den``. ``row`` names a row for the caller.
-    """
-    texts = docs.select("doc_id", (F.lit(None) if row is None else row).cast("long").alias("row"), "text")
+def _components(docs: DataFrame, k: int, num: int, den: int, row: Column) -> DataFrame:
+    """doc_id, row, n, component: the smallest class that links lead to; a set of its own for empty texts."""
+    texts = docs.select("doc_id", row.cast("long").alias("row"), "text")
     features = _features(texts, k)
     grouped = features.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
     classes = materialise(grouped.agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "jaccard-classes")
@@ -379,26 +402,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     once = all_tokens.join(owned, ["rep", "d1", "d2"]).dropDuplicates(["rep", "d1", "d2"])
     documents = _settled(materialise(once, "jaccard-open"), num, den)
     pairs = _matrix_pairs(documents, num, den)
-    component = families.select("n", "d1", "d2", F.col("label").alias("component_id"))
+    component = families.select("n", "d1", "d2", F.col("label").alias("component"))
     if not pairs.isEmpty():
         found = _opened(pairs, documents, num, den)
-        label = families.select("rep", "label")
+        label = families.select(_key().alias("key"), "label")
         between = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").selectExpr("la AS a", "lb AS b")
         merged = connected(between.distinct()).toDF("label", "top")
-        component = families.join(merged, "label", "left").select("n", "d1", "d2", F.coalesce("top", "label").alias("component_id"))
+        component = families.join(merged, "label", "left").select("n", "d1", "d2", F.coalesce("top", "label").alias("component"))
     named = features.join(component, ["n", "d1", "d2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return named.select("doc_id", "row", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    alone = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("rep"), "d1", "d2"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), alone))
+    return named.select("doc_id", "row", "n", own.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, row: Column | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, component_id: the smallest id that links lead to, itself included.
+
+    Links have a Jaccard similarity of at least ``num / den``. ``row`` names a row for the caller.
+    """
+    found = _components(docs, k, num, den, F.lit(None) if row is None else row)
+    return found.select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("component.rep").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, without near duplicates: each component keeps its smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id are kept. ``docs`` is a stored table:
-    its rows are told apart by their place in it.
+    Of rows that repeat that id in the component one stays; other texts under the same id are other
+    components. Rows without an id are kept. ``docs`` is a stored table: its rows are told apart by
+    their place in it.
     """
     row = F.monotonically_increasing_id()
-    found = materialise(near_duplicates(docs, k, num, den, row), "jaccard-components")
-    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select("kept.row")
-    dropped = found.where("component_id is not null").join(kept, "row", "left_anti").select("row")
+    found = materialise(_components(docs, k, num, den, row), "jaccard-components")
+    kept = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("kept")).select("kept.row")
+    dropped = found.where("component is not null").join(kept, "row", "left_anti").select("row")
     return docs.select(F.struct("*").alias("doc"), row.alias("row")).join(dropped, "row", "left_anti").select("doc.*")

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchlane.llm import jaccard
+from matchlane.session import materialise
 from tests.llm.support import components, documents, shingles
 
 
@@ -69,5 +71,16 @@ def test_bound_of_groups_keeps_all_links(spark):
         rows += matrix_rows(f"a{case}", 1, [inside]) + matrix_rows(f"b{case}", len(members), members)
         wanted.add((f"a{case}-0", f"b{case}", 0))
     names = "rep string, n long, label string, family long, chunk long, tokens array<long>"
-    found = jaccard._matrix_pairs(spark.createDataFrame(rows, names), 80, 100).collect()
-    assert wanted <= {tuple(r) for r in found}
+    sets = spark.createDataFrame(rows, names).withColumns({"d1": F.lit(1), "d2": F.lit(2)})
+    found = jaccard._matrix_pairs(sets, 80, 100).collect()
+    assert wanted <= {(r.q.rep, r.label, r.chunk) for r in found}
+
+
+def test_an_id_with_two_texts_loses_none(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    table = documents(spark, [(1, a), (1, b), (2, b + " more"), (3, ""), (1, ""), (4, a)])
+    found = sorted(map(tuple, jaccard.near_duplicates(table).select("doc_id", "n_shingles", "component_id").collect()))
+    assert found == [(1, 0, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 0, 3), (4, 36, 1)]
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(materialise(table, "docs")).collect())
+    assert kept == sorted([(1, a), (1, b), (1, ""), (3, "")])
