@@ -4,7 +4,7 @@ A document is the set of its ``k``-word shingles (64-bit hashes). Two link when
 ``den * |intersection| >= num * |union|``. All links are found exactly:
 
 1. Documents with equal sets form a class; its smallest id goes on alone.
-2. Similar documents are put into groups: a class is compared with the smallest one that shares a
+2. Similar documents are put into groups: a class is compared with the most central one that shares a
    min-hash, if their sketches agree; verified links make families, and families are cut into groups
    of about ``GROUP`` members (a class without a family is a group of its own).
 3. The token-group matrix holds, for each token, the groups in whose prefixes it occurs. A prefix is
@@ -265,15 +265,19 @@ def _linked(shared: Column, num: int, den: int) -> Column:
 
 
 def _seed_links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Stored links (a, b) between classes and the smallest one that shares a min-hash.
+    """Stored links (a, b) between classes and the most central one that shares a min-hash.
 
-    Pairs whose sketches agree in less than half are left to the matrix. A set moves twice: to its
+    The central class of a group of near copies is the one whose min-hashes the most classes share: the
+    text the others were made from, if it is there, links with more of them than any copy. Pairs whose sketches agree in less than half are left to the matrix. A set moves twice: to its
     pair, and to the smaller class of the pair.
     """
-    own = F.struct("rep", "n", "d1", "d2", "mins")
-    places = F.filter("mins", lambda x, i: i % 4 == 0)
-    keyed = classes.select(own.alias("b"), F.explode(F.array_distinct(places)).alias("value"))
-    first = keyed.groupBy("value").agg(F.min("b").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
+    own = F.struct("central", "rep", "n", "d1", "d2", "mins")
+    places = F.array_distinct(F.filter("mins", lambda x, i: i % 4 == 0))
+    values = classes.select("rep", "d1", "d2", F.explode(places).alias("value"))
+    shares = values.join(values.groupBy("value").agg(F.count("*").alias("many")), "value")
+    scored = classes.join(shares.groupBy("rep", "d1", "d2").agg(F.sum("many").alias("central")), ["rep", "d1", "d2"])
+    keyed = materialise(scored.select(own.alias("b"), F.explode(places).alias("value")), "jaccard-keys")
+    first = keyed.groupBy("value").agg(F.max("b").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
     agree = F.size(F.filter(F.arrays_zip(F.col("a.mins").alias("x"), F.col("b.mins").alias("y")), lambda z: z["x"] == z["y"]))
     near = keyed.join(first, "value").where(
         (_key("a.") != _key("b.")) & _sizes_fit(F.col("a.n"), F.col("b.n"), num, den) & (agree * 2 >= SKETCH)
