@@ -15,9 +15,9 @@ A document is the set of its ``k``-word shingles (64-bit hashes). Two link when
    other class (later: no other family) can't link outside, as a link leaves it fewer tokens of its
    own: it is done. Looking at somewhat more than the prefix settles most documents; those left are
    looked at again among themselves, now with all their tokens, until no more can be settled.
-4. For a document and a group of another family, the number of shared prefix tokens and the tokens
-   left after the last of them bound the overlap with any member; so does, then, the overlap with the
-   union of the group's tokens. Only qualifying groups are opened and their members verified.
+4. For a document and a group of another family, the places of a shared prefix token in both and the
+   sizes of the sets bound the overlap with any member; so does, then, the overlap with the union of
+   the group's tokens. Only qualifying groups are opened and their members verified.
 
 Pairs inside a family are never made, so a large family of near copies costs its size, not its
 square. Full sets are read only for documents with a candidate.
@@ -42,6 +42,7 @@ from matchlane.session import materialise
 GROUP = 64
 SKETCH = 16  # positions of the min-hash sketch; every fourth one is a key for step 2
 ROUNDS = 4
+BANDS = 16
 BLOOM_BITS = 1 << 26
 PAGE_BITS = 32768
 _STARTS = np.arange(-(SKETCH // 2), SKETCH // 2, dtype=np.int64) * (1 << 64 - SKETCH.bit_length() + 1)
@@ -315,64 +316,63 @@ def _prefixes(documents: DataFrame, num: int, den: int) -> DataFrame:
     """A row (…, at, token) for each prefix token that another family holds, too; ``at`` is its place.
 
     A token is its count and its hash, in this order; the ``own`` tokens of a family come before all of
-    them and meet nothing. ``last`` is the last token of the prefix, ``size`` the prefix's size.
+    them and meet nothing.
     """
     named = ["rep", "d1", "d2", "n", "label", "family", "chunk"]
     postings = documents.select("rep", "d1", "d2", "label", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
     mixed = postings.join(counts.where("low != high").select("token", "held"), "token")
     ordered = mixed.groupBy("rep", "d1", "d2").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("mixed"))
-    sized = documents.join(ordered, ["rep", "d1", "d2"]).withColumn("size", _prefix_column(num, den))
-    sized = sized.withColumn("own", F.size("tokens") - F.size("mixed"))
-    first = sized.withColumn("first", F.slice("mixed", 1, F.greatest(F.col("size") - F.col("own"), F.lit(0)).cast("int")))
-    reached = first.where(F.size("first") > 0).select(*named, "size", "own", "first", F.element_at("first", -1).alias("last"))
-    each = reached.select(*named, "size", "last", "own", F.posexplode("first").alias("place", "token"))
+    own = (F.size("tokens") - F.size("mixed")).alias("own")
+    sized = documents.join(ordered, ["rep", "d1", "d2"]).select(*named, own, "mixed")
+    left = F.greatest(_prefix_column(num, den) - F.col("own"), F.lit(0)).cast("int")
+    each = sized.select(*named, "own", F.posexplode(F.slice("mixed", 1, left)).alias("place", "token"))
     return each.withColumn("at", F.col("own") + F.col("place")).drop("own", "place")
 
 
+def _band(n: Column) -> Column:
+    """Band of set sizes: about six in a hundred wide."""
+    return F.floor(F.log(n) * BANDS)
+
+
 def _matrix_pairs(documents: DataFrame, num: int, den: int) -> DataFrame:
     """Stored (q, label, chunk): documents and groups of other families that may hold a link.
 
-    Of two families the smaller one asks, so a large family is met by group and not by member. A link
-    needs ``least`` common tokens. Those up to the last common prefix token are counted; after it, or
-    after the whole prefix of the side whose prefix ends first, no more can follow than tokens are left.
-    Of a group with several members, whose prefixes reach to ``end`` at least, only common tokens up to
-    ``end`` are counted: a later one may be another member's, while the linked one holds others there
-    beyond its prefix. All of q's tokens after the last one counted are left.
+    Of two families the smaller one asks, so a large family is met by group and not by member. Linked
+    sets of ``n`` and ``m`` tokens have ``num * (n + m) / (num + den)`` tokens in common, and all of them
+    lie at their first common token or after it. So that token leaves as many in both sets, and a token
+    met later than that is no reason to open a group. A document therefore asks, by token, only the bands
+    of sizes that its place of the token allows, and a group answers if the place in a member allows it.
+    Of a group of one member all common tokens up to the last one met are then known; to their number
+    no more can be added than tokens are left in either set.
     """
     rows = materialise(_prefixes(documents, num, den), "jaccard-prefixes")
-    groups = rows.groupBy("token", "label", "chunk", "family").agg(
+    both = num + den
+    groups = rows.groupBy("token", _band(F.col("n")).alias("band"), "label", "chunk", "family").agg(
         F.min("n").alias("low"),
         F.max("n").alias("high"),
-        F.min("last").alias("end"),
-        F.max("size").alias("prefix"),
+        F.max(F.col("n") * den - F.col("at") * both).alias("reach"),
         F.max("at").alias("place"),
     )
-    asking = rows.select("token", _key().alias("q"), "n", "last", "size", "at", F.struct("family", "label").alias("from"))
-    met = asking.join(groups, "token").where(
+    least = F.expr(f"(n * {num} + {den - 1}) div {den}")
+    most = F.least(F.expr(f"n * {den} div {num}"), F.expr(f"(({both}) * (n - at) - {num} * n) div {num}"))
+    asking = rows.select("token", _key().alias("q"), "n", "at", F.struct("family", "label").alias("from"), least.alias("least"), most.alias("most"))
+    asking = asking.where("least <= most").withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most")))))
+    met = asking.join(groups, ["token", "band"]).where(
         (F.col("from") < F.struct("family", "label"))
-        & (F.col("high") * den >= F.col("n") * num)
-        & (F.col("n") * den >= F.col("low") * num)
+        & (F.col("low") <= F.col("most"))
+        & (F.col("high") >= F.col("least"))
+        & (F.col("reach") >= F.col("n") * num)
     )
-    several = F.when(F.col("family") > 1, F.struct("token", F.col("at").cast("long").alias("at")))
     pairs = met.groupBy("q", "label", "chunk").agg(
         F.count("*").alias("common"),
-        F.collect_list(several).alias("several"),
         F.max("at").alias("at"),
         F.max("place").alias("place"),
-        *[F.min(c).alias(c) for c in ("n", "last", "size", "family", "low", "end", "prefix")],
-    )
-    least = F.ceil(num * (F.col("n") + F.greatest("low", F.ceil(F.col("n") * num / den))) / (num + den))
-    own_rest = F.when(F.col("last") <= F.col("end"), F.col("n") - F.col("size")).otherwise(F.col("n") - 1 - F.col("at"))
-    its_rest = F.when(F.col("end") <= F.col("last"), F.col("low") - F.col("prefix")).otherwise(F.col("low") - 1 - F.col("place"))
-    counted = F.filter("several", lambda x: x["token"] <= F.col("end"))
-    after = F.col("n") - 1 - F.coalesce(F.array_max(F.transform(counted, lambda x: x["at"])), F.lit(-1))
-    bound = (
-        F.when(F.col("family") == 1, F.col("common") + F.least(own_rest, its_rest))
-        .when(F.col("last") <= F.col("end"), F.col("common") + own_rest)
-        .otherwise(F.size(counted) + after)
+        *[F.min(c).alias(c) for c in ("n", "family", "low")],
     )
-    return materialise(pairs.where(bound >= least).select("q", "label", "chunk"), "jaccard-pairs")
+    rest = F.least(F.col("n") - 1 - F.col("at"), F.col("low") - 1 - F.col("place"))
+    bound = (F.col("common") + rest) * both >= (F.col("n") + F.col("low")) * num
+    return materialise(pairs.where((F.col("family") > 1) | bound).select("q", "label", "chunk"), "jaccard-pairs")
 
 
 def _opened(pairs: DataFrame, documents: DataFrame, num: int, den: int) -> DataFrame:
