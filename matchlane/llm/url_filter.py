@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlane.llm.support import lower_ascii
-from matchlane.session import materialise
+from matchlane.session import materialise, work_path
 
 PAGE_BITS = 32768
 LITERAL_BYTES = 4 << 20
@@ -141,14 +141,38 @@ def is_listed(df: DataFrame, key: Column, keys: DataFrame, max_bytes: int = LITE
     """``df`` with a boolean column ``listed``.
 
     The cascade travels with the plan, so its size is worked out first; a list whose cascade would
-    exceed ``max_bytes`` is joined instead.
+    exceed ``max_bytes`` (one page of a filter at least) is cut into shards by the hash of the key, each
+    with a cascade of its own.
     """
     counts = {row.listed: row["count"] for row in keys.groupBy("listed").count().collect()}
-    if cascade_bytes(counts.get(True, 0), counts.get(False, 0)) <= max_bytes:
+    shards = math.ceil(cascade_bytes(counts.get(True, 0), counts.get(False, 0)) / max(max_bytes, PAGE_BITS // 8))
+    if shards <= 1:
         return df.withColumn("listed", build_cascade(keys).listed(key))
-    hits = keys.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("listed"))
-    joined = df.withColumn("_key", F.coalesce(key, F.lit(""))).join(hits, "_key", "left").drop("_key")
-    return joined.withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return _listed_by_shard(df, key, keys, shards)
+
+
+def _listed_by_shard(df: DataFrame, key: Column, keys: DataFrame, shards: int) -> DataFrame:
+    """``df`` with ``listed``, stored: one shard's cascade after the other decides the rows of its keys.
+
+    Rows and keys are written once, by shard and without a shuffle, so that each is read once more. A
+    shard with a frequent key holds more files, not larger ones.
+    """
+    held = df.select(F.struct("*").alias("row"), F.coalesce(key, F.lit("")).alias("key"))
+    rows, universe = (_by_shard(x, shards, name) for x, name in ((held, "url-rows"), (keys, "url-shards")))
+    path = work_path(df.sparkSession, "url-listed")
+    for shard in range(shards):
+        cascade = build_cascade(universe.where(F.col("shard") == shard))
+        judged = rows.where(F.col("shard") == shard).select("row.*", cascade.listed(F.col("key")).alias("listed"))
+        judged.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.withColumn("listed", F.lit(True)).schema).parquet(path)
+
+
+def _by_shard(df: DataFrame, shards: int, name: str) -> DataFrame:
+    """``df`` as a stored table in folders by ``shard``, a hash of its ``key``."""
+    path = work_path(df.sparkSession, name)
+    dealt = df.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)))
+    dealt.write.partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def key_universe(hosts: DataFrame, listed: Column) -> DataFrame:

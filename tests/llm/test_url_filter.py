@@ -20,6 +20,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert {r.host for r in joined.where("listed").collect()} == listed
 
 
+def test_long_lists_are_cut_into_shards(spark):
+    keys = [""] + [f"host{i}.example" for i in range(15000)]
+    listed = set(random.Random(2).sample(keys, 8000)) | {""}
+    table = spark.createDataFrame([(k, k in listed) for k in keys], "key string, listed boolean")
+    assert uf.cascade_bytes(8000, 7000) > 1.2 * (uf.PAGE_BITS // 8)
+    hosts = [*keys, *keys[:100], None] + ["host1.example"] * 5000  # repeated rows, a null, and a hot key
+    rows = spark.createDataFrame([(k, "x", 3) for k in hosts], "host string, row string, shard int")
+    found = uf.is_listed(rows, F.col("host"), table, 1)
+    assert found.columns == ["host", "row", "shard", "listed"]
+    got = sorted((r.host or "", r.row, r.shard, r.listed) for r in found.collect())
+    assert got == sorted((k or "", "x", 3, (k or "") in listed) for k in hosts)
+    assert uf.is_listed(rows.limit(0), F.col("host"), table, 1).count() == 0
+
+
 def test_all_or_none_listed(spark):
     for flag in (True, False):
         table = spark.createDataFrame([(f"k{i}", flag) for i in range(50)], "key string, listed boolean")
