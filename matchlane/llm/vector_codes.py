@@ -3,7 +3,8 @@
 Components become integers ``floor(scale * x)`` and vectors are cut into consecutive parts. Codebooks
 start as the parts of the vectors with the smallest ids and move through rounds of assignment and
 averaging (floor of the mean; an entry nobody chose stays), all in integers, so results do not depend
-on the order of rows or tasks.
+on the order of rows or tasks. Whole numbers travel as doubles, which hold them exactly; batches and
+codebooks with numbers whose squares could leave 64 bits are reckoned in Python's integers.
 
 Assignment reads the distinct pieces of a part in lexicographic order, that is as a trie with a
 component on each level. It is walked depth first; a node holds the squared distances of its prefix to
@@ -17,14 +18,16 @@ share is one leaf. Rounds return one row per task, part and entry. The last assi
 tries over each batch of vectors, so that codes need no join.
 
 Nulls: vectors that are null, hold null or non-finite components, or are of another length than the
-most frequent one (ties: the shorter) take no part. Components beyond +-2**24 after scaling count as
-that. Lengths that the parts do not divide are cut as evenly as possible; with fewer components than
+most frequent one (ties: the shorter) take no part. Scaled components beyond the range of doubles count
+as its ends; an error beyond 64 bits is null. Lengths that the parts do not divide are cut as evenly as possible; with fewer components than
 parts some parts are empty, with index 0. Repeated ids are vectors each (first in order of their
-components where ids tie; null ids last). Fewer vectors than entries give smaller codebooks, no
+components before scaling where ids tie; null ids last). Fewer vectors than entries give smaller codebooks, no
 vectors no rows. Other columns are kept by ``encode`` and not read.
 """
 
 import hashlib
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +40,30 @@ from matchlane.operators.joins import join_lookup
 from matchlane.session import materialise
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-LIMIT = 1 << 24
 LEAVES = 4096
 BATCH_ROWS = 16384
+LIMB_BITS = 40
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
-    """``floor(scale * x)`` of every component; null where the vector takes no part."""
+    """``floor(scale * x)`` of every component, as doubles; null where the vector takes no part."""
     v = vector.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    within = F.transform(v, lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(float(LIMIT))), F.lit(-float(LIMIT)))))
-    return F.when(~bad, within.cast("array<int>"))
+    top = F.lit(sys.float_info.max)
+
+    def whole(x: Column) -> Column:  # doubles from 2**52 on have no fraction, and may be beyond 64 bits
+        return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(F.greatest(F.least(x, top), -top))
+
+    return F.when(~bad, F.transform(v, lambda x: whole(x * scale)))
+
+
+def in_integers(pieces: np.ndarray, book: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both as 64-bit integers if squared distances over ``size`` components fit into them, else as Python's."""
+    limit = math.isqrt((1 << 62) // max(1, size)) // 2
+    if all(np.abs(x).max(initial=0) <= limit for x in (pieces, book)):
+        return pieces.astype(np.int64), book.astype(np.int64)
+    exact = np.frompyfunc(int, 1, 1)
+    return tuple(exact(x).astype(object) for x in (pieces, book))
 
 
 def cuts(size: int, parts: int) -> list[int]:
@@ -70,7 +86,7 @@ def in_order(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def nearest_entries(pieces: np.ndarray, book: np.ndarray, leaves: int = LEAVES) -> tuple[np.ndarray, np.ndarray]:
     """Index and squared distance of the nearest entry of ``book`` for distinct ``pieces`` in lexicographic order."""
     n, width = pieces.shape
-    index, least = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    index, least = np.zeros(n, np.int64), np.zeros(n, pieces.dtype)
     # The level on which a piece leaves the path of the one before it.
     fork = np.zeros(n, np.int64)
     fork[1:] = (pieces[1:] != pieces[:-1]).argmax(1) if width else 0
@@ -109,7 +125,7 @@ def nearest_entries(pieces: np.ndarray, book: np.ndarray, leaves: int = LEAVES)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
@@ -124,6 +140,15 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iter
         yield pa.concat_batches(held)
 
 
+def limbs(whole: int) -> list[int]:
+    """``whole`` in digits of ``LIMB_BITS`` bits with its sign, lowest first, which Spark can add up."""
+    sign, rest = (-1, -whole) if whole < 0 else (1, whole)
+    digits = [sign * (rest & ((1 << LIMB_BITS) - 1))]
+    while rest := rest >> LIMB_BITS:
+        digits.append(sign * (rest & ((1 << LIMB_BITS) - 1)))
+    return digits
+
+
 def distinct_pieces(rows: DataFrame, size: int, parts: int) -> DataFrame:
     """part, piece, n: the distinct pieces of each part, counted, in lexicographic ranges."""
     at = cuts(size, parts)
@@ -136,36 +161,56 @@ def distinct_pieces(rows: DataFrame, size: int, parts: int) -> DataFrame:
 def moved(pieces: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
     """The codebooks after one round: floors of the means of the pieces that chose an entry."""
 
+    size = sum(b.shape[1] for b in books)
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(b), b.shape[1] + 1), np.int64) for b in books]
         for batch in _gathered(batches):
             part = batch["part"].to_numpy()
+            # A task may read several files, in any order.
             for p in np.unique(part):
-                lo, hi = np.searchsorted(part, [p, p + 1])
-                found = _matrix(batch["piece"].slice(lo, hi - lo), books[p].shape[1])
-                n = batch["n"].slice(lo, hi - lo).to_numpy()
-                index, _ = nearest_entries(found, books[p])
-                np.add.at(total[p], index, np.c_[n[:, None], found * n[:, None]])
-        for p, t in enumerate(total):
-            chosen = np.flatnonzero(t[:, 0])
-            yield pa.RecordBatch.from_pydict(
-                {"part": np.full(len(chosen), p, np.int32), "entry": chosen.astype(np.int32), "sums": pa.array(list(t[chosen]), pa.list_(pa.int64()))}
-            )
-
-    found = pieces.mapInArrow(sums, "part int, entry int, sums array<long>")
-    each = found.select("part", "entry", F.posexplode("sums").alias("at", "x")).groupBy("part", "entry", "at").agg(F.sum("x").alias("x"))
-    whole = each.groupBy("part", "entry").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("sums"))
+                own = batch.filter(pa.array(part == p))
+                found, book = in_integers(_matrix(own["piece"], books[p].shape[1]), books[p], size)
+                n = own["n"].to_numpy().astype(object)
+                index, _ = nearest_entries(found, book)
+                counted = np.c_[n[:, None], found * n[:, None]]
+                wide = int(np.abs(counted).sum()) + int(np.abs(total[p]).max()) >= 1 << 62
+                total[p] = total[p].astype(object) if wide else total[p]
+                np.add.at(total[p], index, counted.astype(total[p].dtype))
+        rows = [
+            (p, int(entry), at, limb, x)
+            for p, t in enumerate(total)
+            for entry in np.flatnonzero(t[:, 0])
+            for at, whole in enumerate(t[entry])
+            for limb, x in enumerate(limbs(int(whole)))
+        ]
+        yield pa.RecordBatch.from_pylist([dict(zip(found_schema.names, r, strict=True)) for r in rows], found_schema)
+
+    found_schema = pa.schema([("part", pa.int32()), ("entry", pa.int32()), ("at", pa.int32()), ("limb", pa.int32()), ("x", pa.int64())])
+    found = pieces.mapInArrow(sums, "part int, entry int, at int, limb int, x long")
+    whole = found.groupBy("part", "entry", "at", "limb").agg(F.sum("x").alias("x"))
+    sums_of: dict[tuple[int, int], dict[int, int]] = {}
+    for r in whole.collect():  # a few numbers per component of a codebook
+        entry = sums_of.setdefault((r.part, r.entry), {})
+        entry[r.at] = entry.get(r.at, 0) + (r.x << (LIMB_BITS * r.limb))
     books = [b.copy() for b in books]
-    for row in whole.collect():  # at most one row per entry of a codebook
-        n, *total = [s.x for s in row.sums]
-        books[row.part][row.entry] = [t // n for t in total]
+    for (part, entry), total in sums_of.items():
+        means = [total[i + 1] // total[0] for i in range(books[part].shape[1])]
+        if any(abs(m) >= 1 << 62 for m in means):
+            books[part] = books[part].astype(object)
+        books[part][entry] = means
     return books
 
 
-def learn(rows: DataFrame, size: int, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Codebooks, by part a matrix of entries, from ``rows(vec_id, v)`` of ``size`` components."""
-    first = rows.select("vec_id", "v").orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).collect()
-    start = np.array([r.v for r in first], np.int64).reshape(len(first), size)
+def learn(rows: DataFrame, first: DataFrame, size: int, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Codebooks, by part a matrix of entries, from ``rows(vec_id, v)`` of ``size`` components.
+
+    They start as the ``v`` of the first rows of ``first(vec_id, embedding, v)``, which holds the same vectors.
+    """
+    chosen = first.orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries).select("v").collect()
+    exact = [[int(x) for x in r.v] for r in chosen]
+    large = any(abs(x) >= 1 << 62 for v in exact for x in v)
+    start = np.array(exact, object if large else np.int64).reshape(len(exact), size)
     at = cuts(size, parts)
     books = [start[:, a:b].copy() for a, b in zip(at, at[1:], strict=False)]
     pieces = distinct_pieces(rows, size, parts) if rounds else None
@@ -185,9 +230,11 @@ def encode(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
             codes, error = np.zeros((len(batch), len(books)), np.uint8), np.zeros(len(batch), np.int64)
             for p, book in enumerate(books):
                 found, place = in_order(vectors[:, at[p] : at[p + 1]])
-                index, least = nearest_entries(found, book)
+                index, least = nearest_entries(*in_integers(found, book, int(at[-1])))
                 codes[:, p] = index[place]
-                error += least[place]
+                error = error + least[place]
+            if error.dtype == object:
+                error = pa.array([e if e < 1 << 63 else None for e in error], pa.int64())
             columns = {c: batch[c] for c in kept} | {"codes": pa.array([c.tobytes() for c in codes], pa.binary()), "error": error}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -222,7 +269,9 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     if shape is None:
         return rows.select("vec_id", "label", F.lit(b"").alias("codes"), F.lit(0).cast("long").alias("error")), []
     rows = rows.where(F.size("v") == shape.d)
-    books = learn(rows, shape.d, parts, entries, rounds)
+    whole = whole_numbers(F.col("embedding"), scale).alias("v")
+    first = vectors.select("vec_id", "embedding", whole).where((F.size("v") == shape.d) & F.col("v").isNotNull())
+    books = learn(rows, first, shape.d, parts, entries, rounds)
     return encode(rows, books), books
 
 

@@ -82,6 +82,30 @@ def test_few_huge_or_no_vectors(spark):
     assert sorted((r.vec_id, bytes(r.codes), r.error) for r in coded.collect()) == [(1, b"\0\0", 0), (2, b"\1\1", 0)]
 
 
+def test_large_components_are_exact(spark):
+    """Components beyond 2**16, also where squares leave 64 bits, keep their value."""
+    rng = np.random.default_rng(9)
+    for scale in (1e6, 1e15):
+        vectors = rng.standard_normal((60, 4)) * scale
+        vectors[::7] /= scale
+        rows = [(i, v.tolist(), i % 2) for i, v in enumerate(vectors)]
+        table = spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)
+        coded, books = vector_codes.compress(table, 2, 8, 2)
+        want, want_books = brute_force(rows, 2, 8, 2)
+        assert [b.tolist() for b in books] == want_books
+        got = Counter((r.vec_id, bytes(r.codes), r.error, r.label) for r in coded.collect())
+        assert got == Counter({(i, c, e if e < 1 << 63 else None, label): n for (i, c, e, label), n in want.items()})
+
+
+def test_pieces_of_several_files_in_any_order(spark):
+    """A task that reads files of later parts first counts every piece."""
+    rows = [(p, [float(a), float(p)], 1 + a) for p in (3, 1, 2, 0) for a in range(5)]
+    pieces = spark.createDataFrame(rows, "part int, piece array<double>, n long").coalesce(1)
+    books = [np.array([[0, p], [4, p]]) for p in range(4)]
+    want = [[[sum(a * (1 + a) for a in range(3)) // 6, p], [sum(a * (1 + a) for a in (3, 4)) // 9, p]] for p in range(4)]
+    assert [b.tolist() for b in vector_codes.moved(pieces, books)] == want
+
+
 def test_registered_query(spark):
     sf = "/root/testdata/sf0.001"
     got = queries.op11_entry_trie(spark, sf)
