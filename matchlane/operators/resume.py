@@ -5,10 +5,12 @@ arrays inside the row, so no line is ever shuffled.  ``today`` is a required
 date: "present" must not change with the calendar.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from matchlane.functions.binding import literal_table, rows_of
+from matchlane.functions.binding import rows_of
 from matchlane.functions.dates import month_start_before
 from matchlane.lexicons import ROLE_FAMILIES, SKILL_CLUSTERS
 from matchlane.operators.joins import with_ordinal
@@ -28,6 +30,9 @@ HEADINGS = [
     ("certifications", r"(?i)^\s*(certifications|certificates|licenses)\s*[:\-]?\s*$"),
     ("languages", r"(?i)^\s*(languages)\s*[:\-]?\s*$"),
 ]
+# All headings in one pattern that is tried at the start of a line only.
+_BEFORE, _AFTER = r"(?i)^\s*", r"\s*[:\-]?\s*$"
+ANY_HEADING = f"{_BEFORE}(?:{'|'.join(pattern.removeprefix(_BEFORE).removesuffix(_AFTER) for _, pattern in HEADINGS)}){_AFTER}"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 PHONE = r"(?:\+?\d{1,3}[\s-])?\(?\d{3,4}\)?[\s.-]?\d{3}[\s.-]?\d{3,4}"
 YEAR_RANGE = r"(?i)(\d{4})\s*(?:-|to)\s*(\d{4}|present|current)"
@@ -58,7 +63,7 @@ def _heading(line: Column) -> Column:
     branch = F
     for name, pattern in HEADINGS:
         branch = branch.when(_matches(line, pattern), F.lit(name))
-    return branch.otherwise(F.lit(None))
+    return F.when(_matches(line, ANY_HEADING), branch.otherwise(F.lit(None)))
 
 
 def with_sections(resumes: DataFrame, text: str = "text") -> DataFrame:
@@ -190,15 +195,39 @@ def _vocabulary() -> list[str]:
     return sorted({m for _, members in SKILL_CLUSTERS for m in members}, key=lambda m: (-len(m), m))
 
 
+_SKILLS = _vocabulary()
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+def _standing_alone(text: str, word: str) -> int:
+    """Occurrences of ``word`` without an ASCII letter or digit on either side, from the left without overlaps."""
+    n, at = 0, text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        alone = (at == 0 or text[at - 1] not in _ALNUM) and (end == len(text) or text[end] not in _ALNUM)
+        n += alone
+        at = text.find(word, end if alone else at + 1)
+    return n
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("hits", T.IntegerType()), T.StructField("name", T.StringType())])))
+def _mentions(haystack: pa.Array) -> pa.Array:
+    """The lexicon skills that a text names, longest names first, with their counts."""
+
+    def found(text: str | None) -> list[dict] | None:
+        if text is None:
+            return []
+        hits = ((_standing_alone(text, skill), skill) for skill in _SKILLS if skill in text)
+        return [{"hits": n, "name": skill} for n, skill in hits if n]
+
+    return pa.array(map(found, haystack.to_pylist()), pa.list_(pa.struct([("hits", pa.int32()), ("name", pa.string())])))
+
+
 def with_skills(resumes: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``skills``: lexicon hits and free entries of the skills section, most mentioned first.
 
     The skills section counts on top of the whole text.
     """
-    vocabulary = literal_table(
-        [{"name": m, "pattern": rf"(?<![A-Za-z0-9])\Q{m}\E(?![A-Za-z0-9])"} for m in _vocabulary()],
-        "array<struct<name:string,pattern:string>>",
-    )
     prepared = resumes.withColumn(
         "_haystack", F.lower(F.concat(_section("skills"), F.lit("\n"), F.col(text)))
     ).withColumn(
@@ -208,18 +237,7 @@ def with_skills(resumes: DataFrame, text: str = "text") -> DataFrame:
             lambda t: F.length(t).between(2, 30) & _matches(t, r"^[A-Za-z0-9 .+#/\-]+$"),
         ),
     )
-    counted = prepared.withColumn(
-        "_hits",
-        F.filter(
-            F.transform(
-                F.filter(vocabulary, lambda v: F.contains(F.col("_haystack"), v["name"])),
-                lambda v: F.struct(
-                    F.regexp_count(F.col("_haystack"), v["pattern"]).alias("hits"), v["name"].alias("name")
-                ),
-            ),
-            lambda h: h["hits"] > 0,
-        ),
-    ).withColumn("_lowered", F.transform("_listed", F.lower))
+    counted = prepared.withColumn("_hits", _mentions("_haystack")).withColumn("_lowered", F.transform("_listed", F.lower))
     known = F.transform("_hits", lambda h: h["name"])
     free = F.filter(
         F.transform("_listed", lambda t, i: F.struct(t.alias("name"), i.alias("i"))),
@@ -357,29 +375,25 @@ def with_education(resumes: DataFrame, source: Column, today: Column, pattern: s
     return dated.withColumn("education", F.transform("_dated", degree)).drop("_dated", "_parts")
 
 
+_KEYWORDS = [(kw, family, len(kw) * weight) for family, weight, kws in ROLE_FAMILIES for kw in kws]
+
+
+@F.arrow_udf(T.StringType())
+def _best_family(lowered: pa.Array) -> pa.Array:
+    def best(text: str | None) -> str:
+        found, top = "", 0.0
+        for keyword, family, worth in _KEYWORDS:  # of equal scores the first counts
+            score = (text or "").count(keyword) * worth
+            if score > top:
+                found, top = family, score
+        return found
+
+    return pa.array(map(best, lowered.to_pylist()), pa.string())
+
+
 def guess_family(text: Column) -> Column:
     """Family of the keyword with the highest count x length x weight; empty when none scores above 0."""
-    keywords = literal_table(
-        [
-            {"keyword": kw, "family": family, "weight": weight, "place": -place}
-            for place, (family, weight, kw) in enumerate(
-                (family, weight, kw) for family, weight, kws in ROLE_FAMILIES for kw in kws
-            )
-        ],
-        "array<struct<keyword:string,family:string,weight:double,place:int>>",
-    )
-    lowered = F.lower(text)
-    scored = F.transform(
-        F.filter(keywords, lambda k: F.contains(lowered, k["keyword"])),
-        lambda k: F.struct(
-            (F.regexp_count(lowered, F.concat(F.lit(r"\Q"), k["keyword"], F.lit(r"\E"))) * F.length(k["keyword"]) * k["weight"])
-            .alias("score"),
-            k["place"].alias("place"),
-            k["family"].alias("family"),
-        ),
-    )
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, best["family"]).otherwise(F.lit(""))
+    return _best_family(F.lower(text))
 
 
 def parse_resumes(
