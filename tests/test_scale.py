@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from checks import answers
-from matchlane.operators import dataset, resume
+from matchlane.operators import dataset, resume, validation
 from matchlane.operators.retrieval import _head_cut
 
 
@@ -44,3 +46,29 @@ def test_balance_orders_ids_only(spark, monkeypatch):
 
 def test_overlaps_are_worked_out_once(spark):
     assert "to_json" not in _plan(answers.labelled(spark, "/root/testdata/sf0.001"))
+
+
+def test_leaves_are_opened_by_generators(spark, monkeypatch):
+    stored = []
+    real = validation.materialise
+    monkeypatch.setattr(validation, "materialise", lambda df, name: stored.append((name, df)) or real(df, name))
+    text = '{"a":{"b":{"c":{"d":{"e":[1,{"g":null}]}}}},"":3,"x.y":[],"z":{},"s":"q"}'
+    rows = spark.createDataFrame([(1, text), (2, "[]"), (3, None)], "path int, value string")
+    lines = rows.select("path", F.try_parse_json("value").alias("v"))
+    found = validation.flatten(lines.withColumnRenamed("path", "id"), ["id"], "v").collect()
+    assert {(r.id, r.path, r.value) for r in found} == {
+        (1, "a.b.c.d.e[0]", "1"), (1, "a.b.c.d.e[1].g", "null"), (1, "$", "3"), (1, "x.y", "[]"), (1, "z", "{}"),
+        (1, "s", '"q"'), (2, "$", "[]"), (3, "$", None),
+    }
+    assert len(found) == 8 and _plan(stored[0][1]).count("variant_explode") == 4
+
+
+def test_records_are_worked_out_once_for_their_differences(spark):
+    schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "string"}, "b": {"type": "array"}}}
+    lines = spark.createDataFrame([(1, '{"a":"x","c":1}'), (2, '{"b":[]}'), (3, "4")], "id int, value string")
+    found = validation.diff(validation.validate(lines, schema), ["id"], schema)
+    assert "parse_json" not in _plan(found)
+    assert {(r.id, r.kind, r.path) for r in found.collect()} == {
+        (1, "match", "a"), (1, "missing", "b"), (1, "extra", "c"), (2, "missing", "a"), (2, "match", "b"),
+        (3, "extra", "$"), (3, "missing", "a"), (3, "missing", "b"),
+    }
