@@ -12,6 +12,7 @@ and a new version.
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +51,9 @@ HEAD_TERMS = 500_000
 BLOCK_ROWS = 64
 BLOCKS_PER_JOB = 32
 NAMED_BLOCKS = 10_000
-# Rows that a task counts at a time.
-KERNEL_ROWS = 1000
+# Rows that a task counts at a time, and bytes of the Arrow batches it reads them in: whole blocks, if rows are short.
+KERNEL_ROWS = 16 * BLOCK_ROWS
+BATCH_BYTES = 8 << 20
 # ``doc_key`` of a segment's rows starts at its number times this.
 SEGMENT_KEYS = 1 << 56
 
@@ -199,6 +201,20 @@ def _segments(spark: SparkSession, root: str, n: int, table: str, schema: Struct
     return spark.read.schema(schema).parquet(*[f"{root}/segments/{i}/{table}" for i in range(n)])
 
 
+@contextmanager
+def _bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of a few MB for what runs inside, so a task never holds thousands of very long documents."""
+    wanted = {"maxRecordsPerBatch": KERNEL_ROWS, "maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(f"spark.sql.execution.arrow.{name}") for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def _write_version(spark: SparkSession, root: str, keep: list[str], n: int, schema: StructType) -> RetrievalIndex:
     rows = _segments(spark, root, n, "rows", schema)
     terms = _segments(spark, root, n, "terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
@@ -208,11 +224,12 @@ def _write_version(spark: SparkSession, root: str, keep: list[str], n: int, sche
     index = RetrievalIndex(
         rows, rows, rows, stored, stats.n_docs, stats.avgdl or 0.0, stats.n_postings, stats.mean_idf or 0.0
     )
-    # Documents of a similar length share a block, so that its bounds are tight.
-    ranged = index_rows(index, keep).sortWithinPartitions("dl")
-    blocked = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
-    docs = materialise(blocked, "docs", f"{target}/docs")
-    materialise(block_maxima(docs), "blocks", f"{target}/blocks")
+    with _bounded_batches(spark):
+        # Documents of a similar length share a block, so that its bounds are tight.
+        ranged = index_rows(index, keep).sortWithinPartitions("dl")
+        blocked = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS))
+        docs = materialise(blocked, "docs", f"{target}/docs")
+        materialise(block_maxima(docs), "blocks", f"{target}/blocks")
     facts = (n, keep, index.n_docs, index.avgdl, index.n_postings, index.mean_idf, rows.schema.json(), docs.schema.json())
     # Written last: a version without its manifest does not exist.
     spark.createDataFrame([facts], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from checks import answers
-from matchlane.operators import dataset, resume, validation
+from matchlane.operators import dataset, resume, retrieval, validation
 from matchlane.operators.retrieval import _head_cut
 
 
@@ -72,3 +72,16 @@ def test_records_are_worked_out_once_for_their_differences(spark):
         (1, "match", "a"), (1, "missing", "b"), (1, "extra", "c"), (2, "missing", "a"), (2, "match", "b"),
         (3, "extra", "$"), (3, "missing", "a"), (3, "missing", "b"),
     }
+
+
+def test_an_index_is_written_in_bounded_batches(spark, monkeypatch):
+    rows, bytes_ = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = [spark.conf.get(c) for c in (rows, bytes_)], []
+    for name in ("index_rows", "block_maxima"):
+        real = getattr(retrieval, name)
+        monkeypatch.setattr(retrieval, name, lambda *a, r=real: seen.append([int(spark.conf.get(c)) for c in (rows, bytes_)]) or r(*a))
+    docs = spark.createDataFrame([(i, ["a", f"t{i % 7}"]) for i in range(20)], "id int, words array<string>")
+    index = retrieval.build_index(docs, F.col("words"), ["id"])
+    assert index.docs.count() == 20
+    assert seen == [[retrieval.KERNEL_ROWS, retrieval.BATCH_BYTES]] * 2
+    assert [spark.conf.get(c) for c in (rows, bytes_)] == before
