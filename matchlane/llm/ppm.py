@@ -6,9 +6,11 @@ one, with the escape weight of method C (distinct bytes seen / (occurrences + di
 without the bytes already excluded, down to a uniform choice of the bytes left. Every text ends with
 an end byte. All contexts seen twice or more in the training rows are known, so the model grows with
 the corpus and is never broadcast whole: contexts that hold at least one of ``MAX_CONTEXTS`` bytes of
-all rows (so at most that many of each order) are, 16 MB at most for three bytes; bytes after any other
-context meet their cost in a shuffle, where none is frequent. That cost is worked out where all contexts
-with the same last two bytes are together; only the 256 x 256 counts of order 1 go to every task.
+all rows (so at most that many of each order) are, 16 MB at most for three bytes. The cost of a byte after
+any other context is worked out where all contexts with the same last two bytes are together; only the
+256 x 256 counts of order 1 go to every task. As many of these bytes with their contexts as fit in
+``RARE_GRAMS``, most frequent first, are broadcast with their cost, eight bytes each; only the rest, if
+any, meet their cost in a shuffle.
 
 The word counts of all training texts grow with the corpus and are never broadcast whole: words of
 at least one in ``HEAD_SHARE`` tokens (so at most that many) are, with their counts; all others meet
@@ -32,6 +34,7 @@ from matchlane.session import materialise
 
 ORDER = 3
 MAX_CONTEXTS = 16384
+RARE_GRAMS = 1 << 21
 HEAD_SHARE = 2_000_000
 FLUSH_BYTES = 32 << 20
 FLUSH_WORDS = 1 << 20
@@ -178,13 +181,13 @@ def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Model:
 
 
 def _rare_costs(grams: DataFrame, frequent, order_0: np.ndarray) -> DataFrame:
-    """(gram, cost) of all grams, training rows or not, whose context is not in the array ``frequent``."""
+    """Stored (gram, seen, cost) of all grams, training rows or not, whose context is not in the array ``frequent``."""
     found = _pair_counts(grams, 1).select("code", "byte", "n").toArrow()
     every = np.arange(256)
     order_1 = known_counts(_dense(*(found.column(c).to_numpy() for c in ("code", "byte", "n")), every))
     lower = grams.sparkSession.sparkContext.broadcast((order_0, order_1))
 
-    def costs(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def costs(gram: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
         code, byte = gram >> 8, gram & 255
         longest, shorter = np.unique(code), np.unique(code & 0xFFFF)
         all_2 = known_counts(_dense(code & 0xFFFF, byte, n, shorter))
@@ -193,31 +196,49 @@ def _rare_costs(grams: DataFrame, frequent, order_0: np.ndarray) -> DataFrame:
         contexts, counts = [np.zeros(1, np.int64), every, shorter, longest[wanted]], [*lower.value, all_2, all_3[wanted]]
         rare = wanted[np.searchsorted(longest, code)]
         logs = log_rows(contexts, counts, ORDER)
-        cost = logs[np.searchsorted(contexts[ORDER], code[rare]), byte[rare]].astype(np.float64)
-        return pa.RecordBatch.from_arrays([pa.array(gram[rare]), pa.array(cost)], names=["gram", "cost"])
+        cost = logs[np.searchsorted(contexts[ORDER], code[rare]), byte[rare]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (gram[rare], seen[rare], cost))], names=["gram", "seen", "cost"])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in parts:
-            held.append([part.column(c).to_numpy() for c in ("gram", "n")])
+            held.append([part.column(c).to_numpy() for c in ("gram", "n", "seen")])
             size += part.num_rows
             if size >= RARE_ROWS:
-                gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                gram, n, seen = (np.concatenate(x) for x in zip(*held, strict=True))
                 last = gram >> 8 & 0xFFFF
                 cut = int(np.searchsorted(last, last[-1]))  # the last two bytes may go on in the next batch
                 if cut:
-                    yield costs(gram[:cut], n[:cut])
-                held, size = [[gram[cut:], n[cut:]]], len(gram) - cut
+                    yield costs(gram[:cut], n[:cut], seen[:cut])
+                held, size = [[gram[cut:], n[cut:], seen[cut:]]], len(gram) - cut
         if size:
             yield costs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     last = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
     ordered = grams.withColumn("last", last).repartition("last").sortWithinPartitions("last", "gram")
-    return ordered.select("gram", "n").mapInArrow(batches, "gram long, cost double")
+    found = ordered.select("gram", "n", "seen").mapInArrow(batches, "gram long, seen long, cost float")
+    return materialise(found, "ppm-costs")
 
 
-def _rare_sums(docs: DataFrame, grams: DataFrame, frequent, order_0: np.ndarray) -> DataFrame:
-    """doc_id, one, two and the cost of a document's bytes after contexts not in ``frequent``, in several rows."""
+def _known_costs(costs: DataFrame, max_grams: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Sorted grams and costs of the most frequent rows of ``costs``, ``max_grams`` at most, and the rows left, if any."""
+    step = F.floor(F.log2("seen") * 16).cast("int")  # at most 1024 steps
+    counts = sorted(costs.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    fitting = [r.step for r, total in zip(counts, np.cumsum([r.n for r in counts]), strict=True) if total <= max_grams]
+    if not counts:
+        return np.zeros(0, np.uint32), np.zeros(0, np.float32), None
+    known = step >= (fitting[-1] if fitting else counts[0].step + 1)
+    found = costs.where(known).select("gram", "cost").toArrow()
+    grams, cost = found.column("gram").to_numpy().astype(np.uint32), found.column("cost").to_numpy()
+    order = np.argsort(grams)
+    return grams[order], cost[order], None if len(fitting) == len(counts) else costs.where(~known)
+
+
+def _rare_sums(docs: DataFrame, costs: DataFrame, frequent, known) -> DataFrame:
+    """doc_id, one, two and the cost of a document's bytes after contexts not in ``frequent``, in several rows.
+
+    Without the grams in ``known``.
+    """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         skipped = np.zeros(1 << 24, bool)
@@ -226,6 +247,7 @@ def _rare_sums(docs: DataFrame, grams: DataFrame, frequent, order_0: np.ndarray)
             for at, to, data, offsets in text_slices(part.column("text")):
                 codes, symbols, first, end = padded(data, offsets)
                 keep = np.flatnonzero(_inside(len(codes), first, end) & ~skipped[codes])
+                keep = keep[~find(known.value[0], _grams(codes, symbols, keep))[1]]
                 rows = np.searchsorted(first, keep, side="right") - 1
                 keys, n = np.unique(rows.astype(np.uint64) << np.uint64(32) | _grams(codes, symbols, keep), return_counts=True)
                 rows = pa.array((keys >> np.uint64(32)).astype(np.int64) + at)
@@ -240,7 +262,7 @@ def _rare_sums(docs: DataFrame, grams: DataFrame, frequent, order_0: np.ndarray)
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, one long, two long, gram long, n int"
     found = docs.select("doc_id", "one", "two", "text").mapInArrow(batches, schema)
-    met = found.join(_rare_costs(grams, frequent, order_0), "gram")
+    met = found.join(costs.select("gram", F.col("cost").cast("double")), "gram")
     return met.select("doc_id", "one", "two", (F.col("n") * F.col("cost")).alias("cost"))
 
 
@@ -310,12 +332,12 @@ def find(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == words
 
 
-def _tail_sums(docs: DataFrame, head, costs: DataFrame) -> DataFrame:
-    """Stored sums over the words outside the head and over ``costs``, by document id and text hashes.
+def _tail_sums(docs: DataFrame, head, costs: DataFrame | None) -> DataFrame:
+    """Stored sums over the words outside the head and over ``costs``, if any, by document id and text hashes.
 
     log_sum: of n * log10(count + 1); known: occurrences with a count; copies: rows with this key;
     first: words met first here that the training rows hold, for the number of distinct ones; cost: of
-    bytes after rare contexts.
+    bytes in ``costs``.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +378,19 @@ def _tail_sums(docs: DataFrame, head, costs: DataFrame) -> DataFrame:
         (F.col("n") == 0).cast("long").alias("copies"),
         (known & (F.col("r") == 1)).cast("long").alias("first"),
     )
-    both = terms.unionByName(costs, allowMissingColumns=True)
+    both = terms.withColumn("cost", F.lit(0.0)) if costs is None else terms.unionByName(costs, allowMissingColumns=True)
     names = ("log_sum", "known", "copies", "first", "cost")
     sums = both.groupBy("doc_id", "one", "two").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     return materialise(sums, "ppm-tail")
 
 
-def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, head_share: int = HEAD_SHARE) -> DataFrame:
+def score(
+    docs: DataFrame,
+    held_out: Column,
+    max_contexts: int = MAX_CONTEXTS,
+    head_share: int = HEAD_SHARE,
+    rare_grams: int = RARE_GRAMS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Learns from the rows where ``held_out`` is false. ``base_score`` is the smoothed unigram log10
@@ -378,7 +406,9 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
     table_of = spark.sparkContext.broadcast(log_rows(contexts, byte_counts, ORDER))
     head = spark.sparkContext.broadcast(_head_words(texts, head_share))
     counts = _head_counts(training, head)
-    tail = _tail_sums(texts, head, _rare_sums(texts, grams, frequent, byte_counts[0]))
+    *known, left = _known_costs(_rare_costs(grams, frequent, byte_counts[0]), rare_grams)
+    sparse = spark.sparkContext.broadcast(known)
+    tail = _tail_sums(texts, head, None if left is None else _rare_sums(texts, left, frequent, sparse))
     rare = tail.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0]
     ends, train_tokens = int(counts[-2]), int(counts[-2:].sum())
     distinct = int(np.count_nonzero(counts[:-2])) + rare + (ends > 0)
@@ -386,7 +416,8 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, occurrences, logs = head.value, logs_of.value, np.log10(logs_of.value + 1.0)
-        table = np.concatenate([np.zeros((1, 256), np.float32), table_of.value])  # row 0: met in the shuffle
+        grams, gram_costs = sparse.value
+        table = np.concatenate([np.zeros((1, 256), np.float32), table_of.value])  # row 0: a rare context
         index = np.zeros(1 << 24, np.uint16 if len(table) <= 1 << 16 else np.uint32)
         index[frequent.value] = np.arange(1, len(table))
         for part in parts:
@@ -396,7 +427,11 @@ def score(docs: DataFrame, held_out: Column, max_contexts: int = MAX_CONTEXTS, h
                 sums = _row_sums(np.where(found, logs[where], 0.0) if len(known) else np.zeros(len(words)), ranges)
                 hits = _row_sums(found & (occurrences[where] > 0) if len(known) else found, ranges)
                 codes, symbols, first, end = padded(data, offsets)
-                cost = table[index[codes], symbols[: len(codes)]].astype(np.float64)
+                context = index[codes]
+                cost = table[context, symbols[: len(codes)]].astype(np.float64)
+                rare = np.flatnonzero(context == 0)
+                at_gram, met = find(grams, _grams(codes, symbols, rare))
+                cost[rare[met]] = gram_costs[at_gram[met]]
                 bounds = np.stack([first, end], 1).ravel()
                 scores = np.add.reduceat(np.append(cost, 0.0), bounds)[::2]
                 piece = part.slice(at, to - at)

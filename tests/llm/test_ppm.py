@@ -93,3 +93,25 @@ def test_rare_contexts_are_known(spark, setting):
     found = sorted((r.doc_id, r.score) for r in got if r.doc_id >= 100)
     assert len(got) == len(texts) and [d for d, _ in found] == [d for d, _ in want]
     assert [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-4)
+
+
+def test_rare_contexts_are_met_without_a_shuffle(spark, monkeypatch):
+    """The same scores whether all, some or none of the rare grams fit; a shuffle only for those that do not."""
+    rng, shuffled, real = random.Random(7), [], ppm._rare_sums
+    monkeypatch.setattr(ppm, "_rare_sums", lambda *a: shuffled.append(a[1].count()) or real(*a))
+    words_ = ["lorem", "ipsum", "žluť", "ДОМ", "QUARTZ", "#7"]
+    texts = [(i, " ".join(rng.choices(words_, [40, 40, 5, 1, 1, 1], k=50))) for i in range(40)] + [(3, None), (4, "")]
+    docs, held = documents(spark, texts), F.col("doc_id") % 5 == 2
+    found = []
+    for rare_grams in (1 << 21, 60, 0):
+        rows = ppm.score(docs, held, max_contexts=20, rare_grams=rare_grams).collect()
+        found.append(sorted((r.doc_id, r.n_tokens, r.score) for r in rows))
+    assert len(shuffled) == 2 and 0 < shuffled[0] < shuffled[1]
+    model = brute_model([t for d, t in texts if d % 5 != 2])
+    want = []
+    for d, t in texts:
+        data = b"\0\0\0" + (t or "").encode() + b"\0"
+        want.append((d, len(words(t)) + 1, sum(code_length(model, data[i - 3 : i], data[i]) for i in range(3, len(data)))))
+    for rows in found:
+        assert [r[:2] for r in rows] == [w[:2] for w in sorted(want)]
+        assert [r[2] for r in rows] == pytest.approx([w[2] for w in sorted(want)], rel=1e-4)
