@@ -5,6 +5,8 @@ arrays inside the row, so no line is ever shuffled.  ``today`` is a required
 date: "present" must not change with the calendar.
 """
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,6 +199,11 @@ def _vocabulary() -> list[str]:
 
 _SKILLS = _vocabulary()
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_RUN = re.compile("[A-Za-z0-9]+")
+# Places of the skills by their first run of letters and digits, which is one of the text's where a skill stands alone.
+_BY_RUN: dict[str, list[int]] = {}
+for _at, _skill in enumerate(_SKILLS):
+    _BY_RUN.setdefault((_RUN.findall(_skill) or [""])[0], []).append(_at)
 
 
 def _standing_alone(text: str, word: str) -> int:
@@ -217,7 +224,9 @@ def _mentions(haystack: pa.Array) -> pa.Array:
     def found(text: str | None) -> list[dict] | None:
         if text is None:
             return []
-        hits = ((_standing_alone(text, skill), skill) for skill in _SKILLS if skill in text)
+        runs = _BY_RUN.keys() & {"", *_RUN.findall(text)}
+        named = (_SKILLS[at] for at in sorted(at for run in runs for at in _BY_RUN[run]))
+        hits = ((_standing_alone(text, skill), skill) for skill in named if skill in text)
         return [{"hits": n, "name": skill} for n, skill in hits if n]
 
     return pa.array(map(found, haystack.to_pylist()), pa.list_(pa.struct([("hits", pa.int32()), ("name", pa.string())])))

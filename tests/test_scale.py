@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import answers
@@ -85,3 +86,34 @@ def test_an_index_is_written_in_bounded_batches(spark, monkeypatch):
     assert index.docs.count() == 20
     assert seen == [[retrieval.KERNEL_ROWS, retrieval.BATCH_BYTES]] * 2
     assert [spark.conf.get(c) for c in (rows, bytes_)] == before
+
+
+def test_sound_leaves_are_judged_without_lists(spark):
+    leaf = {"type": ["integer", "number", "string", "null"], "minimum": 2, "maximum": 9, "enum": ["5", "x", 3, "2020-01-02"], "format": "date"}
+    kinds = ["string", "integer", "number", "boolean", "null", "array", "object", ["string", "null"], ["integer", "string"]]
+    rules = [leaf, *({"type": k} for k in kinds), {"type": "number", "minimum": 2}, {"type": "string", "pattern": "[a-z]"}, {}]
+    fields = {f"f{i}": rule for i, rule in enumerate(rules)}
+    inner = {"type": "object", "required": ["f1", "f2"], "additionalProperties": False, "properties": fields}
+    schema = inner | {"properties": fields | {"list": {"type": "array", "items": inner}}, "required": ["f1", "list", "other"]}
+    shown = ["1", "5", "2.5", "1e3", "1.0", '"x"', '"5"', '"2020-01-02"', '"a1"', '"A"', "true", "null", "[]", "{}", "[1]", '{"a":1}']
+    objects = ["{" + ",".join(f'"{key}":{value}' for key in fields) + "}" for value in shown] + ["{}", "null", "3"]
+    right = '{"f0":5,"f1":"x","f2":3,"f3":2.5,"f4":false,"f5":null,"f6":[1],"f7":{"a":1},"f8":null,"f9":"q","f10":2,"f11":"a","f12":{}}'
+    texts = [o if len(o) < 5 else (o[:-1] + ("," if len(o) > 2 else "") + f'"list":[{right},{",".join(objects)}],"other":1}}') for o in [right, *objects]]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, right])], "id int, value string")
+    checked = validation.validate(lines, schema)
+    rows = checked.withColumn("walked", validation.record_errors(schema, "_parsed")).select("id", "errors", "walked").collect()
+    assert len(rows) == len(texts) + 1 and all(r.errors == r.walked for r in rows)
+    assert not any(e.path.startswith("list[0]") for r in rows for e in r.errors)
+    assert all(any(e.path.startswith(f"list[{at}]") for e in rows[0].errors) for at in range(1, len(objects) + 1))
+    judged = validation._Typed("_parsed")
+    assert not any("exists(" in judged.leaf_is_valid(rule, "v") for rule in rules)
+
+
+def test_skills_are_looked_up_by_their_words(monkeypatch):
+    tried, real = [], resume._standing_alone
+    monkeypatch.setattr(resume, "_standing_alone", lambda text, word: tried.append(word) or real(text, word))
+    text = "java, javascript; c++ c and machine learning, scikit-learn (nlp)/rag; postgresql no-sql spark" + " x" * 500
+    assert resume._mentions.func(pa.array(["pythonic ragtime loras " * 9])).to_pylist() == [[]] and not tried
+    found = resume._mentions.func(pa.array([text, "", None])).to_pylist()
+    want = [{"hits": n, "name": s} for s in resume._SKILLS if (n := real(text, s))]
+    assert found == [want, [], []] and len(want) > 3
