@@ -43,7 +43,8 @@ GROUP = 64
 SKETCH = 16  # positions of the min-hash sketch; every fourth one is a key for step 2
 ROUNDS = 4
 BANDS = 16
-BLOOM_BITS = 1 << 26
+# Bits of a Bloom filter: ``BITS_EACH`` for each key, as a power of two between these.
+BITS_EACH, BLOOM_BITS, MOST_BITS = 16, 1 << 26, 1 << 29
 PAGE_BITS = 32768
 _STARTS = np.arange(-(SKETCH // 2), SKETCH // 2, dtype=np.int64) * (1 << 64 - SKETCH.bit_length() + 1)
 
@@ -114,8 +115,7 @@ def _chosen(docs: DataFrame, reps: DataFrame | None) -> tuple[DataFrame, Callabl
     """Texts with a hash of their id, and a filter of their batches: a Bloom filter of ``reps``, or none."""
     if reps is None:
         return docs.select("doc_id", "text"), lambda part: part
-    places = reps.select(F.explode(_two_places(F.xxhash64("rep"))).alias("at"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(places))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps.select(F.xxhash64("rep").alias("key"))))
 
     def some(part: pa.RecordBatch) -> pa.RecordBatch:
         table = np.frombuffer(bits.value, np.uint8)
@@ -136,7 +136,11 @@ def _shared_tokens(docs: DataFrame, reps: DataFrame | None, part_of: Callable[[n
                 tokens = np.concatenate([t for t, _ in lists])
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owners)], names=["token", "owner"])
 
-    found = texts.mapInArrow(batches, "token long, owner long")
+    return _of_several(texts.mapInArrow(batches, "token long, owner long"))
+
+
+def _of_several(found: DataFrame) -> DataFrame:
+    """Stored tokens of ``found(token, owner)`` that more than one owner holds."""
     ends = found.groupBy("token").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
     return materialise(ends.where("low != high").select("token"), "jaccard-tokens")
 
@@ -151,7 +155,7 @@ def _open_documents(
     """
     shared = _shared_tokens(docs, reps, part_of, k)
     texts, some = _chosen(docs, reps)
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(shared.select(F.explode(_two_places(F.col("token"))).alias("at"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(shared))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
@@ -186,16 +190,26 @@ def _settled(documents: DataFrame, num: int, den: int) -> DataFrame:
     """``documents`` without those whose own tokens rule out a link to another family, stored.
 
     Every round drops documents and with them the reason to keep others; any number of rounds is right.
+    The tokens that families share are looked up in a Bloom filter where the documents are, so that only
+    a token and a hash of its family are shuffled.
     """
+    spark = documents.sparkSession
     left = documents.count()
     for _ in range(ROUNDS):
-        postings = documents.select("rep", "d1", "label", F.explode("tokens").alias("token"))
-        ends = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = ends.where("low != high").select("token")
-        counts = postings.join(mixed, "token").groupBy("rep", "d1").agg(F.count("*").alias("mixed"))
-        own = F.size("tokens") - F.col("mixed")
-        kept = documents.join(counts, ["rep", "d1"]).where(own < _prefix_column(num, den)).drop("mixed")
-        documents = materialise(kept, "jaccard-open")
+        shared = _of_several(documents.select(F.xxhash64("label").alias("owner"), F.explode("tokens").alias("token")))
+        bits = spark.sparkContext.broadcast(_bloom(shared))
+
+        def batches(parts: Iterator[pa.RecordBatch], bits=bits) -> Iterator[pa.RecordBatch]:
+            table = np.frombuffer(bits.value, np.uint8)
+            for part in parts:
+                sizes = part.column("tokens").value_lengths().to_numpy()
+                mixed = _in_bloom(table, part.column("tokens").flatten().to_numpy())
+                mixed = np.bincount(np.repeat(np.arange(len(part)), sizes)[mixed], minlength=len(part))
+                n = part.column("n").to_numpy()
+                # A link takes a token of another family.
+                yield part.filter(pa.array((mixed > 0) & (sizes - mixed < _prefix_size(n, num, den))))
+
+        documents = materialise(documents.mapInArrow(batches, documents.schema), "jaccard-open")
         before, left = left, documents.count()
         if left == before or left == 0:
             break
@@ -206,24 +220,25 @@ def _prefix_column(num: int, den: int) -> Column:
     return F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
 
 
-def _bloom(positions: DataFrame) -> bytes:
-    """A Bloom filter of ``BLOOM_BITS`` bits from a column ``at``; too many keys only make it let more through."""
-    at = (F.col("at") + 1).alias("at")
-    pages = positions.select(at).groupBy(F.bitmap_bucket_number("at").alias("page"))
-    data = bytearray(BLOOM_BITS // 8)
+def _bloom(keys: DataFrame) -> bytes:
+    """A Bloom filter of the 64-bit values of a stored column; it grows with them up to ``MOST_BITS`` bits.
+
+    Beyond, too many keys only make it let more through.
+    """
+    value, n = F.col(keys.columns[0]), keys.count()
+    bits = min(MOST_BITS, max(BLOOM_BITS, 1 << (n * BITS_EACH - 1).bit_length() if n else 0))
+    places = F.array(value.bitwiseAND(bits - 1), F.shiftright(value, 32).bitwiseAND(bits - 1))
+    positions = keys.select(F.explode(places).alias("at")).select((F.col("at") + 1).alias("at"))
+    pages = positions.groupBy(F.bitmap_bucket_number("at").alias("page"))
+    data = bytearray(bits // 8)
     for page, body in pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
         data[(page - 1) * PAGE_BITS // 8 : page * PAGE_BITS // 8] = body
     return bytes(data)
 
 
-def _two_places(value: Column) -> Column:
-    """The two positions of a 64-bit value: its low bits, and its high half's."""
-    return F.array(value.bitwiseAND(BLOOM_BITS - 1), F.shiftright(value, 32).bitwiseAND(BLOOM_BITS - 1))
-
-
 def _in_bloom(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    found = np.ones(len(values), np.uint8)
-    for at in (values & (BLOOM_BITS - 1), values >> 32 & (BLOOM_BITS - 1)):
+    found, last = np.ones(len(values), np.uint8), len(table) * 8 - 1
+    for at in (values & last, values >> 32 & last):
         found &= table[at >> 3] >> (at & 7).astype(np.uint8)
     return (found & 1).astype(bool)
 
@@ -316,15 +331,16 @@ def _prefixes(documents: DataFrame, num: int, den: int) -> DataFrame:
     """A row (…, at, token) for each prefix token that another family holds, too; ``at`` is its place.
 
     A token is its count and its hash, in this order; the ``own`` tokens of a family come before all of
-    them and meet nothing.
+    them and meet nothing. ``documents`` is a stored table: its rows are told apart by their place in it.
     """
+    documents = documents.withColumn("number", F.monotonically_increasing_id())
     named = ["rep", "d1", "d2", "n", "label", "family", "chunk"]
-    postings = documents.select("rep", "d1", "d2", "label", F.explode("tokens").alias("token"))
-    counts = postings.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held"))
-    mixed = postings.join(counts.where("low != high").select("token", "held"), "token")
-    ordered = mixed.groupBy("rep", "d1", "d2").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("mixed"))
+    postings = documents.select("number", F.xxhash64("label").alias("owner"), F.explode("tokens").alias("token"))
+    counts = postings.groupBy("token").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count("*").alias("held"))
+    mixed = postings.select("number", "token").join(counts.where("low != high").select("token", "held"), "token")
+    ordered = mixed.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("mixed"))
     own = (F.size("tokens") - F.size("mixed")).alias("own")
-    sized = documents.join(ordered, ["rep", "d1", "d2"]).select(*named, own, "mixed")
+    sized = documents.join(ordered, "number").select(*named, own, "mixed")
     left = F.greatest(_prefix_column(num, den) - F.col("own"), F.lit(0)).cast("int")
     each = sized.select(*named, "own", F.posexplode(F.slice("mixed", 1, left)).alias("place", "token"))
     return each.withColumn("at", F.col("own") + F.col("place")).drop("own", "place")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,24 @@ def test_an_id_with_two_texts_loses_none(spark):
     assert found == [(1, 0, 1), (1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 0, 3), (4, 36, 1)]
     kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(materialise(table, "docs")).collect())
     assert kept == sorted([(1, a), (1, b), (1, ""), (3, "")])
+
+
+def test_filter_grows_with_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", 1 << 15)
+    keys = materialise(spark.range(40000).select(F.xxhash64("id").alias("token")), "keys")
+    table = np.frombuffer(jaccard._bloom(keys), np.uint8)
+    others = spark.range(40000, 80000).select(F.xxhash64("id").alias("token")).toArrow()["token"].to_numpy()
+    assert jaccard._in_bloom(table, keys.toArrow()["token"].to_numpy()).all()
+    assert jaccard._in_bloom(table, others).mean() < 0.05
+
+
+def test_settling_shuffles_tokens_and_owners_only(spark, monkeypatch):
+    stored = []
+    real = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: stored.append((name, df.columns)) or real(df, name))
+    rows = [(i, 1, 2, 5, i // 2, 1, 0, [1, 2, 3, 4, 5] if i < 4 else [10 * i + x for x in range(5)]) for i in range(8)]
+    names = "rep long, d1 long, d2 long, n long, label long, family long, chunk long, tokens array<long>"
+    documents = real(spark.createDataFrame(rows, names), "documents")
+    kept = jaccard._settled(documents, 80, 100)
+    assert sorted(r.rep for r in kept.collect()) == [0, 1, 2, 3] and kept.columns == documents.columns
+    assert all(columns in (["token"], documents.columns) for _, columns in stored)
