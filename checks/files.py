@@ -2,8 +2,10 @@
 
 import io
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -47,12 +49,28 @@ def profiles_from_lines(spark, sf_dir):
 
 
 def _in_files(spark, sf_dir, before, after):
-    """One file per ``PER_FILE`` candidates: a list of them between two texts."""
+    """One compressed file per ``PER_FILE`` candidates: a list of them between two texts.
+
+    A line moves to the others of its file in compressed form.
+    """
     path = work_path(spark, "arrays")
     bucket = F.floor(candidate_key(F.col("candidate_id")) / PER_FILE).alias("bucket")
-    files = _lines(spark, sf_dir).groupBy(bucket).agg(F.array_join(F.collect_list("value"), ",").alias("all"))
-    text = F.concat(F.lit(before), "all", F.lit(after))
-    files.select("bucket", text.alias("value")).write.partitionBy("bucket").text(path)
+
+    def packed(batches):
+        for batch in batches:
+            lines = [zlib.compress(line.encode(), 1) for line in batch["value"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["bucket"], pa.array(lines, pa.binary())], ["bucket", "line"])
+
+    def texts(batches):
+        for batch in batches:
+            for at in range(len(batch)):
+                lines = [zlib.decompress(line).decode() for line in batch["lines"][at].as_py()]
+                text = pa.array([before + ",".join(lines) + after])
+                yield pa.RecordBatch.from_arrays([batch["bucket"].slice(at, 1), text], ["bucket", "value"])
+
+    lines = _lines(spark, sf_dir).select(bucket, "value").mapInArrow(packed, "bucket long, line binary")
+    files = lines.groupBy("bucket").agg(F.collect_list("line").alias("lines")).mapInArrow(texts, "bucket long, value string")
+    files.write.option("compression", "gzip").partitionBy("bucket").text(path)
     return path
 
 
@@ -76,7 +94,7 @@ def record_ids(spark, sf_dir):
     renamed = F.replace("value", F.lit('"candidate_id":'), F.lit('"id":'))
     dropped = F.replace("value", F.lit('"candidate_id":'), F.lit('"other":'))
     lines = profile_lines(spark, sf_dir).select(F.when(k % 5 == 0, dropped).when(k % 3 == 0, renamed).otherwise(F.col("value")))
-    lines.write.text(path)
+    lines.write.option("compression", "gzip").text(path)
     return read_json_lines(spark, path).select(record_id(F.col("value")).alias("id"))
 
 
