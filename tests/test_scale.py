@@ -5,9 +5,11 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from checks import answers
+from checks import answers, files, ranking
 from matchlane.operators import dataset, resume, retrieval, validation
 from matchlane.operators.retrieval import _head_cut
+from matchlane.plans.run import need_rows
+from matchlane.session import work_path
 
 
 def _plan(df):
@@ -117,3 +119,39 @@ def test_skills_are_looked_up_by_their_words(monkeypatch):
     found = resume._mentions.func(pa.array([text, "", None])).to_pylist()
     want = [{"hits": n, "name": s} for s in resume._SKILLS if (n := real(text, s))]
     assert found == [want, [], []] and len(want) > 3
+
+
+def test_index_rows_are_ordered_without_a_sort(spark, monkeypatch):
+    plans = []
+    real = retrieval.materialise
+    monkeypatch.setattr(retrieval, "materialise", lambda df, name, path: plans.append((name, _plan(df))) or real(df, name, path))
+    rows = [(i, ["t"] * (i * 37 % 100 + 1)) for i in range(300)]
+    index = retrieval.build_index(spark.createDataFrame(rows, "id long, words array<string>").coalesce(1), F.col("words"), ["id"])
+    assert [plan for name, plan in plans if name == "docs" and "Sort" in plan] == [] and "docs" in dict(plans)
+    spans = index.docs.groupBy("block").agg((F.max("dl") - F.min("dl")).alias("span"), F.count("*").alias("n")).collect()
+    assert all(r.span <= 25 for r in spans) and sum(r.n for r in spans) == 300
+    assert sorted(r.id for r in index.docs.collect()) == list(range(300))
+
+
+def test_lines_and_lists_are_written_compressed(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(files, "work_path", lambda spark, name: made.append(work_path(spark, name)) or made[-1])
+    for query in (files.record_ids, files.profiles_from_arrays, files.profiles_from_wrapped_files):
+        assert query(spark, "/root/testdata/sf0.001").count() == 150
+    for path in made:
+        names = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()]
+        assert names and all(name.endswith(".txt.gz") for name in names)
+
+
+def test_breakdowns_are_worked_out_once(spark):
+    assert "MapInArrow" not in _plan(ranking.breakdowns(spark, "/root/testdata/sf0.001"))
+
+
+def test_needs_read_the_ranking_once(spark):
+    ranked = spark.createDataFrame([("j", "a"), ("j", "b")], "jd_id string, candidate_id string").where(F.rand(1) < 2)
+    jobs = spark.createDataFrame([("j", ["Python"])], "jd_id string, must_have_skills array<string>")
+    candidates = spark.createDataFrame([("a", ["python"]), ("b", [])], "candidate_id string, names array<string>")
+    candidates = candidates.select("candidate_id", F.transform("names", lambda n: F.struct(n.alias("name"))).alias("skills"))
+    rows = need_rows(ranked, candidates, jobs)
+    assert "rand(" not in _plan(rows)
+    assert {(r.candidate_id, *r.hits, *r.misses) for r in rows.collect()} == {("a", "Python"), ("b", "Python")}
