@@ -39,7 +39,8 @@ def rank_lines(
 
 def need_rows(shortlisted: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """``jd_id, candidate_id, hits, misses``: each shortlisted candidate against the job's own must-have list."""
-    wanted = shortlisted.select("jd_id", "candidate_id").join(jobs.select("jd_id", "must_have_skills"), "jd_id")
+    # Read twice, worked out once.
+    wanted = materialise(shortlisted.select("jd_id", "candidate_id").join(jobs.select("jd_id", "must_have_skills"), "jd_id"), "wanted")
     named = wanted.select("candidate_id").distinct()
     covered = candidates.join(named, "candidate_id", "left_semi").select("candidate_id", matched_needs().alias("_covered"))
     return wanted.join(covered, "candidate_id").select(
